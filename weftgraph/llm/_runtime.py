@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import checkpointed, stored
+
+__all__ = ["blocks", "checkpointed", "hex64", "pick", "ship", "stored"]
+
 #: Bytes of text that one step in a Python worker holds as objects at once.
 BLOCK_BYTES = 4 << 20
 
@@ -38,36 +41,6 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a folder of our own."""
-    sc = spark.sparkContext
-    if (at := sc.getCheckpointDir()) is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="weftgraph-")
-        sc.setCheckpointDir(at)
-        at = sc.getCheckpointDir()
-    return at
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs a re-read only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as compressed columns; removed when the session's file system closes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices whose buffers hold about `most` bytes; one longer row is a slice of its own."""
     for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick
+from ._runtime import blocks, pick, ship
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -116,6 +116,7 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rows_most: int = ROWS_MOST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the rows of docs that have a label. The driver gets the features of at most rows_most rows."""
+    ship(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = {r["lang"]: r["count"] for r in rows.select("lang").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows_most).collect()}
     most = max(2, min(per_language, rows_most // max(len(counts), 1)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, langid, linededup, simhash, urlrules
+from . import bpe, decontam, fingerprints, langid, linededup, quality, secretscan, simhash, spandedup, urlrules
 from ._runtime import hex64
 
 # URL rules (host, path, verdict) of the contract.
@@ -37,12 +37,23 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, *quality.train(docs))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs))
     return kept.select("doc_id", "n_lines", "n_dropped", _sha(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op5_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = spandedup.dedup(table(spark, sf_dir, "documents"))
+    n = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_sentences", n.alias("n_removed"), _sha(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,6 +63,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.scan(table(spark, sf_dir, "documents"), secretscan.train())
+    return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), "findings", _sha(F.col("redacted")).alias("redacted_sha256"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -68,7 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op4_line_dedup, op6_bpe, op8_url_rules, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id)}
 
 
 _OP2_SQL = r"""

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import star_components
 from ._runtime import blocks, checkpointed, pick
-from .links import components
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 RADIUS = 4
@@ -109,7 +109,7 @@ def groups(docs: DataFrame, shingle: int = 4, dense: int = DENSE, id_col: str =
     """doc_id, fp, component_id (the smallest doc_id that links reach) of every document."""
     each = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     fps = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    of = components(links(fps.select("fp"), dense=dense)).select(F.col("node").alias("fp"), "component")
+    of = star_components(links(fps.select("fp"), dense=dense)).select(F.col("node").alias("fp"), "component")
     named = fps.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return each.join(named.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
