@@ -101,7 +101,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     open_ = np.ones(n, dtype=bool)  # no separator so far
     for k in range(take):
         symbol = np.zeros(n, dtype=np.int64)
-        symbol[: n - k] = text[k:]
+        symbol[: max(n - k, 0)] = text[k:]
         symbol[~open_] = 0
         key = (key << bits) | symbol
         open_ &= symbol != 0
@@ -115,7 +115,7 @@ def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
     while True:
         same = np.concatenate([~first[1:], [False]]) | ~first
         group = np.flatnonzero(same)
-        group = group[left[order[group]] > take]
+        group = group[left[order[group]] >= take]  # shorter ones are equal up to their separator
         if not len(group):
             return order
         at = order[group]
