@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import exp
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ def measures(text: str) -> list[float] | None:
         sum(map(len, words)) / n,  # mean word length
         len(_ODD_RUN.findall(text)) / n,  # runs of odd symbols
         letters / max(int(cls.sum()) - blanks, 1),  # letters in what is printed
+        sum(map(eq, words, words[1:])) / n if n >= 10 else 0.0,  # words that repeat the one before
+        len(set(zip(words, words[1:], strict=False))) / min(n, 400 + n // 2) if n >= 10 else 1.0,  # different pairs of words
     ]
 
 
@@ -74,6 +77,8 @@ LIMITS = [
     (2.0, 14.0, 3.0, 10.0),
     (-1.0, 0.10, -1.0, 0.005),
     (0.72, 9.0, 0.88, 9.0),
+    (-1.0, 0.20, -1.0, 0.05),
+    (0.40, 9.0, 0.75, 9.0),
 ]
 LABELLERS = len(LIMITS)
 
