@@ -1,0 +1,61 @@
+import random
+
+import pytest
+
+from weftgraph.llm import spandedup
+
+
+@pytest.mark.parametrize("share", [0.001, 0.9])
+def test_passage_that_repeats(spark, documents, share):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    sentence = lambda: " ".join(word() for _ in range(r.randint(6, 14))) + ". "
+    passage = "".join(sentence() for _ in range(8))
+    own = [["".join(sentence() for _ in range(6)), "".join(sentence() for _ in range(5))] for _ in range(30)]
+    rows = [(i, a + (passage if i % 2 else "") + b) for i, (a, b) in enumerate(own)]
+    found = {x["doc_id"]: x for x in spandedup.dedup(documents(rows), share=share).collect()}
+    for i, (a, b) in enumerate(own):
+        assert found[i]["kept_text"] == (a + passage + b if i == 1 else a + b), i
+        assert (found[i]["removed"] == []) == (i % 2 == 0 or i == 1)
+
+
+def test_copies_and_parts_of_a_sentence(spark, documents):
+    text = " ".join(f"word{i}" for i in range(60)) + ".\nShort one. " + " ".join(f"more{i}" for i in range(30)) + "! End."
+    rows = [(3, text), (1, text.upper()), (2, "Other words before. " + text), (4, "word0 word1 word2.")]
+    found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(documents(rows)).collect()}
+    assert found == {1: text.upper(), 2: "Other words before. ", 3: "", 4: "word0 word1 word2."}
+
+
+def test_repeats_within_a_document(spark, documents):
+    s = "One two three four five six seven eight nine ten eleven twelve thirteen. "
+    found = spandedup.dedup(documents([(1, s * 6)])).first()
+    assert found["n_sentences"] == 6 and found["kept_text"] == s
+
+
+def test_odd_rows(spark, documents, odd):
+    found = spandedup.dedup(documents(odd)).collect()
+    assert sorted(str(x["doc_id"]) for x in found) == sorted(str(r[0]) for r in odd)
+    assert {x["doc_id"]: x["kept_text"] for x in found if x["doc_id"] in (1, 2, 3, 9)} == {1: "", 2: "", 3: " \n\t\n ", 9: "x"}
+    assert spandedup.dedup(documents([])).collect() == []
+
+
+def test_spans_are_the_shortest_both_ways():
+    assert spandedup.spans([10, 10, 10, 3, 40], 25) == [(0, 3), (0, 4), (1, 5), (2, 5), (3, 5), (4, 5)]
+    assert spandedup.spans([30], 25) == [(0, 1)]
+    assert spandedup.spans([5, 5], 25) == [] and spandedup.spans([], 25) == []
+
+
+def test_groups_against_brute_force(spark, documents):
+    """Which sentences go, by comparing all spans of all documents."""
+    r = random.Random(9)
+    pool = [" ".join(f"{chr(97 + k % 26)}{k}x{j}" for j in range(r.randint(4, 12))) + "." for k in range(25)]
+    rows = [(i, " ".join(r.choice(pool) for _ in range(20))) for i in range(25)]
+    first, gone = {}, {}
+    for i, text in rows:
+        parts = spandedup.sentences(text)
+        norm = [" ".join(text[a:b].lower().split()) for a, b in parts]
+        for a, b in spandedup.spans([len(n.split()) for n in norm], 25):
+            if first.setdefault(" ".join(norm[a:b]), (i, a)) != (i, a):
+                gone.setdefault(i, set()).update(range(a, b))
+    found = spandedup.dedup(documents(rows)).collect()
+    assert {x["doc_id"]: {k for s in x["removed"] for k in range(s["start"], s["stop"])} for x in found} == {i: gone.get(i, set()) for i, _ in rows}
