@@ -2,8 +2,9 @@
 
 Each match of the split pattern is merged on its own. The leaves of the tree stand for byte positions; a leaf holds the rank of
 the pair that begins there, joined with its position, so that the root is the leftmost pair of the smallest rank. A merge
-updates the leaves of the merged pair, of its right half and of its left neighbour: three logarithmic point updates. Pieces
-recur, so merged pieces are kept in a table of bounded size per Python worker.
+updates the leaves of the merged pair, of its right half and of its left neighbour: three logarithmic point updates. Trees of
+short pieces stand side by side in arrays and step together; a long piece has its own. Pieces recur, so merged pieces are kept
+in a table of bounded size per Python worker.
 
 Texts: null counts as empty and gives no ids; an id that is null decodes to nothing; an unknown id raises.
 """
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame
 
 from ._runtime import blocks, pick
 
-#: Merged pieces that a worker keeps; beyond it the table starts anew.
-PIECES_KEPT = 300_000
+#: Merged pieces that a worker keeps, some 150 bytes each; beyond it the table starts anew.
+PIECES_KEPT = 600_000
 _NONE = 1 << 62
 
 
@@ -91,19 +92,133 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class PairTable:
+    """(left id, right id) -> id of the merged token, as an open-addressed table for whole arrays of pairs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left << 31 | right] = rank
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        self.values = np.full(1 << self.bits, -1, dtype=np.int64)
+        keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        slots = self._slots(keys)
+        while len(keys):  # of those that want a free slot, one gets it; the others go one further
+            free = self.keys[slots] == -1
+            self.keys[slots[free]] = keys[free]
+            mine = self.keys[slots] == keys
+            self.values[slots[mine]] = values[mine]
+            keys, values, slots = keys[~mine], values[~mine], (slots[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merged ids; -1 where the pair does not merge."""
+        keys = left << 31 | right
+        slots = self._slots(keys)
+        there = self.keys[slots]
+        out = np.where(there == keys, self.values[slots], -1)
+        todo = np.flatnonzero((there != keys) & (there != -1))
+        while len(todo):
+            slots[todo] = (slots[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slots[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[slots[todo[hit]]]
+            todo = todo[~hit & (there != -1)]
+        return out
+
+
+def merge_pieces(pieces: list[bytes], size: int, ranks: dict[bytes, int], single: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """As merge_piece for pieces of 2 to `size` bytes (a power of two): their trees stand side by side and step together.
+
+    single: the id of each byte. The ids come packed as 32-bit numbers.
+    """
+    count, levels = len(pieces), size.bit_length() - 1
+    lengths = np.fromiter(map(len, pieces), np.int64, count)
+    shift, mask = levels + 1, 2 * size - 1
+    ids = single[np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8)].reshape(count, size)
+    place = np.arange(size)
+    tree = np.full((count, 2 * size), _NONE, dtype=np.int64)
+    pair = pairs.get(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(count, size - 1)
+    tree[:, size : 2 * size - 1] = np.where((pair >= 0) & (place[:-1] + 1 < lengths[:, None]), pair << shift | place[:-1], _NONE)
+    for level in range(levels - 1, -1, -1):
+        low = tree[:, 2 << level : 4 << level]
+        tree[:, 1 << level : 2 << level] = np.minimum(low[:, ::2], low[:, 1::2])
+    ends = np.tile(np.concatenate([place + 1, [size + 1]]), (count, 1))
+    before = np.tile(np.arange(-1, size), (count, 1))
+    live = np.flatnonzero(tree[:, 1] != _NONE)
+    while len(live):
+        top = tree[live, 1]
+        i = top & mask
+        j = ends[live, i]
+        k = ends[live, j]
+        ids[live, i] = merged = top >> shift
+        ends[live, i] = k
+        follows = k < lengths[live]
+        before[live, k] = i  # past the end it is not looked at
+        right = np.where(follows, pairs.get(merged, ids[live, np.minimum(k, size - 1)]), -1)
+        p = before[live, i]
+        left = np.where(p >= 0, pairs.get(ids[live, np.maximum(p, 0)], merged), -1)
+        tree[live, size + j] = _NONE
+        tree[live, size + i] = np.where(right >= 0, right << shift | i, _NONE)
+        has = np.flatnonzero(p >= 0)
+        tree[live[has], size + p[has]] = np.where(left[has] >= 0, left[has] << shift | p[has], _NONE)
+        rows, at = np.concatenate([live, live, live[has]]), size + np.concatenate([i, j, p[has]])
+        for _ in range(levels):
+            at >>= 1
+            tree[rows, at] = np.minimum(tree[rows, 2 * at], tree[rows, 2 * at + 1])
+        live = live[tree[live, 1] != _NONE]
+    whole = np.fromiter((ranks.get(p, -1) for p in pieces), np.int64, count)
+    starts = np.zeros((count, size), dtype=bool)
+    at = np.zeros(count, dtype=np.int64)
+    rows = np.arange(count)
+    while len(rows):
+        starts[rows, at] = True
+        at = ends[rows, at]
+        more = at < lengths[rows]
+        rows, at = rows[more], at[more]
+    known = whole >= 0
+    starts[known] = place == 0
+    ids[known, 0] = whole[known]
+    packed, cuts = ids[starts].astype("<i4").tobytes(), (4 * np.cumsum(starts.sum(axis=1))).tolist()
+    return [packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
 class _Pieces(dict):
     """Text of a piece -> its ids as packed 32-bit numbers."""
 
+    #: Longer pieces get a tree of their own and are not kept.
+    LONG = 64
+
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.pairs = ranks, PairTable(ranks)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int64)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge_piece(piece.encode(), self.ranks), dtype="<i4").tobytes()
-        if len(self) >= PIECES_KEPT:
+        return np.array(merge_piece(piece.encode(), self.ranks), dtype="<i4").tobytes()
+
+    def learn(self, pieces: set[str]) -> None:
+        """Merge those that are not kept yet. If the table would grow beyond its bound it holds these alone afterwards."""
+        new = pieces.difference(self)
+        if len(self) + len(new) > PIECES_KEPT:
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+            new = pieces
+        by: dict[int, list[tuple[str, bytes]]] = {}
+        for piece in new:
+            data = piece.encode()
+            if 2 <= len(data) <= self.LONG:
+                by.setdefault(1 << (len(data) - 1).bit_length(), []).append((piece, data))
+            elif len(data) == 1:
+                self[piece] = np.array([self.ranks[data]], dtype="<i4").tobytes()
+        for size, group in by.items():
+            for at in range(0, len(group), 1 << 14):
+                part = group[at : at + (1 << 14)]
+                self.update(zip([p for p, _ in part], merge_pieces([d for _, d in part], size, self.ranks, self.single, self.pairs), strict=True))
 
 
 @lru_cache(maxsize=2)
@@ -129,7 +244,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
         split, pieces = _encoder(ranks, pattern)
         of = pieces.__getitem__
         for block in blocks(batches):
-            packed = [b"".join(map(of, split(text))) if text else b"" for text in block.column(1).to_pylist()]
+            matches = [split(text) if text else [] for text in block.column(1).to_pylist()]
+            pieces.learn(set().union(*matches))
+            packed = [b"".join(map(of, m)) for m in matches]
             ends = np.zeros(len(packed) + 1, dtype=np.int64)
             np.cumsum([len(p) // 4 for p in packed], out=ends[1:])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
