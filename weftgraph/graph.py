@@ -37,7 +37,9 @@ def last_wins(edges: DataFrame) -> DataFrame:
     An aggregate, not a window: rows of a pair combine before the shuffle.
     """
     rest = [c for c in edges.columns if c not in ("src", "dst", "ordinal")]
-    kept = edges.groupBy("src", "dst").agg(F.max(F.struct("ordinal", *rest)).alias("e"))
+    extra = [c for c in rest if c not in _OWN]
+    order = F.struct("ordinal", "relation_type", "weight", *([F.to_json(F.struct(*extra)).alias("extra")] if extra else []))
+    kept = edges.groupBy("src", "dst").agg(F.max_by(F.struct("ordinal", *rest), order).alias("e"))
     return kept.select("src", "dst", *[F.col(f"e.{c}").alias(c) for c in edges.columns if c not in ("src", "dst")])
 
 
