@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphOperationError, PathValidationError
 from ..graph import KGraph
-from ..runtime import checkpointed
+from ..runtime import checkpointed, dealt_by
 from .traversal import require
 
 MAX_LENGTH, MAX_PATHS = 50, 1000
@@ -61,19 +61,19 @@ def _weighted(graph: KGraph, weight: Column | None) -> DataFrame:
 
 def distances(edges: DataFrame, source: str, target: str | None = None) -> DataFrame:
     """node, distance by relaxation over the nodes that improved last; with a target, until none nearer than it is left."""
-    spark = edges.sparkSession
-    known = front = spark.createDataFrame([(source, 0.0)], "node string, distance double")
-    while True:
-        step = front.join(edges, front["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
-        better = step.join(known, "node", "left").where("distance is null or new < distance").select("node", F.col("new").alias("distance"))
-        if target is not None:
-            limit = known.where(F.col("node") == target).agg(F.min("distance")).first()[0]
-            if limit is not None:
-                better = better.where(F.col("distance") < limit)
-        front = checkpointed(better)
-        if front.isEmpty():
-            return known
-        known = checkpointed(known.join(front.select("node"), "node", "left_anti").union(front))
+    known = front = edges.sparkSession.createDataFrame([(source, 0.0)], "node string, distance double")
+    with dealt_by(edges.select(F.col("src").alias("node"), "dst", "weight"), "node") as steps:
+        while True:
+            step = front.join(steps, "node").groupBy(F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
+            better = step.join(known, "node", "left").where("distance is null or new < distance").select("node", F.col("new").alias("distance"))
+            if target is not None:
+                limit = known.where(F.col("node") == target).agg(F.min("distance")).first()[0]
+                if limit is not None:
+                    better = better.where(F.col("distance") < limit)
+            front = checkpointed(better)
+            if front.isEmpty():
+                return known
+            known = checkpointed(known.join(front.select("node"), "node", "left_anti").union(front))
 
 
 def predecessors(edges: DataFrame, dist: DataFrame, source: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NodeNotFoundError
 from ..graph import KGraph
-from ..runtime import checkpointed
+from ..runtime import checkpointed, dealt_by
 
 BFS, ITERATIVE_DFS, RECURSIVE_DFS = "bfs", "iterative_dfs", "recursive_dfs"
 Predicate = Column | Callable[[Column], Column] | None
@@ -33,17 +33,17 @@ def expand(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, onl
     in order, so ordering by (depth, path) gives the order in which a queue with sorted neighbours meets the nodes.
     """
     on = [*keys, "node"]
-    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     front = checkpointed(seeds.select(*on).distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("node")))
     seen, depth = front, 0
-    while (max_depth is None or depth < max_depth) and not front.isEmpty():
-        depth += 1
-        new = front.join(steps, "node").select(*keys, F.col("next").alias("node"), "path")
-        if only is not None:
-            new = new.where(only)
-        new = new.groupBy(*on).agg(F.min("path").alias("path")).join(seen.select(*on), on, "left_anti")
-        front = checkpointed(new.select(*on, F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path")))
-        seen = seen.union(front)
+    with dealt_by(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node") as steps:
+        while (max_depth is None or depth < max_depth) and not front.isEmpty():
+            depth += 1
+            new = front.join(steps, "node").select(*keys, F.col("next").alias("node"), "path")
+            if only is not None:
+                new = new.where(only)
+            new = new.groupBy(*on).agg(F.min("path").alias("path")).join(seen.select(*on), on, "left_anti")
+            front = checkpointed(new.select(*on, F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path")))
+            seen = seen.union(front)
     return seen
 
 

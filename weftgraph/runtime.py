@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,14 @@ def stored(df: DataFrame) -> DataFrame:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def dealt_by(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df dealt and sorted by key and held while rounds join it again and again: only the other side of those joins moves."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = df.repartition(parts, key).sortWithinPartitions(key).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
