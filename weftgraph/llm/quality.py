@@ -49,19 +49,22 @@ def measures(text: str) -> list[float] | None:
     letters = max(int(cls[1] + cls[2]), 1)
     counts = Counter(words)
     blanks = int(cls[4] + cls[5])
+    if n < 10:  # shares of so few words say little: only odd symbols and cells are judged
+        odd, cells = float(cls[8:].sum()) / chars, counts["|"] / n
+        return [odd, 0.2, 0.3, 0.3, cells, 0.1, 0.6, 2.5, len(_ODD_RUN.findall(text)) / n, 0.8, 0.1, 0.5]
     return [
         float(cls[8:].sum()) / chars,  # odd symbols
         float(cls[2]) / letters,  # capitals
         len(counts) / min(n, 200 + n // 4),  # different words
-        max(counts.values()) / n if n >= 10 else 0.0,  # the most frequent word
+        max(counts.values()) / n,  # the most frequent word
         counts["|"] / n,  # cells
         float(cls[7]) / n,  # exclamation marks
         float(cls[6]) / n,  # punctuation
         sum(map(len, words)) / n,  # mean word length
         len(_ODD_RUN.findall(text)) / n,  # runs of odd symbols
         letters / max(int(cls.sum()) - blanks, 1),  # letters in what is printed
-        sum(map(eq, words, words[1:])) / n if n >= 10 else 0.0,  # words that repeat the one before
-        len(set(zip(words, words[1:], strict=False))) / min(n, 400 + n // 2) if n >= 10 else 1.0,  # different pairs of words
+        sum(map(eq, words, words[1:])) / n,  # words that repeat the one before
+        len(set(zip(words, words[1:], strict=False))) / min(n, 400 + n // 2),  # different pairs of words
     ]
 
 
@@ -76,7 +79,7 @@ LIMITS = [
     (0.005, 0.70, 0.05, 0.50),
     (2.0, 14.0, 3.0, 10.0),
     (-1.0, 0.10, -1.0, 0.005),
-    (0.72, 9.0, 0.88, 9.0),
+    (0.55, 9.0, 0.85, 9.0),
     (-1.0, 0.20, -1.0, 0.05),
     (0.40, 9.0, 0.75, 9.0),
 ]
@@ -111,15 +114,16 @@ class WeakModel:
         n = np.array([c for _, c in patterns], dtype=np.float64)
         self.prior = PRIOR
         self.tables = np.empty((2, LABELLERS, 3))  # class bad, good; labeller; vote
+        self.tables[:] = 1
         if not len(v):
-            self.tables[:] = 1 / 3
             return
         post = np.where((v == 1).sum(1) > 0, np.where((v == 1).sum(1) * 3 > (v == 2).sum(1), 0.1, 0.6), 0.95)
         for _ in range(rounds):
             for k, w in enumerate((n * (1 - post), n * post)):
-                for vote in range(3):
+                for vote in (1, 2):
                     self.tables[k, :, vote] = (w[:, None] * (v == vote)).sum(0) + 0.5
-                self.tables[k] /= self.tables[k].sum(1, keepdims=True)
+                self.tables[k] /= self.tables[k, :, 1:].sum(1, keepdims=True)
+                self.tables[k, :, 0] = 1  # no vote says nothing
             self.prior = float((n * post).sum() + 1) / (n.sum() + 2)
             new = self.posterior(v)
             if np.abs(new - post).max() < 1e-9:
