@@ -108,7 +108,9 @@ def links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame
 def groups(docs: DataFrame, shingle: int = 4, dense: int = DENSE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id that links reach) of every document."""
     each = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    fps = checkpointed(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fps = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    fps = checkpointed(fps.repartition(parts, "fp"))  # small rows, but each gives 67 keys: not to be merged into few tasks
     of = star_components(links(fps.select("fp"), dense=dense)).select(F.col("node").alias("fp"), "component")
     named = fps.join(of, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
