@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import checkpointed, stored
 
-__all__ = ["blocks", "checkpointed", "hex64", "pick", "ship", "stored"]
+__all__ = ["blocks", "checkpointed", "hex64", "pick", "release", "ship", "stored"]
 
 #: Bytes of text that one step in a Python worker holds as objects at once.
 BLOCK_BYTES = 4 << 20
@@ -41,6 +43,13 @@ def pick(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def release() -> None:
+    """Give freed memory back to the system: an executor's idle Python workers should not hold what a task has needed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices whose buffers hold about `most` bytes; one longer row is a slice of its own."""
     for batch in batches:
@@ -55,6 +64,7 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
                     yield part.slice(k, 1)
             else:
                 yield part
+    release()
 
 
 def hex64(col):

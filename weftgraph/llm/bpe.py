@@ -12,6 +12,7 @@ Texts: null counts as empty and gives no ids; an id that is null decodes to noth
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._runtime import blocks, pick
+from ._runtime import blocks, pick, release
 
 #: Merged pieces that a worker keeps, some 150 bytes each; beyond it the table starts anew.
-PIECES_KEPT = 600_000
+PIECES_KEPT = 200_000
+#: Bytes of text or ids whose pieces a worker holds as objects at once.
+BLOCK = 1 << 20
 _NONE = 1 << 62
 
 
@@ -96,16 +99,17 @@ class PairTable:
     """(left id, right id) -> id of the merged token, as an open-addressed table for whole arrays of pairs."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = {}
+        keys, values = array("q"), array("q")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
-                    pairs[left << 31 | right] = rank
-        self.bits = max(4, (4 * len(pairs)).bit_length())
+                    keys.append(left << 31 | right)
+                    values.append(rank)
+        keys, values = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64)
+        self.bits = max(4, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
-        self.values = np.full(1 << self.bits, -1, dtype=np.int64)
-        keys, values = np.fromiter(pairs.keys(), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
+        self.values = np.full(1 << self.bits, -1, dtype=np.int32)
         slots = self._slots(keys)
         while len(keys):  # of those that want a free slot, one gets it; the others go one further
             free = self.keys[slots] == -1
@@ -122,7 +126,7 @@ class PairTable:
         keys = left << 31 | right
         slots = self._slots(keys)
         there = self.keys[slots]
-        out = np.where(there == keys, self.values[slots], -1)
+        out = np.where(there == keys, self.values[slots], np.int32(-1)).astype(np.int64)
         todo = np.flatnonzero((there != keys) & (there != -1))
         while len(todo):
             slots[todo] = (slots[todo] + 1) & ((1 << self.bits) - 1)
@@ -216,8 +220,9 @@ class _Pieces(dict):
             elif len(data) == 1:
                 self[piece] = np.array([self.ranks[data]], dtype="<i4").tobytes()
         for size, group in by.items():
-            for at in range(0, len(group), 1 << 14):
-                part = group[at : at + (1 << 14)]
+            step = (1 << 17) // size  # bounds the arrays
+            for at in range(0, len(group), step):
+                part = group[at : at + step]
                 self.update(zip([p for p, _ in part], merge_pieces([d for _, d in part], size, self.ranks, self.single, self.pairs), strict=True))
 
 
@@ -243,7 +248,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, pieces = _encoder(ranks, pattern)
         of = pieces.__getitem__
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK):
             matches = [split(text) if text else [] for text in block.column(1).to_pylist()]
             pieces.learn(set().union(*matches))
             packed = [b"".join(map(of, m)) for m in matches]
@@ -251,6 +256,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             np.cumsum([len(p) // 4 for p in packed], out=ends[1:])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
             yield pa.RecordBatch.from_arrays([block.column(0), ids], names=["doc_id", "ids"])
+        pieces.clear()  # idle workers hold none
+        release()
 
     docs = pick(docs, id_col, text_col)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -262,7 +269,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _decoder(ranks)
         token = table.__getitem__
-        for block in blocks(batches):
+        for block in blocks(batches, BLOCK):
             ids = block.column(1)
             out = [b"".join(map(token, x)) if x else b"" for x in ([i for i in row if i is not None] if row and None in row else row for row in ids.to_pylist())]
             yield pa.RecordBatch.from_arrays([block.column(0), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])

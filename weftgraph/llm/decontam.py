@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick
+from ._runtime import blocks, pick, release
 
 WINDOW = 13
 #: Words of one block of the benchmark (some 10 bytes each), and of one shard of the corpus.
-BLOCK_WORDS, SHARD_WORDS = 2_000_000, 1_000_000
+BLOCK_WORDS, SHARD_WORDS = 2_000_000, 400_000
 #: Every so many positions, a suffix is sampled.
 SAMPLED = 8
 _U = np.uint64
@@ -293,6 +293,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                 ids, shard, size = [], [], 0
         if shard:
             yield flush()
+        ids, shard = [], []
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, n_hit long")
