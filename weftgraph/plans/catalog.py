@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from ..streaming import events as ev
 from ..streaming.bus import windowed_counts
 from ..validation import InRange, JsonSchemas, Matches, OfType, Required, RuleSet, edge_errors, node_errors, report_text
 from . import views as v
-from .views import HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_SQL, table
+from .views import HANDOFF_ALL_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -37,6 +38,16 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def over_handoffs(sql: str, closure: bool = False):
+    """Registers a query over the early errors, and as <name>_all over all events; there without SQL if that is a closure of all pairs."""
+
+    def register(f: Query) -> Query:
+        query(None if closure else sql.replace(HANDOFF_SQL, HANDOFF_ALL_SQL), f"{f.__name__}_all")(partial(f, handoff=v.handoff_all))
+        return query(sql)(f)
+
+    return register
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -64,9 +75,9 @@ def graph_degree_centrality(spark, sf_dir):
     return ranked.select("n_name", "degree", _round(F.col("centrality")).alias("centrality")).orderBy(F.desc("centrality"), "n_name")
 
 
-@query(f"WITH {HANDOFF_SQL}, c AS (SELECT (SELECT count(*) FROM n) AS nc, (SELECT count(*) FROM e) AS ec) SELECT nc AS node_count, ec AS edge_count, round(2.0 * ec / nc, 6) AS average_degree, round(ec / (nc * (nc - 1.0)), 6) AS density FROM c")
-def graph_basic_metrics(spark, sf_dir):
-    return metrics.basic(v.handoff(spark, sf_dir)).select("node_count", "edge_count", _round(F.col("average_degree")).alias("average_degree"), _round(F.col("density")).alias("density"))
+@over_handoffs(f"WITH {HANDOFF_SQL}, c AS (SELECT (SELECT count(*) FROM n) AS nc, (SELECT count(*) FROM e) AS ec) SELECT nc AS node_count, ec AS edge_count, round(2.0 * ec / nc, 6) AS average_degree, round(ec / (nc * (nc - 1.0)), 6) AS density FROM c")
+def graph_basic_metrics(spark, sf_dir, handoff=v.handoff):
+    return metrics.basic(handoff(spark, sf_dir)).select("node_count", "edge_count", _round(F.col("average_degree")).alias("average_degree"), _round(F.col("density")).alias("density"))
 
 
 @query(f"WITH {SUPPLY_SQL} SELECT degree, count(*) AS nodes FROM (SELECT node, count(dst) AS degree FROM n LEFT JOIN e ON node = src GROUP BY node) GROUP BY degree")
@@ -79,32 +90,32 @@ def graph_degrees(spark, sf_dir):
     return v.supply(spark, sf_dir).degrees()
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT node FROM n")
-def graph_nodes(spark, sf_dir):
-    return v.handoff(spark, sf_dir).nodes()
+@over_handoffs(f"WITH {HANDOFF_SQL} SELECT node FROM n")
+def graph_nodes(spark, sf_dir, handoff=v.handoff):
+    return handoff(spark, sf_dir).nodes()
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT src, dst, relation_type, weight FROM e")
-def graph_edges_dedup(spark, sf_dir):
-    return v.handoff(spark, sf_dir).edges().select("src", "dst", "relation_type", "weight")
+@over_handoffs(f"WITH {HANDOFF_SQL} SELECT src, dst, relation_type, weight FROM e")
+def graph_edges_dedup(spark, sf_dir, handoff=v.handoff):
+    return handoff(spark, sf_dir).edges().select("src", "dst", "relation_type", "weight")
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT dst AS node FROM e WHERE src = (SELECT min(node) FROM n)")
-def graph_neighbors(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(f"WITH {HANDOFF_SQL} SELECT dst AS node FROM e WHERE src = (SELECT min(node) FROM n)")
+def graph_neighbors(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return g.neighbors(_ends(g)[0])
 
 
-@query(f"WITH {HANDOFF_SQL}, p AS (SELECT src, min(dst) AS dst FROM e GROUP BY src ORDER BY src LIMIT 1) SELECT e.src, e.dst, relation_type, weight FROM e JOIN p ON e.src = p.src AND e.dst = p.dst")
-def graph_edge_lookup(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(f"WITH {HANDOFF_SQL}, p AS (SELECT src, min(dst) AS dst FROM e GROUP BY src ORDER BY src LIMIT 1) SELECT e.src, e.dst, relation_type, weight FROM e JOIN p ON e.src = p.src AND e.dst = p.dst")
+def graph_edge_lookup(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     src, dst = g.edges().agg(F.min(F.struct("src", "dst")).alias("p")).first()["p"]
     return g.matching((F.col("src") == src) & (F.col("dst") == dst)).select("src", "dst", "relation_type", "weight")
 
 
-@query(f"WITH {HANDOFF_SQL}, kept AS (SELECT src, dst, CASE WHEN relation_type = 'calls' THEN weight + 10 ELSE weight END AS weight FROM e WHERE weight < 4) SELECT src, dst, weight, (SELECT count(*) FROM n) AS node_count FROM kept")
-def graph_add_remove_edges(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(f"WITH {HANDOFF_SQL}, kept AS (SELECT src, dst, CASE WHEN relation_type = 'calls' THEN weight + 10 ELSE weight END AS weight FROM e WHERE weight < 4) SELECT src, dst, weight, (SELECT count(*) FROM n) AS node_count FROM kept")
+def graph_add_remove_edges(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     g.remove_edges(g.matching(F.col("weight") == 4).select("src", "dst"))
     g.add_edges(g.matching(F.col("relation_type") == "calls").withColumn("weight", F.col("weight") + 10))
     nodes = g.nodes().agg(F.count("*").alias("node_count"))
@@ -116,35 +127,35 @@ def graph_add_remove_edges(spark, sf_dir):
 _WALK = f"WITH RECURSIVE {HANDOFF_SQL}, r(node, depth) AS (SELECT min(node), 0 FROM n UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE {{step}}), b AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
 
 
-@query(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b")
-def bfs_unbounded(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b")
+def bfs_unbounded(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return traversal.bfs(g, _ends(g)[0]).select("node", "depth")
 
 
-@query(_WALK.format(step="r.depth < 3") + " SELECT node, depth FROM b")
-def bfs_max_depth(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_WALK.format(step="r.depth < 3") + " SELECT node, depth FROM b")
+def bfs_max_depth(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return traversal.bfs(g, _ends(g)[0], max_depth=3).select("node", "depth")
 
 
-@query(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b WHERE node = (SELECT min(node) FROM n) OR node NOT LIKE '%7'")
-def bfs_filtered(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b WHERE node = (SELECT min(node) FROM n) OR node NOT LIKE '%7'")
+def bfs_filtered(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     start = _ends(g)[0]
     return traversal.bfs(g, start, emit=lambda n: (n == start) | ~n.endswith("7")).select("node", "depth")
 
 
-@query(_WALK.format(step="r.depth < 40 AND e.dst NOT LIKE '%7'") + " SELECT DISTINCT node FROM b")
-def reachable_pruned(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_WALK.format(step="r.depth < 40 AND e.dst NOT LIKE '%7'") + " SELECT DISTINCT node FROM b")
+def reachable_pruned(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     start = _ends(g)[0]
     return traversal.dfs(g, start, prune=lambda n: (n == start) | ~n.endswith("7")).select("node")
 
 
 @query()
 def dfs_preorder(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+    g = v.handoff_all(spark, sf_dir)
     return traversal.dfs(g, _ends(g)[0])
 
 
@@ -160,15 +171,15 @@ def _path_row(spark, p: paths.PathResult) -> DataFrame:
     return spark.createDataFrame([(">".join(p.nodes), p.total_weight, p.length)], "path string, total_weight double, length int")
 
 
-@query(_SHORT.format(weight="CAST(1 AS DOUBLE)"))
-def shortest_path_unweighted(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_SHORT.format(weight="CAST(1 AS DOUBLE)"))
+def shortest_path_unweighted(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return _path_row(spark, paths.shortest_path(g, *_ends(g)))
 
 
-@query(_SHORT.format(weight="weight"))
-def shortest_path_weighted(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_SHORT.format(weight="weight"))
+def shortest_path_weighted(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return _path_row(spark, paths.shortest_path(g, *_ends(g), weight=F.col("weight")))
 
 
@@ -220,9 +231,9 @@ def component_sizes(spark, sf_dir):
     return components.component_sizes(components.weak_components(v.similar(spark, sf_dir)))
 
 
-@query(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node) SELECT a.s AS node, min(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s")
-def strongly_connected_components(spark, sf_dir):
-    return components.strong_components(v.handoff(spark, sf_dir))
+@over_handoffs(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node) SELECT a.s AS node, min(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s", closure=True)
+def strongly_connected_components(spark, sf_dir, handoff=v.handoff):
+    return components.strong_components(handoff(spark, sf_dir))
 
 
 _CLUSTER = f"""WITH {HANDOFF_SQL}, u AS (SELECT src AS x, dst AS y FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), k AS (SELECT node, count(y) AS k FROM n LEFT JOIN u ON x = node GROUP BY node),
@@ -230,49 +241,49 @@ l AS (SELECT a.x AS node, count(*) AS l FROM u a JOIN u b ON a.x = b.x AND a.y <
 c AS (SELECT k.node, k AS neighbors, CASE WHEN k < 2 THEN 0.0 ELSE coalesce(l, 0) / CAST(k * (k - 1) AS DOUBLE) END AS coefficient FROM k LEFT JOIN l ON k.node = l.node)"""
 
 
-@query(_CLUSTER + " SELECT node, neighbors, round(coefficient, 6) AS coefficient FROM c")
-def clustering_coefficient(spark, sf_dir):
-    return components.clustering(v.handoff(spark, sf_dir)).select("node", "neighbors", _round(F.col("coefficient")).alias("coefficient"))
+@over_handoffs(_CLUSTER + " SELECT node, neighbors, round(coefficient, 6) AS coefficient FROM c")
+def clustering_coefficient(spark, sf_dir, handoff=v.handoff):
+    return components.clustering(handoff(spark, sf_dir)).select("node", "neighbors", _round(F.col("coefficient")).alias("coefficient"))
 
 
-@query(_CLUSTER + " SELECT round(avg(coefficient), 6) AS clustering_coefficient FROM c")
-def avg_clustering(spark, sf_dir):
-    return metrics.average_clustering(v.handoff(spark, sf_dir)).select(_round(F.col("clustering_coefficient")).alias("clustering_coefficient"))
+@over_handoffs(_CLUSTER + " SELECT round(avg(coefficient), 6) AS clustering_coefficient FROM c")
+def avg_clustering(spark, sf_dir, handoff=v.handoff):
+    return metrics.average_clustering(handoff(spark, sf_dir)).select(_round(F.col("clustering_coefficient")).alias("clustering_coefficient"))
 
 
-@query(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node, d) AS (SELECT node, node, 0 FROM n UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 40), p AS (SELECT s, node, min(d) AS d FROM r GROUP BY s, node HAVING s <> node) SELECT CASE WHEN count(*) = (SELECT count(*) * (count(*) - 1) FROM n) THEN max(d) END AS diameter, round(avg(d), 6) AS average_path_length, (SELECT count(*) FROM n) AS sample_size, CAST(1 AS DOUBLE) AS confidence FROM p")
-def path_metrics_exact(spark, sf_dir):
-    return metrics.path_metrics(v.handoff(spark, sf_dir)).withColumn("average_path_length", _round(F.col("average_path_length")))
+@over_handoffs(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node, d) AS (SELECT node, node, 0 FROM n UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 40), p AS (SELECT s, node, min(d) AS d FROM r GROUP BY s, node HAVING s <> node) SELECT CASE WHEN count(*) = (SELECT count(*) * (count(*) - 1) FROM n) THEN max(d) END AS diameter, round(avg(d), 6) AS average_path_length, (SELECT count(*) FROM n) AS sample_size, CAST(1 AS DOUBLE) AS confidence FROM p", closure=True)
+def path_metrics_exact(spark, sf_dir, handoff=v.handoff):
+    return metrics.path_metrics(handoff(spark, sf_dir)).withColumn("average_path_length", _round(F.col("average_path_length")))
 
 
 @query()
 def path_metrics_sampled(spark, sf_dir):
-    return metrics.path_metrics_sampled(v.handoff(spark, sf_dir), size=40)
+    return metrics.path_metrics_sampled(v.handoff_all(spark, sf_dir), size=40)
 
 
 @query()
 def clustering_sampled(spark, sf_dir):
-    return metrics.clustering_sampled(v.handoff(spark, sf_dir), size=60)
+    return metrics.clustering_sampled(v.handoff_all(spark, sf_dir), size=60)
 
 
 @query()
 def graph_metrics_all(spark, sf_dir):
-    m = metrics.calculate(v.handoff(spark, sf_dir))
+    m = metrics.calculate(v.handoff_all(spark, sf_dir))
     return spark.createDataFrame([(m.node_count, m.edge_count, m.average_degree, m.density, m.clustering_coefficient, m.connected_components, m.diameter, m.average_path_length, m.confidence)], "node_count long, edge_count long, average_degree double, density double, clustering_coefficient double, connected_components long, diameter int, average_path_length double, confidence double")
 
 
 # subgraphs
 
 
-@query(_WALK.format(step="r.depth < 2") + " SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM b) AND dst IN (SELECT node FROM b)")
-def ego_network(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_WALK.format(step="r.depth < 2") + " SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM b) AND dst IN (SELECT node FROM b)")
+def ego_network(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return subgraphs.neighborhood(g, _ends(g)[0], 2)[1].select("src", "dst", "relation_type")
 
 
-@query(_WALK.format(step="r.depth < 3") + ", s AS (SELECT node FROM b WHERE node NOT LIKE '%7') SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s) AND relation_type = 'depends_on'")
-def ego_network_filtered(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(_WALK.format(step="r.depth < 3") + ", s AS (SELECT node FROM b WHERE node NOT LIKE '%7') SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s) AND relation_type = 'depends_on'")
+def ego_network_filtered(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     return subgraphs.neighborhood(g, _ends(g)[0], 3, lambda n: ~n.endswith("7"), F.col("relation_type") == "depends_on")[1].select("src", "dst", "relation_type")
 
 
@@ -288,10 +299,10 @@ def edge_end_types(spark, sf_dir):
     return subgraphs.with_end_types(g.edges(), nodes).groupBy("src_type", "dst_type").agg(F.count("*").alias("edges"))
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS edges FROM e GROUP BY 1, 2")
-def undirected_edge_keys(spark, sf_dir):
+@over_handoffs(f"WITH {HANDOFF_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS edges FROM e GROUP BY 1, 2")
+def undirected_edge_keys(spark, sf_dir, handoff=v.handoff):
     key = subgraphs.edge_key(directed=False)
-    return v.handoff(spark, sf_dir).edges().groupBy(key.alias("k")).agg(F.count("*").alias("edges")).select(F.col("k").getField("col1").alias("a"), F.col("k").getField("col2").alias("b"), "edges")
+    return handoff(spark, sf_dir).edges().groupBy(key.alias("k")).agg(F.count("*").alias("edges")).select(F.col("k").getField("col1").alias("a"), F.col("k").getField("col2").alias("b"), "edges")
 
 
 # search
@@ -426,19 +437,19 @@ def dependency_one_level(spark, sf_dir):
     return with_dependencies(v.order_nodes(spark, sf_dir), f"O{last}", transitive=False).select("name")
 
 
-@query(f"WITH {HANDOFF_SQL}, s AS (SELECT min(node) AS s FROM n) SELECT 'outgoing' AS direction, count(*) AS edges FROM e, s WHERE src = s UNION ALL SELECT 'incoming', count(*) FROM e, s WHERE dst = s UNION ALL SELECT 'both', count(*) FROM e, s WHERE src = s OR dst = s")
-def node_edges_direction(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+@over_handoffs(f"WITH {HANDOFF_SQL}, s AS (SELECT min(node) AS s FROM n) SELECT 'outgoing' AS direction, count(*) AS edges FROM e, s WHERE src = s UNION ALL SELECT 'incoming', count(*) FROM e, s WHERE dst = s UNION ALL SELECT 'both', count(*) FROM e, s WHERE src = s OR dst = s")
+def node_edges_direction(spark, sf_dir, handoff=v.handoff):
+    g = handoff(spark, sf_dir)
     start = _ends(g)[0]
     out, into = F.col("src") == start, F.col("dst") == start
     sides = g.edges().agg(*[F.count_if(c).alias(k) for k, c in (("outgoing", out), ("incoming", into), ("both", out | into))])
     return sides.unpivot([], ["outgoing", "incoming", "both"], "direction", "edges")
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT src || ':' || relation_type || ':' || dst AS edge_id, src, dst FROM e")
-def edge_ids(spark, sf_dir):
+@over_handoffs(f"WITH {HANDOFF_SQL} SELECT src || ':' || relation_type || ':' || dst AS edge_id, src, dst FROM e")
+def edge_ids(spark, sf_dir, handoff=v.handoff):
     key = scalar.edge_id(F.col("src"), F.col("relation_type"), F.col("dst"))
-    ids = v.handoff(spark, sf_dir).edges().select(key.alias("edge_id"))
+    ids = handoff(spark, sf_dir).edges().select(key.alias("edge_id"))
     parts = scalar.edge_id_parts(F.col("edge_id"), ["calls", "depends_on"])
     return ids.select("edge_id", parts["from_entity"].alias("src"), parts["to_entity"].alias("dst"))
 
@@ -517,11 +528,11 @@ def integrity_report(spark, sf_dir):
     return v.order_nodes(spark, sf_dir).select("name", F.array_join(node_errors(), "; ").alias("errors"))
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT src, dst, concat_ws('; ', CASE WHEN relation_type = 'calls' THEN 'relation_type must be a known relation type' END, CASE WHEN weight > 3 THEN 'confidence must be between 0 and 1' END, CASE WHEN weight < 2 THEN 'weight must be non-negative' END) AS errors FROM e")
-def edge_integrity(spark, sf_dir):
+@over_handoffs(f"WITH {HANDOFF_SQL} SELECT src, dst, concat_ws('; ', CASE WHEN relation_type = 'calls' THEN 'relation_type must be a known relation type' END, CASE WHEN weight > 3 THEN 'confidence must be between 0 and 1' END, CASE WHEN weight < 2 THEN 'weight must be non-negative' END) AS errors FROM e")
+def edge_integrity(spark, sf_dir, handoff=v.handoff):
     from ..schema import with_edge_defaults
 
-    e = v.handoff(spark, sf_dir).edges()
+    e = handoff(spark, sf_dir).edges()
     rows = with_edge_defaults(e.select(F.col("src").alias("from_entity"), F.col("dst").alias("to_entity"), F.when(F.col("relation_type") == "calls", "phones").otherwise(F.col("relation_type")).alias("relation_type"), F.col("weight").alias("w")).drop("w"))
     rows = rows.join(e.select(F.col("src").alias("from_entity"), F.col("dst").alias("to_entity"), F.col("weight").alias("w")), ["from_entity", "to_entity"])
     rows = rows.withColumn("metadata", F.col("metadata").withField("confidence", F.when(F.col("w") > 3, 1.5).otherwise(0.5)).withField("weight", F.col("w") - 2))

@@ -33,7 +33,10 @@ n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 
 def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User -> next user of the same day among early errors; a pair may recur."""
-    events = table(spark, sf_dir, "events").where("event_type = 'error' and ts < timestamp_ntz '2024-01-04'")
+    return _next_users(table(spark, sf_dir, "events").where("event_type = 'error' and ts < timestamp_ntz '2024-01-04'"))
+
+
+def _next_users(events: DataFrame) -> DataFrame:
     after = F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
     pairs = events.select("user_id", "event_id", after.alias("after"))
     kind = F.when(F.col("event_id") % 3 == 0, "calls").otherwise("depends_on")
@@ -44,6 +47,11 @@ def handoff(spark: SparkSession, sf_dir: str) -> KGraph:
     return KGraph(handoff_edges(spark, sf_dir))
 
 
+def handoff_all(spark: SparkSession, sf_dir: str) -> KGraph:
+    """As handoff, over all rows of events."""
+    return KGraph(_next_users(table(spark, sf_dir, "events")))
+
+
 HANDOFF_SQL = """
 raw AS (SELECT 'U' || user_id AS src, 'U' || lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst,
   CASE WHEN event_id % 3 = 0 THEN 'calls' ELSE 'depends_on' END AS relation_type, CAST(1 + event_id % 4 AS DOUBLE) AS weight, event_id AS ordinal
@@ -52,6 +60,8 @@ e AS (SELECT src, dst, relation_type, weight, ordinal FROM (SELECT *, row_number
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 """
 
+HANDOFF_ALL_SQL = HANDOFF_SQL.replace(" WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-04'", "")
+
 
 def supply(spark: SparkSession, sf_dir: str) -> KGraph:
     """Supplier -> part; weight is the quantity."""
