@@ -48,3 +48,17 @@ def test_handoffs_of_all_events(spark, handed):
     assert {r["node"] for r in run("dfs_preorder")} == {b for a, b in far if a == start}
     [row] = run("graph_metrics_all")
     assert (row["node_count"], row["edge_count"]) == (len(nodes), len(links))
+
+
+def test_similar_vectors_of_all_labels(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(views, "BLOCK", 7)  # several blocks
+    x = np.random.default_rng(3).normal(size=(40, 4)).round(2)
+    x[5], x[6] = x[4], 0
+    spark.createDataFrame([(i, [float(c) for c in v], i % 5) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(np.float32).astype(float)
+    size = np.linalg.norm(x, axis=1)
+    want = {(f"{a:08d}", f"{b:08d}") for a in range(40) for b in range(a + 1, 40) if size[a] * size[b] and x[a] @ x[b] / (size[a] * size[b]) >= 0.8}
+    found = [(r["src"], r["dst"]) for r in views.similar_all(spark, str(tmp_path), 0.8).edges().collect()]
+    assert set(found) == want and len(found) == len(want) and any(int(a) % 5 != int(b) % 5 for a, b in want)

@@ -21,7 +21,7 @@ from ..streaming import events as ev
 from ..streaming.bus import windowed_counts
 from ..validation import InRange, JsonSchemas, Matches, OfType, Required, RuleSet, edge_errors, node_errors, report_text
 from . import views as v
-from .views import HANDOFF_ALL_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_SQL, table
+from .views import HANDOFF_ALL_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_ALL_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -231,6 +231,19 @@ def component_sizes(spark, sf_dir):
     return components.component_sizes(components.weak_components(v.similar(spark, sf_dir)))
 
 
+_WEAK_ALL = _WEAK.replace(SIMILAR_SQL, SIMILAR_ALL_SQL)
+
+
+@query(_WEAK_ALL + " SELECT node, component FROM c")
+def weakly_connected_components_all(spark, sf_dir):
+    return components.weak_components(v.similar_all(spark, sf_dir))
+
+
+@query(_WEAK_ALL + " SELECT component, count(*) AS size FROM c GROUP BY component")
+def component_sizes_all(spark, sf_dir):
+    return components.component_sizes(components.weak_components(v.similar_all(spark, sf_dir)))
+
+
 @over_handoffs(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node) SELECT a.s AS node, min(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s", closure=True)
 def strongly_connected_components(spark, sf_dir, handoff=v.handoff):
     return components.strong_components(handoff(spark, sf_dir))

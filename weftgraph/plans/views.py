@@ -110,6 +110,48 @@ e AS (SELECT lpad(CAST(a.vec_id AS VARCHAR), 8, '0') AS src, lpad(CAST(b.vec_id
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 """
 
+SIMILAR_ALL_SQL = SIMILAR_SQL.replace("a.label = b.label AND ", "")
+
+#: Vectors in a block of similar_all.
+BLOCK = 512
+
+
+def similar_all(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
+    """As similar, over all pairs whatever their labels.
+
+    Vectors are dealt into blocks by their id's hash. Each two blocks (and each with itself) meet in one task, where a matrix
+    product leaves the pairs near the threshold; these are judged by the same sum as in similar.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.vector import cosine
+
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = max(1, -(-vectors.count() // BLOCK))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = vectors.select("vec_id", "embedding", block.alias("block")).select("*", other.alias("other"))
+    dealt = dealt.select("vec_id", "embedding", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+
+    def meet(found: pa.Table) -> pa.Table:
+        ids, lists = found["vec_id"].to_numpy(), found["embedding"].to_pylist()
+        p, here = found["p"][0].as_py(), found["block"].to_numpy()
+        left, right = np.flatnonzero(here == p), np.flatnonzero(here == found["q"][0].as_py())
+        x = np.array(lists, dtype=np.float64)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        i, j = np.nonzero(x[left] @ x[right].T >= least - 1e-9)
+        i, j = left[i], right[j]
+        once = ids[i] < ids[j] if len(left) and p == found["q"][0].as_py() else ids[i] != ids[j]
+        i, j = i[once], j[once]
+        swap = ids[i] > ids[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        kind = pa.list_(pa.float64())
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "x": pa.array([lists[k] for k in a], kind), "y": pa.array([lists[k] for k in b], kind)})
+
+    near = dealt.groupBy("p", "q").applyInArrow(meet, "a long, b long, x array<double>, y array<double>").where(cosine(F.col("x"), F.col("y")) >= least)
+    return KGraph(near.select(F.lpad(F.col("a").cast("string"), 8, "0").alias("src"), F.lpad(F.col("b").cast("string"), 8, "0").alias("dst"), F.lit("correlates_with").alias("relation_type")))
+
 
 def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nodes of the data model; an order depends on the one of half its key."""
