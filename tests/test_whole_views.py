@@ -62,3 +62,16 @@ def test_similar_vectors_of_all_labels(spark, tmp_path, monkeypatch):
     want = {(f"{a:08d}", f"{b:08d}") for a in range(40) for b in range(a + 1, 40) if size[a] * size[b] and x[a] @ x[b] / (size[a] * size[b]) >= 0.8}
     found = [(r["src"], r["dst"]) for r in views.similar_all(spark, str(tmp_path), 0.8).edges().collect()]
     assert set(found) == want and len(found) == len(want) and any(int(a) % 5 != int(b) % 5 for a, b in want)
+
+
+def test_trade_of_all_orders(spark, small, tmp_path):
+    """An order outside the first week makes a link, also in entry()."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+
+    read = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    sold = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    want = {(f"N{r[0]}", f"N{r[1]}") for r in sold.select("s_nationkey", "c_nationkey").distinct().collect()}
+    assert {(r["src"], r["dst"]) for r in views.trade(spark, small, None, None).edges().collect()} == want
+    assert sum(r["degree"] for r in entry.entry(spark).collect()) == len(want)

@@ -21,7 +21,7 @@ from ..streaming import events as ev
 from ..streaming.bus import windowed_counts
 from ..validation import InRange, JsonSchemas, Matches, OfType, Required, RuleSet, edge_errors, node_errors, report_text
 from . import views as v
-from .views import HANDOFF_ALL_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_ALL_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_SQL, table
+from .views import HANDOFF_ALL_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_ALL_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_ALL_SQL, TRADE_SQL, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -68,13 +68,25 @@ def _round(c):
 # graph core and metrics
 
 
-@query(f"WITH {TRADE_SQL} SELECT n_name, d AS degree, round(d / (SELECT count(*) - 1 FROM n), 6) AS centrality FROM (SELECT node, count(dst) AS d FROM n LEFT JOIN e ON node = src GROUP BY node) JOIN nation ON node = 'N' || n_nationkey")
-def graph_degree_centrality(spark, sf_dir):
-    g = v.trade(spark, sf_dir).persist()
+_CENTRALITY = f"WITH {TRADE_SQL} SELECT n_name, d AS degree, round(d / (SELECT count(*) - 1 FROM n), 6) AS centrality FROM (SELECT node, count(dst) AS d FROM n LEFT JOIN e ON node = src GROUP BY node) JOIN nation ON node = 'N' || n_nationkey"
+
+
+def _centrality(spark, sf_dir, g):
+    g = g.persist()
     ranked = metrics.degree_centrality(g).join(g.degrees(), "node").join(table(spark, sf_dir, "nation"), F.col("node") == F.concat(F.lit("N"), "n_nationkey"))
     return ranked.select("n_name", "degree", _round(F.col("centrality")).alias("centrality")).orderBy(F.desc("centrality"), "n_name")
 
 
+@query(_CENTRALITY)
+def graph_degree_centrality(spark, sf_dir):
+    return _centrality(spark, sf_dir, v.trade(spark, sf_dir))
+
+
+@query(_CENTRALITY.replace(TRADE_SQL, TRADE_ALL_SQL))
+def graph_degree_centrality_all(spark, sf_dir):
+    return _centrality(spark, sf_dir, v.trade(spark, sf_dir, None, None))
+
+
 @over_handoffs(f"WITH {HANDOFF_SQL}, c AS (SELECT (SELECT count(*) FROM n) AS nc, (SELECT count(*) FROM e) AS ec) SELECT nc AS node_count, ec AS edge_count, round(2.0 * ec / nc, 6) AS average_degree, round(ec / (nc * (nc - 1.0)), 6) AS density FROM c")
 def graph_basic_metrics(spark, sf_dir, handoff=v.handoff):
     return metrics.basic(handoff(spark, sf_dir)).select("node_count", "edge_count", _round(F.col("average_degree")).alias("average_degree"), _round(F.col("density")).alias("density"))

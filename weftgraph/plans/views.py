@@ -12,9 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade(spark: SparkSession, sf_dir: str, start: str = "1995-01-01", end: str = "1995-01-07") -> KGraph:
-    """Nation of the supplier -> nation of the customer, for orders of some days; weight is the revenue."""
-    orders = table(spark, sf_dir, "orders").where(F.col("o_orderdate").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))).select("o_orderkey", "o_custkey")
+def trade(spark: SparkSession, sf_dir: str, start: str | None = "1995-01-01", end: str | None = "1995-01-07") -> KGraph:
+    """Nation of the supplier -> nation of the customer, for orders of some days (all, without start and end); weight is the revenue."""
+    orders = table(spark, sf_dir, "orders")
+    if start is not None:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        orders = orders.where(F.col("o_orderdate") <= F.lit(end).cast("timestamp_ntz"))
+    orders = orders.select("o_orderkey", "o_custkey")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("to"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("of"))
@@ -30,6 +35,8 @@ e AS (SELECT 'N' || s_nationkey AS src, 'N' || c_nationkey AS dst, sum(l_extende
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 """
 
+TRADE_ALL_SQL = TRADE_SQL.replace("  WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-01-07' GROUP", "  GROUP")
+
 
 def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User -> next user of the same day among early errors; a pair may recur."""
