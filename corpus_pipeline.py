@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the columns of
 docs. run() writes each stage's rows as Parquet in the shared folder and reads them again for the next.
 
-Rows without text go in the first stage. Rows are told apart by doc_id in the near-duplicate stage, where rows that repeat a
-doc_id count as one document. Extra columns pass through. A document that loses all its lines stays, with an empty text, until
+Rows without text go in the first stage. The near-duplicate stage follows operator 9 and tells rows apart by doc_id and text, so
+rows that share an id or have none go only because of their text. Extra columns pass through. A document that loses all its lines stays, with an empty text, until
 the near-duplicate stage joins it with the other empty ones.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, decontam, langid, linededup, simhash
-from weftgraph.llm._runtime import stored
+from weftgraph.llm._runtime import checkpointed, stored
 
 #: run() has no SQL form: learned models, tokenisation and components are in it. It is tested against a brute-force version.
 ORACLE_SQL = None
@@ -40,9 +40,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
-    stay = simhash.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of linked rows, the one with the smallest (doc_id, text) stays, null ids last.
+
+    A row's mark is its id and the digest of its text. Groups name their least mark; only where several texts of a group have
+    the least id, or all lack one, are the texts themselves compared.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    mark = F.struct(docs["doc_id"].isNull().alias("none"), docs["doc_id"].alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    found = simhash.groups(docs.select(mark.alias("mark"), docs["text"]), id_col="mark")
+    least = (F.col("doc_id.none") == F.col("component_id.none")) & F.col("doc_id.id").eqNullSafe(F.col("component_id.id"))
+    able = checkpointed(found.where(least).select(F.col("doc_id").alias("mark"), F.col("component_id").alias("group")).distinct())
+    count = able.groupBy("group").agg(F.count("*").alias("n"))
+    tied = able.join(count.where("n > 1"), "group").select("mark", "group")
+    stay = able.join(count.where("n = 1"), "group").select("mark")
+    if not tied.isEmpty():
+        texts = docs.select(mark.alias("mark"), text.alias("text")).join(tied, "mark")
+        stay = stay.union(texts.groupBy("group").agg(F.min_by("mark", "text").alias("mark")).select("mark"))
+    rows = docs.select(mark.alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(stay, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,3 +60,12 @@ def test_against_brute_force(spark, small):
     assert {r["doc_id"]: r["ids"] for r in found} == want and len(found) == len(want)
     text = dict(rows)
     assert all(r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() for r in found)
+
+
+def test_near_duplicates_by_row(spark, documents, tmp_path):
+    """Rows that share an id, or have none, go only because of their text."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (1, text(4)), (2, text(4)), (2, text(5)), (3, text(6)), (3, text(7)), (3, text(7)), (4, text(3)), (None, "B c"), (None, "b C"), (9, "d e"), (9, "D e")]
+    found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents(rows), str(tmp_path)).collect()]
+    want = [(None, text(1)), (None, text(2)), (1, text(4)), (2, text(5)), (3, text(6)), (3, text(7)), (4, text(3)), (None, "B c"), (9, "D e")]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
