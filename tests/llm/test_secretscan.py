@@ -32,3 +32,15 @@ def test_without_labels_all_are_reported(spark, documents):
     none = s.train([])
     assert s.scan(documents([(1, "q1" * 10)]), none).first()["findings"][0]["score"] == 0.5
     assert s.train([("", "q1" * 10, "", 1)] * 3).predict(np.zeros((2, 22))).tolist() == [0.5, 0.5]
+
+
+def test_long_and_short_secrets(spark, documents):
+    """Runs of over 512 characters, short passwords and plain ones are scored and redacted."""
+    import random
+
+    r = random.Random(5)
+    long = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000))
+    rows = [(1, f'token = "{long}" end'), (2, 'password = "hT7k2Qz9" end'), (3, "password: qzkwvxjrpmtn end"), (4, "pwd=hT7k2Qz9 end"), (5, "a password is needed here")]
+    found = {x["doc_id"]: x for x in s.scan(documents(rows), s.train()).collect()}
+    assert [found[i]["n_candidates"] for i in range(1, 6)] == [1, 1, 1, 1, 0]
+    assert found[1]["redacted"] == 'token = "[SECRET]" end' and found[2]["redacted"] == 'password = "[SECRET]" end' and found[4]["redacted"] == "pwd=[SECRET] end"

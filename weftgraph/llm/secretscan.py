@@ -1,7 +1,7 @@
 """Secret scan: candidate strings by pattern, false positives removed by a random forest.
 
-Candidates are unbroken runs of 16 to 512 token characters that hold a digit or change case; a longer run gives none. Features
-of a candidate: length, shares of character classes, transitions between classes, entropy, how much of it dictionary words
+Candidates are unbroken runs of at least 16 token characters that hold a digit or change case, of any length, and runs of 6 or
+more of any kind whose last words before them point to a secret and end in = or : (`name=value` gives its value). Features of a candidate: length, shares of character classes, transitions between classes, entropy, how much of it dictionary words
 cover, whether it looks like a path, a UUID or plain hexadecimal, and what the words before and after it say. The forest is
 trained here on labelled findings: rows (before, candidate, after, label). `labelled_findings()` makes a set from rules with a
 fixed seed (keys and tokens in their usual contexts against hashes of commits, identifiers, card and phone numbers, paths,
@@ -50,6 +50,27 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_LONG = re.compile(r"(?<![A-Za-z0-9_\-+/=.~])[A-Za-z0-9_\-+/=.~]{513,}")
+_VALUE = re.compile(r"[A-Za-z0-9_\-+/=.~]{6,}")
+_ASSIGNS = re.compile(r"[=:]+[ \t]*[\"'`]?")
+_NAME = re.compile(r"(?:%s)[\"'`]?[ \t]*$" % "|".join(SECRET_WORDS), re.I)
+
+
+def places(text: str) -> list[tuple[int, int]]:
+    """Begin and end of each candidate of scan(): those of candidates(), longer runs, and shorter or plain ones that a secret's word assigns."""
+    found = candidates(text)
+    for m in _LONG.finditer(text):
+        s = m.group().rstrip(".")
+        if any(map(str.isdigit, s)) or (s != s.lower() and s[1:] != s[1:].lower() and s != s.upper()):
+            found.append((m.start(), m.start() + len(s)))
+    for m in _ASSIGNS.finditer(text):
+        if _NAME.search(text[max(0, m.start() - NEAR) : m.start()]) and (value := _VALUE.match(text, m.end())):
+            a, s = m.end(), value.group().rstrip(".")
+            if len(s) >= 6 and not any(x < a + len(s) and a < y for x, y in found):
+                found.append((a, a + len(s)))
+    return sorted(found)
+
+
 def candidate_features(before: str, candidate: str, after: str) -> list[float]:
     n = len(candidate)
     classes = [_class(c) for c in candidate]
@@ -181,10 +202,10 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         for block in blocks(batches):
             texts = [t or "" for t in block.column(1).to_pylist()]
-            places = [candidates(t) for t in texts]
-            x = np.array([candidate_features(t[max(0, a - NEAR) : a], t[a:b], t[b : b + NEAR]) for t, p in zip(texts, places, strict=True) for a, b in p], dtype=np.float64)
+            spots = [places(t) for t in texts]
+            x = np.array([candidate_features(t[max(0, a - NEAR) : a], t[a:b], t[b : b + NEAR]) for t, p in zip(texts, spots, strict=True) for a, b in p], dtype=np.float64)
             scores = iter(forest.predict(x).tolist())
-            found = [[(a, b, s) for (a, b), s in zip(p, scores, strict=False) if s >= threshold] if p else [] for p in places]
+            found = [[(a, b, s) for (a, b), s in zip(p, scores, strict=False) if s >= threshold] if p else [] for p in spots]
             redacted = []
             for text, hits in zip(texts, found, strict=True):
                 at, out = 0, []
@@ -193,7 +214,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
                     at = b
                 redacted.append("".join(out) + text[at:])
             listed = [[{"start": a, "stop": b, "score": s} for a, b, s in hits] for hits in found]
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(map(len, places), pa.int64()), pa.array(listed, kind), pa.array(redacted, pa.string())], names=["doc_id", "n_candidates", "findings", "redacted"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(map(len, spots), pa.int64()), pa.array(listed, kind), pa.array(redacted, pa.string())], names=["doc_id", "n_candidates", "findings", "redacted"])
 
     docs = pick(docs, id_col, text_col)
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_candidates long, findings array<struct<start:int,stop:int,score:double>>, redacted string")
