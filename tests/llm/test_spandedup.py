@@ -5,6 +5,67 @@ import pytest
 from weftgraph.llm import spandedup
 
 
+def plain_sentences(text):
+    """By looking at each character: where a sentence and the white space after it end."""
+    out, begin, i = [], 0, 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in ".!?":
+            j += 1
+        k = j
+        while k < len(text) and text[k].isspace():
+            k += 1
+        if k > j and (j > i or "\n" in text[j:k]):
+            out.append(text[begin:k])
+            begin = i = k
+        else:
+            i = max(k, i + 1)
+    return [*out, *([text[begin:]] if begin < len(text) else [])]
+
+
+def plain_spans(counts, words=25, fewest=2, most=5):
+    """Every run, by trying all: the shortest from each sentence on and up to each one."""
+    full = [i for i, c in enumerate(counts) if c]
+    ok = lambda a, b: b - a >= fewest and (b - a == most or sum(counts[full[k]] for k in range(a, b)) >= words or False)
+    found, n = set(), len(full)
+    for a in range(n):
+        if ends := [b for b in range(a + fewest, min(n, a + most) + 1) if ok(a, b)]:
+            found.add((full[a], full[ends[0] - 1] + 1))
+        if starts := [b for b in range(a + 1 - fewest, max(-1, a - most), -1) if b >= 0 and ok(b, a + 1)]:
+            found.add((full[starts[0]], full[a] + 1))
+    return sorted(found)
+
+
+def plain(rows):
+    """doc_id, text -> numbers of the removed sentences, by comparing all spans of all documents."""
+    held, of = {}, []
+    for i, text in rows:
+        parts = plain_sentences(text or "")
+        norm = [" ".join(p.lower().split()) for p in parts]
+        runs = [(a, b, " ".join(x for x in norm[a:b] if x)) for a, b in plain_spans([len(x.split()) for x in norm])]
+        of.append((i, text, parts, runs))
+        for *_, key in runs:
+            place = (i is None, i or 0, spandedup_row(text))
+            held[key] = min(held.get(key, place), place)
+    out = []
+    for i, text, parts, runs in of:
+        gone = {k for a, b, key in runs if held[key] != (i is None, i or 0, spandedup_row(text)) for k in range(a, b)}
+        out.append((i, len(parts), sorted(gone), "".join(p for k, p in enumerate(parts) if k not in gone)))
+    return out
+
+
+def spandedup_row(text):
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def check(df, rows, **options):
+    found = [(x["doc_id"], x["n_sentences"], sorted(k for s in x["removed"] for k in range(s["start"], s["stop"])), x["kept_text"]) for x in spandedup.dedup(df, **options).collect()]
+    assert sorted(found, key=repr) == sorted(plain(rows), key=repr)
+
+
 @pytest.mark.parametrize("share", [0.001, 0.9])
 def test_passage_that_repeats(spark, documents, share):
     r = random.Random(4)
@@ -19,43 +80,59 @@ def test_passage_that_repeats(spark, documents, share):
         assert (found[i]["removed"] == []) == (i % 2 == 0 or i == 1)
 
 
-def test_copies_and_parts_of_a_sentence(spark, documents):
+def test_short_sentences_and_one_long_one(spark, documents):
+    """Five short sentences are a run without 25 words; one sentence alone, however long, is none."""
+    short, long = "He came. She saw. They went. It rained. All slept. ", " ".join(f"word{i}" for i in range(60)) + ". "
+    rows = [(1, short), (2, "Something else first. " + short), (3, long), (4, "Another start here. " + long), (5, "He came. She saw. They went.")]
+    found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(documents(rows)).collect()}
+    assert found == {1: short, 2: "Something else first. ", 3: long, 4: "Another start here. " + long, 5: "He came. She saw. They went."}
+
+
+def test_copies_in_any_case(spark, documents):
     text = " ".join(f"word{i}" for i in range(60)) + ".\nShort one. " + " ".join(f"more{i}" for i in range(30)) + "! End."
     rows = [(3, text), (1, text.upper()), (2, "Other words before. " + text), (4, "word0 word1 word2.")]
+    check(documents(rows), rows)
     found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(documents(rows)).collect()}
     assert found == {1: text.upper(), 2: "Other words before. ", 3: "", 4: "word0 word1 word2."}
 
 
-def test_repeats_within_a_document(spark, documents):
+def test_repeats_within_a_document_stay_in_the_first(spark, documents):
     s = "One two three four five six seven eight nine ten eleven twelve thirteen. "
-    found = spandedup.dedup(documents([(1, s * 6)])).first()
-    assert found["n_sentences"] == 6 and found["kept_text"] == s
+    rows = [(1, s * 6), (2, "Own words. " + s * 3)]
+    found = {x["doc_id"]: x for x in spandedup.dedup(documents(rows)).collect()}
+    assert found[1]["n_sentences"] == 6 and found[1]["kept_text"] == s * 6 and found[2]["kept_text"] == "Own words. "
 
 
-def test_odd_rows(spark, documents, odd):
-    found = spandedup.dedup(documents(odd)).collect()
-    assert sorted(str(x["doc_id"]) for x in found) == sorted(str(r[0]) for r in odd)
-    assert {x["doc_id"]: x["kept_text"] for x in found if x["doc_id"] in (1, 2, 3, 9)} == {1: "", 2: "", 3: " \n\t\n ", 9: "x"}
+@pytest.mark.parametrize("share", [0.001, 0.9])
+def test_odd_rows(spark, documents, odd, share):
+    check(documents(odd), [r[:2] for r in odd], share=share)
     assert spandedup.dedup(documents([])).collect() == []
 
 
 def test_spans_are_the_shortest_both_ways():
-    assert spandedup.spans([10, 10, 10, 3, 40], 25) == [(0, 3), (0, 4), (1, 5), (2, 5), (3, 5), (4, 5)]
-    assert spandedup.spans([30], 25) == [(0, 1)]
-    assert spandedup.spans([5, 5], 25) == [] and spandedup.spans([], 25) == []
+    assert spandedup.spans([10, 10, 10, 3, 40]) == [(0, 3), (0, 4), (1, 5), (2, 5), (3, 5)]
+    assert spandedup.spans([30]) == [] and spandedup.spans([30, 0, 1]) == [(0, 3)]
+    assert spandedup.spans([5, 5]) == [] and spandedup.spans([]) == [] and spandedup.spans([1, 1, 1, 0, 1, 1]) == [(0, 6)]
+    r = random.Random(1)
+    for _ in range(300):
+        counts = [r.choice([0, 1, 2, 5, 9, 14, 30]) for _ in range(r.randint(0, 14))]
+        assert spandedup.spans(counts) == plain_spans(counts), counts
 
 
-def test_groups_against_brute_force(spark, documents):
-    """Which sentences go, by comparing all spans of all documents."""
+@pytest.mark.parametrize("share", [0.001, 0.02])
+def test_groups_against_brute_force(spark, documents, share):
+    """Which sentences go, by comparing all spans of all documents; with hot spans and without."""
     r = random.Random(9)
-    pool = [" ".join(f"{chr(97 + k % 26)}{k}x{j}" for j in range(r.randint(4, 12))) + "." for k in range(25)]
-    rows = [(i, " ".join(r.choice(pool) for _ in range(20))) for i in range(25)]
-    first, gone = {}, {}
-    for i, text in rows:
-        parts = spandedup.sentences(text)
-        norm = [" ".join(text[a:b].lower().split()) for a, b in parts]
-        for a, b in spandedup.spans([len(n.split()) for n in norm], 25):
-            if first.setdefault(" ".join(norm[a:b]), (i, a)) != (i, a):
-                gone.setdefault(i, set()).update(range(a, b))
-    found = spandedup.dedup(documents(rows)).collect()
-    assert {x["doc_id"]: {k for s in x["removed"] for k in range(s["start"], s["stop"])} for x in found} == {i: gone.get(i, set()) for i, _ in rows}
+    pool = [" ".join(f"{chr(97 + k % 26)}{k}x{j}" for j in range(r.randint(1, 12))) + r.choice([".", "!\n", "\n"]) for k in range(25)]
+    rows = [(r.choice([i, i, None]), " ".join(r.choice(pool) for _ in range(20))) for i in range(25)]
+    rows += [(40 + i, rows[3][1]) for i in range(15)] + [(70, rows[5][1] + "\n" + rows[6][1])] * 2
+    check(documents(rows), rows, share=share)
+
+
+def test_a_text_of_several_megabytes(spark, documents):
+    """Beyond the size of a block: whole, and its end meets another document's."""
+    long = "".join(f"Sentence number {i} stands here. " for i in range(160_000))
+    tail = "".join(f"Sentence number {i} stands here. " for i in range(159_990, 160_000))
+    assert len(long) > 5_000_000
+    found = {x["doc_id"]: x for x in spandedup.dedup(documents([(2, long), (1, tail), (3, "Alone.")])).collect()}
+    assert found[2]["n_sentences"] == 160_000 and found[2]["kept_text"] == long[: -len(tail)] and found[1]["removed"] == []

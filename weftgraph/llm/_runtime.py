@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import checkpointed, stored
 
-__all__ = ["blocks", "checkpointed", "hex64", "pick", "release", "ship", "stored"]
+__all__ = ["blocks", "checkpointed", "hex64", "pick", "range_share", "release", "ship", "stored"]
 
 #: Bytes of text that one step in a Python worker holds as objects at once.
 BLOCK_BYTES = 4 << 20
@@ -67,6 +67,11 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
     release()
 
 
+def range_share(spark: SparkSession) -> float:
+    """The share of all rows that one key may have in a range exchange: half of what a range holds, and at most a thousandth."""
+    return min(0.001, 0.5 / max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def hex64(col):
     """16 lowercase hexadecimal digits of a long."""
     return F.lpad(F.lower(F.hex(col)), 16, "0")

@@ -1,15 +1,19 @@
 """Substring deduplication by sliding sentence spans.
 
 A sentence ends at a line break or at [.!?] before white space. A span is a run of several consecutive sentences: from each
-sentence on, and up to each sentence, the shortest run of at least `min_words` words (a sentence that long is a span by itself).
-Its words, lower-cased and joined by single blanks, are hashed to 128 bits. Spans with one hash form a group; its first span in
-the order (doc_id, text hash, sentence) stays, and sentences that any other span of the group covers are removed.
-
-As for lines, rows are dealt by ranges of the hash and sorted within; hashes that hold over a thousandth of all rows are found
-by frequent-item counting, and their first spans come from a partial aggregate of bounded size.
-
-Null texts count as empty and have no sentences. Texts of fewer than min_words words have no spans. Rows without doc_id come
-last in the order. Rows that repeat doc_id and text are one document: they have the same spans, and keep the same text.
+sentence on, and up to each sentence, the shortest run of `fewest` sentences or more that holds `min_words` words, or of `most`
+sentences if these hold fewer. So long sentences make short runs and short ones longer runs, and one sentence alone is never a
+span. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. The first document (by doc_id, then text
+hash) that holds a hash keeps its sentences, as often as it repeats them; in all others the sentences of the span go.
+
+Rows of spans are dealt by ranges of the hash and sorted within. Hashes that would fill a good part of a range are found by
+frequent-item counting (their number is at most 1 / share); their first documents come from a partial aggregate and go to the
+workers as a table of that bounded size, so such spans are neither moved nor joined.
+
+Null texts count as empty and have no sentences; texts with fewer sentences than a span needs have no spans; both stay as they
+are, as does an empty table. Texts of any length are taken whole. Rows without doc_id come last in the order. Rows that repeat
+doc_id and text are one document: they have the same spans, and keep the same text. Other columns, whatever their names, are
+left behind.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick, stored
+from ._runtime import blocks, pick, range_share, stored
 
-MIN_WORDS = 25
-SHARE = 0.001
+MIN_WORDS, FEWEST, MOST = 25, 2, 5
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
+_RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -40,91 +44,123 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(counts: list[int], min_words: int) -> list[tuple[int, int]]:
-    """The runs of sentences, as first and past-last number, by the words of each sentence."""
-    total = np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])
-    n = len(counts)
-    first = np.arange(n)
-    stop = np.searchsorted(total, total[:-1] + min_words)
-    last = np.arange(1, n + 1)
-    start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
-    forth = np.stack([first, stop], axis=1)[stop <= n]
-    back = np.stack([start, last], axis=1)[start >= 0]
+def spans(counts: list[int], min_words: int = MIN_WORDS, fewest: int = FEWEST, most: int = MOST) -> list[tuple[int, int]]:
+    """The runs of sentences, as first and past-last number, by the words of each sentence; blank ones do not count."""
+    words = np.array(counts, dtype=np.int64)
+    full = np.flatnonzero(words)
+    n = len(full)
+    if n < fewest:
+        return []
+    total = np.concatenate([[0], np.cumsum(words[full])])
+    at = np.arange(n)
+    stop = np.maximum(at + fewest, np.minimum(np.searchsorted(total, total[:-1] + min_words), at + most))
+    start = np.minimum(at + 1 - fewest, np.maximum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at + 1 - most))
+    forth = np.stack([at, stop], axis=1)[stop <= n]
+    back = np.stack([start, at + 1], axis=1)[start >= 0]
     both = np.unique(np.concatenate([forth, back]), axis=0)
-    return list(map(tuple, both[both[:, 0] < both[:, 1]].tolist()))
+    return list(zip(full[both[:, 0]].tolist(), (full[both[:, 1] - 1] + 1).tolist(), strict=True))
 
 
-def span_rows(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row (hash of the text), start, stop (sentence numbers), h1, h2 of every span."""
+def span_rows(docs: DataFrame, min_words: int = MIN_WORDS, fewest: int = FEWEST, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (hash of the text), own (hash of both), start, stop (sentence numbers), h1, h2 of every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
+        from xxhash import xxh3_128_digest
 
         for block in blocks(batches):
             rows, found, hashes = [], [], []
-            for i, text in enumerate(block.column(2).to_pylist()):
+            for i, text in enumerate(block.column(3).to_pylist()):
                 norm = [" ".join(text[a:b].lower().split()) for a, b in sentences(text)] if text else []
-                counts = [s.count(" ") + 1 if s else 0 for s in norm]
-                if sum(counts) < min_words:
-                    continue
-                of = spans(counts, min_words)
+                of = spans([s.count(" ") + 1 if s else 0 for s in norm], min_words, fewest, most)
                 rows += [i] * len(of)
                 found += of
-                hashes += [xxh3_128_intdigest(" ".join(filter(None, norm[a:b])).encode("utf-8", "surrogatepass")).to_bytes(16, "little") for a, b in of]
+                hashes += [xxh3_128_digest(" ".join(filter(None, norm[a:b])).encode("utf-8", "surrogatepass")) for a, b in of]
             if not rows:
                 continue
             take, pair = pa.array(rows, pa.int64()), np.array(found, dtype=np.int32)
             h = np.frombuffer(b"".join(hashes), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([block.column(0).take(take), block.column(1).take(take), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "row", "start", "stop", "h1", "h2"])
-
-    docs = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, start int, stop int, h1 long, h2 long")
-
-
-def repeated_spans(rows: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, row, start, stop of the spans in rows (computed once) that are not the first of their hash."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
-    hot = rows.freqItems(["h1"], share).first()[0] or []  # at most 1 / share values
-    if hot:
-        often = rows.where(F.col("h1").isin(hot))
-        firsts = often.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-        often = often.join(F.broadcast(firsts), ["h1", "h2"]).where(place > F.col("first")).select("doc_id", "row", "start", "stop")
-        rows = rows.where(~F.col("h1").isin(hot))
-    order = [F.asc_nulls_last("doc_id"), F.asc("row"), F.asc("start")]
-    ranged = rows.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", *order)
+            yield pa.RecordBatch.from_arrays([*(block.column(k).take(take) for k in range(3)), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "row", "own", "start", "stop", "h1", "h2"])
+
+    docs = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), F.xxhash64("doc_id", "text").alias("own"), "text")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, own long, start int, stop int, h1 long, h2 long")
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ascending runs with those that meet or overlap joined."""
+    out: list[tuple[int, int]] = []
+    for start, stop in runs:
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(stop, out[-1][1]))
+        else:
+            out.append((start, stop))
+    return out
+
+
+def _frequent_spans(rows: DataFrame, hot: list[int], place) -> DataFrame:
+    """As repeated_spans() for the spans whose h1 is in hot; the runs of a document that lie together are merged here."""
+    often = rows.where(F.col("h1").isin(hot))
+    firsts = {(r["h1"], r["h2"]): r["own"] for r in often.groupBy("h1", "h2").agg(F.min_by("own", place).alias("own")).collect()}  # a row for each of hot
+    sent = rows.sparkSession.sparkContext.broadcast(firsts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = sent.value
+        for batch in batches:
+            own, h1, h2, start, stop = (batch.column(i).to_pylist() for i in (2, 5, 6, 3, 4))
+            at, found = [], []
+            spot = None
+            for i, (o, a, b) in enumerate(zip(own, h1, h2, strict=True)):
+                if firsts[a, b] == o:
+                    continue
+                if spot != o:  # the spans of a document lie together
+                    spot = o
+                    at.append(i)
+                    found.append([])
+                found[-1].append((start[i], stop[i]))
+            found = [merged(sorted(f)) for f in found]
+            take = pa.array([i for i, f in zip(at, found, strict=True) for _ in f], pa.int64())
+            runs = np.array([r for f in found for r in f], dtype=np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(runs[:, 0]), pa.array(runs[:, 1])], names=["doc_id", "row", "start", "stop"])
+
+    return often.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, start int, stop int")
+
+
+def repeated_spans(rows: DataFrame, share: float | None = None) -> DataFrame:
+    """doc_id, row, start, stop of the spans in rows (computed once) that an earlier document holds.
+
+    share: hashes with more than this share of all rows do not go through the range exchange.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    hot = rows.freqItems(["h1"], share or range_share(rows.sparkSession)).first()[0] or []  # at most 1 / share values
+    rare = rows.where(~F.col("h1").isin(hot)) if hot else rows
+    order = [F.asc_nulls_last("doc_id"), F.asc("row")]
+    ranged = rare.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", *order)
     stream = Window.partitionBy("h1", "h2").orderBy(*order)
-    rare = ranged.withColumn("first", F.first(place).over(stream)).where(place > F.col("first")).select("doc_id", "row", "start", "stop")
-    return rare.unionByName(often) if hot else rare
+    found = ranged.withColumn("first", F.first(place).over(stream)).where(place > F.col("first")).select("doc_id", "row", "start", "stop")
+    return found.unionByName(_frequent_spans(rows, hot, place)) if hot else found
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, fewest: int = FEWEST, most: int = MOST, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, removed (merged runs of removed sentences), kept_text of every document."""
     docs = pick(docs, id_col, text_col)
-    gone = repeated_spans(stored(span_rows(docs, min_words)), share)
+    gone = repeated_spans(stored(span_rows(docs, min_words, fewest, most)), share)
     of = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # at most two for each sentence
-    of = of.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "spans")
+    of = stored(of.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "spans"))  # of known size: few such documents are sent to the texts, many meet them in a shuffle
     joined = docs.join(of, docs["doc_id"].eqNullSafe(of["id"]) & (F.xxhash64(docs["text"]) == of["of"]), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for block in blocks(batches):
             counts, runs, texts = [], [], []
             for text, found in zip(block.column(1).to_pylist(), block.column(2).to_pylist(), strict=True):
                 text = text or ""
                 parts = sentences(text)
                 counts.append(len(parts))
-                merged: list[list[int]] = []
-                for s in sorted((s["start"], s["stop"]) for s in found or []):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
-                runs.append([{"start": a, "stop": b} for a, b in merged])
+                gone = merged(sorted((s["start"], s["stop"]) for s in found or []))
+                runs.append([{"start": a, "stop": b} for a, b in gone])
                 at, kept = 0, []
-                for a, b in merged:
+                for a, b in gone:
                     kept.append(text[at : parts[a][0]])
                     at = parts[b - 1][1]
                 texts.append("".join(kept) + text[at:])
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(counts, pa.int64()), pa.array(runs, kind), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(counts, pa.int64()), pa.array(runs, _RUNS), pa.array(texts, pa.string())], names=["doc_id", "n_sentences", "removed", "kept_text"])
 
     return joined.mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_sentences long, removed array<struct<start:int,stop:int>>, kept_text string")
