@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
-from ..runtime import checkpointed
+from ..runtime import checkpointed, counted
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -35,12 +35,10 @@ def star_components(links: DataFrame) -> DataFrame:
     node with very many links costs one row a task in the aggregate and can be split in the join. The rounds grow with the
     logarithm of the number of nodes; each is cut from its lineage in the shared folder. The driver sees two numbers a round.
     """
-    edges = checkpointed(links.select("a", "b").where("a < b").distinct())
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = state(edges)
-    while before[0]:
-        edges = checkpointed(_small_star(_large_star(edges).distinct()).distinct())
-        now = state(edges)
+    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("mark")
+    edges, before = counted(links.select("a", "b").where("a < b").distinct(), mark)
+    while before["n"]:
+        edges, now = counted(_small_star(_large_star(edges).distinct()).distinct(), mark)
         if now == before:
             break
         before = now

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, dict]:
+    """checkpointed(df), with its number of rows as n and other aggregates of them, seen while it is written: no job besides.
+
+    A task that is run again may be counted twice, so n tells whether there are rows, and changes of the others a change of df.
+    """
+    seen = Observation()
+    out = checkpointed(df.observe(seen, F.count(F.lit(1)).alias("n"), *aggregates))
+    return out, seen.get
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like checkpointed(), as compressed columns; removed when the session's file system closes."""
     spark = df.sparkSession
