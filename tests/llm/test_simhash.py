@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
@@ -52,7 +53,40 @@ def test_families_by_buckets_and_by_shared_neighbours(spark, documents):
     texts = near_family(30, 1) + near_family(20, 2) + near_family(1, 3)
     rows = [(100 + 7 * i % 97, t) for i, t in enumerate(texts)]
     check(spark, documents(rows), rows)
-    check(spark, documents(rows), rows, dense=2)
+    check(spark, documents(rows), rows, dense=6)  # some buckets are split once
+    check(spark, documents(rows), rows, dense=2)  # and some are crowded even then
+
+
+@pytest.mark.parametrize("dense", [3, 40, 1024])
+def test_many_fingerprints_in_few_buckets(spark, dense):
+    """Fingerprints that agree in a segment: the buckets are crowded, their parts are not (or are, with the least limit)."""
+    r = random.Random(8)
+    fps = {(r.getrandbits(43) << 21 | 77) for _ in range(400)}
+    for f in list(fps)[:60]:
+        for _ in range(2):
+            g = f
+            for b in r.sample(range(64), r.randint(1, 5)):
+                g ^= 1 << b
+            fps.add(g)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    got = [(x["a"], x["b"]) for x in simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), dense=dense).collect()]
+    want = {tuple(sorted((signed(f), signed(g)))) for f in fps for g in fps if f != g and (f ^ g).bit_count() <= 4}
+    assert len(got) == len(set(got))
+    if dense > 3:
+        assert set(got) == want
+    least = plain_components([(f, f, f) for f in fps])
+    parts = {}
+    for a, b in got:
+        parts.setdefault(a, set()).add(b)
+        parts.setdefault(b, set()).add(a)
+    for f in fps:
+        seen, todo = {signed(f)}, [signed(f)]
+        while todo:
+            for y in parts.get(todo.pop(), ()):
+                if y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        assert {signed(g) for g in fps if least[g] == least[f]} == seen
 
 
 def test_links_of_chosen_fingerprints(spark):

@@ -9,13 +9,14 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import checkpointed, stored
+from ..runtime import checkpointed, counted, stored
 
-__all__ = ["blocks", "checkpointed", "hex64", "pick", "range_share", "release", "ship", "stored"]
+__all__ = ["Rows", "blocks", "checkpointed", "counted", "hex64", "pick", "range_share", "release", "ship", "stored"]
 
 #: Bytes of text that one step in a Python worker holds as objects at once.
 BLOCK_BYTES = 4 << 20
@@ -72,6 +73,54 @@ def range_share(spark: SparkSession) -> float:
     return min(0.001, 0.5 / max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+class Rows:
+    """Sparse rows of a sample that fits on the driver: slots and values of all rows, one after the other, and a bias of 1 in each."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, lengths: np.ndarray, width: int):
+        self.at, self.value, self.lengths, self.width = at, value, lengths, width
+        self.ends = np.concatenate([[0], np.cumsum(lengths)])
+        self._by_slot: tuple[np.ndarray, ...] | None = None
+
+    @classmethod
+    def of(cls, table: pa.Table, width: int) -> Rows:
+        """From the list columns at and value."""
+        at, value = (table[c].combine_chunks() for c in ("at", "value"))
+        lengths = np.diff(at.offsets.to_numpy()) if table.num_rows else np.empty(0, np.int64)
+        return cls(at.flatten().to_numpy(), value.flatten().to_numpy(), lengths, width)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        """Those where rows is true."""
+        inside = np.repeat(rows, self.lengths)
+        return Rows(self.at[inside], self.value[inside], self.lengths[rows], self.width)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        """A value for each row; w has the bias last."""
+        out = np.full(len(self), w[-1], dtype=np.float64)
+        if len(self.at):
+            out[self.lengths > 0] += np.add.reduceat(self.value * w.astype(np.float32)[self.at], self.ends[:-1][self.lengths > 0])
+        return out
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The rows' sum, each times its value in r."""
+        if self._by_slot is None:
+            order = np.argsort(self.at, kind="stable")
+            slots, first = np.unique(self.at[order], return_index=True)
+            self._by_slot = np.repeat(np.arange(len(self), dtype=np.int32), self.lengths)[order], self.value[order], slots, first
+        row, value, slots, first = self._by_slot
+        out = np.zeros(self.width + 1)
+        out[-1] = r.sum()
+        if len(slots):
+            out[slots] = np.add.reduceat(value * r.astype(np.float32)[row], first)
+        return out
+
+    def squares(self) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.value.astype(np.float64) ** 2)])
+        return sums[self.ends[1:]] - sums[self.ends[:-1]] + 1
+
+
 def hex64(col):
     """16 lowercase hexadecimal digits of a long."""
     return F.lpad(F.lower(F.hex(col)), 16, "0")
