@@ -5,12 +5,13 @@ A-Z lower-cased. Keys of at least `min_chars` code points that several documents
 doc_id that holds them (there all of them, repeats included); shorter keys always keep theirs.
 
 Rows of (128-bit key hash, doc_id, position) are dealt by ranges of the hash and sorted by document and position within;
-a window streams over each key and marks what comes after its first document. A key that holds over a thousandth of all rows
-would fill one range, so frequent-item counting finds those beforehand (at most `1 / share` hashes, whatever the input) and
-their first documents come from a partial aggregate, sent to the rows as a table of that bounded size.
+a window streams over each key and marks what comes after its first document. A key that would fill a good part of a range (by
+default half of one, by the number of ranges) is found beforehand by frequent-item counting (at most `1 / share` hashes) and its
+first document comes from a partial aggregate, sent to the rows as a table of that bounded size.
 
 Rows without doc_id come after all others: they lose lines that any row with a doc_id holds, and keep those that only they
-hold. Rows that repeat a doc_id count as one document. Extra columns of the input pass through apply_bitmaps() untouched.
+hold. Rows that repeat a doc_id count as one document. An empty table gives an empty one, and texts of any length are taken
+whole. Extra columns of the input pass through apply_bitmaps() untouched; only names that begin with two underscores are its own.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import pick, stored
+from ._runtime import pick, range_share, stored
 
 #: What counts as white space at a line's ends, and a key's least length in code points.
 BLANKS = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
-#: Keys with more than this share of all rows do not go through the range exchange.
-SHARE = 0.001
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,9 +44,12 @@ def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id
     return keys.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
 
-def dropped_lines(rows: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, row, pos of the lines in rows (as of line_rows, computed once) that an earlier document holds."""
-    hot = rows.freqItems(["h1"], share).first()[0] or []  # at most 1 / share values
+def dropped_lines(rows: DataFrame, share: float | None = None) -> DataFrame:
+    """doc_id, row, pos of the lines in rows (as of line_rows, computed once) that an earlier document holds.
+
+    share: keys with more than this share of all rows do not go through the range exchange.
+    """
+    hot = rows.freqItems(["h1"], share or range_share(rows.sparkSession)).first()[0] or []  # at most 1 / share values
     late = lambda first: first.isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > first))
     if hot:
         often = rows.where(F.col("h1").isin(hot))
@@ -61,15 +63,16 @@ def dropped_lines(rows: DataFrame, share: float = SHARE) -> DataFrame:
     return rare.unionByName(often) if hot else rare
 
 
-def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row, keep: for each document that loses lines, the 64-line words of its bitmap in which a bit is 0.
 
     keep maps a word's number to its bits, bit i % 64 of word i div 64 for line i; words that are not there keep all. A
-    document's map is at most an entry for every 64 of its lines.
+    document's map is at most an entry for every 64 of its lines. The table is written, so that its size is known when texts
+    meet it: Spark sends a small one to them, and shuffles both sides of a large one.
     """
     gone = dropped_lines(stored(line_rows(docs, min_chars, id_col, text_col)), share)
     words = gone.groupBy("doc_id", "row", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
-    return words.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("gone")))).alias("keep"))
+    return stored(words.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("gone")))).alias("keep")))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
