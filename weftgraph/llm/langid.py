@@ -7,7 +7,8 @@ margins, then the name. Families are a fixed table of language codes; a code tha
 Texts that are null or hold no letter are 'und' with score 0. Without any labelled row all texts are 'und'; with a single label
 all others get it with score 1. Whole texts count, both in training and in prediction. Training takes at most about
 `per_language` rows of each label, and `rows_most` in all, chosen by a hash of doc_id and text; a row without lang or text does
-not train.
+not train. Texts of any length, repeated rows and repeated ids are judged row by row; an empty table gives an empty one, and a
+model without labels if it trains. Other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick, ship
+from ._runtime import Rows, blocks, pick, ship
 
 # Language families by ISO 639-1 code.
 FAMILIES = {
@@ -62,32 +63,32 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, values / np.linalg.norm(values)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
+def _svm(x: Rows, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
     """Linear SVM with squared hinge loss and bias (last weight), classes weighted alike, by accelerated gradient descent."""
-    w = np.zeros(x.shape[1], dtype=np.float32)
-    ahead, weight = w.copy(), np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    w = np.zeros(x.width + 1)
+    ahead, weight = w.copy(), np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     rate = 1.0 / (2 * 2 + penalty)  # rows have a length of at most sqrt(2)
     for k in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - rate * (penalty * ahead - 2 * (x.T @ (weight * y * short)))
+        short = np.maximum(0, 1 - y * x.dot(ahead))
+        new = ahead - rate * (penalty * ahead - 2 * x.back(weight * y * short))
         ahead = new + (k / (k + 3)) * (new - w)
         w = new
-    return w
+    return w.astype(np.float32)
 
 
 class Model:
-    def __init__(self, x: np.ndarray, labels: list[str]):
-        """x: a row with a last column of ones for each label."""
+    def __init__(self, x: Rows, labels: list[str]):
+        """x: a row for each label."""
         self.labels = sorted(set(labels))
         family = np.array([FAMILY_OF.get(v, v) for v in labels])
         self.families = sorted(set(family.tolist()))
         self.of = [[v for v in self.labels if FAMILY_OF.get(v, v) == f] for f in self.families]
         y = np.array(labels)
-        columns = [_svm(x, np.where(family == f, 1, -1).astype(np.float32)) for f in self.families] if len(self.families) > 1 else []
+        columns = [_svm(x, np.where(family == f, 1, -1)) for f in self.families] if len(self.families) > 1 else []
         self.pairs = [(a, b) for langs in self.of for a, b in combinations(langs, 2)]
         for a, b in self.pairs:
             rows = (y == a) | (y == b)
-            columns.append(_svm(x[rows], np.where(y[rows] == a, 1, -1).astype(np.float32)))
+            columns.append(_svm(x.take(rows), np.where(y[rows] == a, 1, -1)))
         self.weights = np.stack(columns, axis=1) if columns else np.zeros((DIMENSIONS + 1, 0), np.float32)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -122,7 +123,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rows_most: int = RO
     most = max(2, min(per_language, rows_most // max(len(counts), 1)))
     share = F.create_map([F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, most / n))]) if counts else None
     if not counts:
-        return Model(np.zeros((0, DIMENSIONS + 1), np.float32), [])
+        return Model(Rows(np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int64), DIMENSIONS), [])
     place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
     chosen = rows.where(place < share[F.col("lang")])
 
@@ -132,11 +133,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rows_most: int = RO
             yield pa.RecordBatch.from_arrays([block.column(2), pa.array([v[0].astype(np.int32) for v in vectors], pa.list_(pa.int32())), pa.array([v[1] for v in vectors], pa.list_(pa.float32()))], names=["lang", "at", "value"])
 
     table = chosen.mapInArrow(run, "lang string, at array<int>, value array<float>").orderBy(F.xxhash64("at", "value"), "lang").limit(rows_most).toArrow()
-    x = np.zeros((table.num_rows, DIMENSIONS + 1), dtype=np.float32)
-    x[:, -1] = 1
-    for i, (at, value) in enumerate(zip(table["at"], table["value"], strict=True)):
-        x[i, at.values.to_numpy()] = value.values.to_numpy()
-    return Model(x, table["lang"].to_pylist())
+    return Model(Rows.of(table, DIMENSIONS), table["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

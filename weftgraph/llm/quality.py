@@ -3,12 +3,16 @@
 Simple labellers look at a whole text and each vote good, bad or nothing. Expectation-maximisation (two classes, one table of
 vote probabilities for each labeller and class) estimates how accurate each is from how they overlap, without any true label:
 it needs only how often each pattern of votes occurs, at most 3 ** labellers rows. The posterior of a text's pattern is its
-label for a linear scorer over hashed features (runs of four character classes, and steps of the labellers' measures), which
-is then applied to every text.
+label for a linear scorer over hashed features (words, runs of four character classes, and steps of the labellers' measures),
+which is then applied to every text.
+
+A measure is a share of what was counted, drawn towards a value at which its labeller is silent by as much as EVIDENCE words (or
+as many letters) would draw it. So a labeller speaks when it has seen enough, by the same rule for a text of any length.
 
 The scorer is fitted on a sample bounded by `rows_most`, chosen by a hash of doc_id and text; votes and EM cover all texts.
 A text that is null or holds no word is given no votes; its score is 0 and it is not kept. With no texts that have words the
-scorer is constant at the prior. Rows are judged one by one, so ties and repeated rows change nothing.
+scorer is constant at the prior; an empty table gives an empty one. Rows are judged one by one, so ties and repeated rows change
+nothing. Texts of any length count whole. Other columns, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -18,13 +22,14 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick
+from ._runtime import Rows, blocks, pick
 
 DIMENSIONS = 1 << 14
 ROWS_MOST = 4_000
@@ -39,33 +44,34 @@ for _c in range(128):
 _ODD_RUN = re.compile(r"[^\w\s.,;:'\"?()\-]{1,}(?:\s|$)")
 
 
+#: Words, and letters, by which a measure is drawn to its labeller's silence.
+EVIDENCE, LETTERS = 8, 40
+
+
 def measures(text: str) -> list[float] | None:
     """Shares that the labellers judge by; None without words."""
     words = text.split()
     if not words:
         return None
-    n, chars = len(words), len(text)
-    cls = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=16)
-    letters = max(int(cls[1] + cls[2]), 1)
-    counts = Counter(words)
-    blanks = int(cls[4] + cls[5])
-    if n < 10:  # shares of so few words say little: only odd symbols and cells are judged
-        odd, cells = float(cls[8:].sum()) / chars, counts["|"] / n
-        return [odd, 0.2, 0.3, 0.3, cells, 0.1, 0.6, 2.5, len(_ODD_RUN.findall(text)) / n, 0.8, 0.1, 0.5]
-    return [
-        float(cls[8:].sum()) / chars,  # odd symbols
-        float(cls[2]) / letters,  # capitals
-        len(counts) / min(n, 200 + n // 4),  # different words
-        max(counts.values()) / n,  # the most frequent word
-        counts["|"] / n,  # cells
-        float(cls[7]) / n,  # exclamation marks
-        float(cls[6]) / n,  # punctuation
-        sum(map(len, words)) / n,  # mean word length
-        len(_ODD_RUN.findall(text)) / n,  # runs of odd symbols
-        letters / max(int(cls.sum()) - blanks, 1),  # letters in what is printed
-        sum(map(eq, words, words[1:])) / n,  # words that repeat the one before
-        len(set(zip(words, words[1:], strict=False))) / min(n, 400 + n // 2),  # different pairs of words
+    n = len(words)
+    cls = np.bincount(_CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=16).tolist()
+    letters, counts = cls[1] + cls[2], Counter(words)
+    pairs = len(set(zip(words, words[1:], strict=False)))
+    seen = [  # what was counted, of how many, how many more stand for silence, and the silent value
+        (sum(cls[8:]), len(text), LETTERS, 0.012),  # odd symbols
+        (cls[2], letters, LETTERS, 0.20),  # capitals
+        (len(counts), min(n, 200 + n // 4), EVIDENCE, 0.30),  # different words
+        (max(counts.values()), n, EVIDENCE, 0.25),  # the most frequent word
+        (counts["|"], n, EVIDENCE, 0.02),  # cells
+        (cls[7], n, EVIDENCE, 0.03),  # exclamation marks
+        (cls[6], n, EVIDENCE, 0.03),  # punctuation
+        (sum(map(len, words)), n, EVIDENCE, 2.5),  # mean word length
+        (len(_ODD_RUN.findall(text)), n, EVIDENCE, 0.006),  # runs of odd symbols
+        (letters, sum(cls) - cls[4] - cls[5], LETTERS, 0.80),  # letters in what is printed
+        (sum(map(eq, words, words[1:])), n, EVIDENCE, 0.06),  # words that repeat the one before
+        (pairs, min(n, 400 + n // 2), EVIDENCE, 0.50),  # different pairs of words
     ]
+    return [(k + more * silent) / (of + more) for k, of, more, silent in seen]
 
 
 # For each measure, bad if below the first or above the second; good between the third and the fourth.
@@ -92,6 +98,7 @@ def votes(m: list[float]) -> list[int]:
 
 
 def features(text: str, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values: the runs of classes and the words, each scaled to length 1, and a step of each measure."""
     c = _CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     counts = np.zeros(DIMENSIONS, dtype=np.float32)
     if len(c) >= 4:
@@ -99,6 +106,10 @@ def features(text: str, m: list[float]) -> tuple[np.ndarray, np.ndarray]:
         counts += np.bincount((code * np.uint32(2654435761)) >> np.uint32(18), minlength=DIMENSIONS)
         counts = np.sqrt(counts)
         counts /= np.linalg.norm(counts)
+    words = Counter(text.lower().split())
+    slots = np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) >> np.uint32(18)
+    held = np.sqrt(np.bincount(slots, weights=np.fromiter(words.values(), np.float64, len(words)), minlength=DIMENSIONS)).astype(np.float32)
+    counts += held / max(float(np.linalg.norm(held)), 1e-9)
     for i, x in enumerate(m):
         step = min(15, int(16 * x / (1 + x)))
         counts[((i * 16 + step + 1) * 2654435761 % (1 << 32)) >> 18] += 0.5
@@ -141,18 +152,18 @@ class WeakModel:
         return (right / (right + wrong)).tolist()
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> np.ndarray:
+def _fit(x: Rows, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np.ndarray:
     """Logistic regression on soft labels, both classes weighted alike, by accelerated gradient descent."""
-    w, good = np.zeros(x.shape[1], np.float32), float(y.mean())
-    weight = (y / max(good, 1e-6) + (1 - y) / max(1 - good, 1e-6)).astype(np.float32) / (2 * len(y))
-    target = (y / max(good, 1e-6)).astype(np.float32) / (2 * len(y)) / np.maximum(weight, 1e-12)
-    ahead, rate = w.copy(), 1.0 / (0.25 * float((x**2).sum(1).max()) * float(weight.sum()) + penalty)
+    w, good = np.zeros(x.width + 1), float(y.mean())
+    weight = (y / max(good, 1e-6) + (1 - y) / max(1 - good, 1e-6)) / (2 * len(y))
+    target = (y / max(good, 1e-6)) / (2 * len(y)) / np.maximum(weight, 1e-12)
+    ahead, rate = w.copy(), 1.0 / (0.25 * float(x.squares().max()) * float(weight.sum()) + penalty)
     for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - rate * (penalty * ahead + x.T @ (weight * (p - target)))
+        p = 1 / (1 + np.exp(-np.clip(x.dot(ahead), -30, 30)))
+        new = ahead - rate * (penalty * ahead + x.back(weight * (p - target)))
         ahead = new + (k / (k + 3)) * (new - w)
         w = new
-    return w
+    return w.astype(np.float32)
 
 
 def _votes(docs: DataFrame) -> DataFrame:
@@ -183,12 +194,8 @@ def train(docs: DataFrame, rows_most: int = ROWS_MOST, id_col: str = "doc_id", t
 
     chosen = docs.where("text is not null").where(place < min(1.0, rows_most / total))
     table = chosen.mapInArrow(run, "label double, at array<int>, value array<float>").orderBy(F.xxhash64("at", "value")).limit(rows_most).toArrow()
-    x = np.zeros((table.num_rows, DIMENSIONS + 1), dtype=np.float32)
-    x[:, -1] = 1
-    for i, (at, value) in enumerate(zip(table["at"], table["value"], strict=True)):
-        x[i, at.values.to_numpy()] = value.values.to_numpy()
-    y = np.array(table["label"].to_pylist(), dtype=np.float32)
-    return weak, _fit(x, y) if len(y) and 0.001 < y.mean() < 0.999 else bias
+    y = np.array(table["label"].to_pylist(), dtype=np.float64)
+    return weak, _fit(Rows.of(table, DIMENSIONS), y) if len(y) and 0.001 < y.mean() < 0.999 else bias
 
 
 def score(docs: DataFrame, weak: WeakModel, weights: np.ndarray, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
