@@ -59,6 +59,12 @@ def test_passages(spark, documents, block_words):
     assert got(documents(docs), bench(spark, items), block_words=block_words) == plain(docs, items)
 
 
+def test_removed_spans(spark, documents):
+    docs = [(1, "Keep THIS one, but (drop these Words) now."), (2, None), (2, "drop these words"), (3, "drop these")]
+    found = decontam.removed(documents(docs), bench(spark, [(1, "drop these words")]), mask="_")
+    assert sorted((r["doc_id"], r["n_hit"], r["kept_text"]) for r in found.collect()) == [(1, 3, "Keep THIS one, but (_) now."), (2, 0, ""), (2, 3, "_"), (3, 0, "drop these")]
+
+
 @pytest.mark.parametrize("kind", ["random", "runs", "periodic"])
 def test_index_against_scan(kind):
     r = np.random.default_rng(1)

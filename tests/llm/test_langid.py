@@ -55,3 +55,43 @@ def test_query_learns_from_the_other_folds_only(spark, small):
     held = [r for r in found if r["held_out"]]
     assert {r["doc_id"] for r in held} == {i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0}
     assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in held) >= 0.95 * len(held)
+
+
+def plain_predict(model, text):
+    """Family by the largest margin, then each pair's vote, with loops over the model's own weights."""
+    from math import exp
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    vector = {}
+    raw = " ".join("".join(chr(b) if chr(b).isalpha() or b >= 128 else " " for b in (" " + text.lower() + " ").encode()).split(" ")).encode("latin-1")
+    raw = b" " + b" ".join(x for x in raw.split(b" ") if x) + b" "
+    for i in range(len(raw) - 2):
+        slot = (int.from_bytes(raw[i : i + 3], "big") * 2654435761 % (1 << 32)) >> 18
+        vector[slot] = vector.get(slot, 0) + 1
+    size = sum(vector.values()) ** 0.5
+    margin = lambda k: float(model.weights[-1, k]) + sum(n**0.5 / size * float(model.weights[s, k]) for s, n in vector.items())
+    f = len(model.families) if len(model.families) > 1 else 0
+    best = max(range(f), key=margin) if f else 0
+    score = 1 / (1 + exp(-4 * margin(best))) if f else 1.0
+    votes, sums = dict.fromkeys(model.of[best], 0), dict.fromkeys(model.of[best], 0.0)
+    pairs = [(a, b, margin(f + k)) for k, (a, b) in enumerate(model.pairs) if a in votes]
+    for a, b, m in pairs:
+        votes[a if m >= 0 else b] += 1
+        sums[a] += m
+        sums[b] -= m
+    lang = max(votes, key=lambda v: (votes[v], sums[v], v))
+    for a, b, m in pairs:
+        if lang in (a, b):
+            score *= 1 / (1 + exp(-4 * (m if lang == a else -m)))
+    return lang, score
+
+
+def test_query_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in op10_language_id(spark, small).collect():
+        lang, score = plain_predict(model, texts.pop(r["doc_id"]))
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-4
+    assert not texts

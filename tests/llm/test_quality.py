@@ -29,6 +29,66 @@ def test_held_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) >= 0.9 * len(bad)
 
 
+def plain_em(patterns, rounds=100):
+    """As the model's, with loops: the probability of good for each pattern, and the share of good."""
+    n = len(quality.LIMITS)
+    start = lambda p: 0.95 if "1" not in p else 0.1 if 3 * p.count("1") > p.count("2") else 0.6
+    post, prior = {p: start(p) for p in patterns}, 0.0
+    for _ in range(rounds):
+        right = [[{v: sum(c * (post[p] if good else 1 - post[p]) for p, c in patterns.items() if p[k] == v) + 0.5 for v in "12"} for k in range(n)] for good in (False, True)]
+        prior = (sum(c * post[p] for p, c in patterns.items()) + 1) / (sum(patterns.values()) + 2)
+        new = {}
+        for p in patterns:
+            odds = prior / (1 - prior)
+            for k in range(n):
+                if p[k] != "0":
+                    bad, good = (right[g][k][p[k]] / sum(right[g][k].values()) for g in (0, 1))
+                    odds *= good / bad
+            new[p] = odds / (1 + odds)
+        moved = max(abs(new[p] - post[p]) for p in patterns)
+        post = new
+        if moved < 1e-9:
+            break
+    return post
+
+
+def test_query_against_brute_force(spark, small):
+    """Votes, posteriors and scores of every document by loops over the query's own weights."""
+    from math import exp
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    weak, weights = quality.train(docs)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    pattern = lambda t: "".join(map(str, quality.votes(quality.measures(t))))
+    counts = {}
+    for t in texts.values():
+        if t.split():
+            counts[pattern(t)] = counts.get(pattern(t), 0) + 1
+    post = plain_em(counts)
+    for r in op3_quality(spark, small).collect():
+        t = texts.pop(r["doc_id"])
+        if not t.split():
+            assert (r["n_good"], r["n_bad"], r["weak_label"], r["score"], r["keep"]) == (0, 0, 0.0, 0.0, False)
+            continue
+        at, values = quality.features(t, quality.measures(t))
+        margin = weights[-1] + sum(float(weights[i]) * float(v) for i, v in zip(at, values, strict=True))
+        score = 1 / (1 + exp(-max(-30, min(30, margin))))
+        p = pattern(t)
+        assert (r["n_good"], r["n_bad"]) == (p.count("2"), p.count("1"))
+        assert abs(r["weak_label"] - post[p]) < 1e-6 and abs(r["score"] - score) < 1e-4 and r["keep"] == (r["score"] >= 0.5)
+    assert not texts
+
+
+def test_short_texts_are_judged_by_evidence():
+    """One rule for every length: shouting of any length is bad, a few plain words are not, and one word says nothing."""
+    for n in range(1, 20):
+        shout = quality.votes(quality.measures(" ".join(["NOW!!!", "BUY!!!", "FREE!!!", "HERE!!!"][i % 4] for i in range(n))))
+        plain = quality.votes(quality.measures(" ".join(["some", "words", "that", "differ", "and", "mean", "little"][i % 7] + "x" * (i // 7) for i in range(n))))
+        assert shout.count(1) >= (0 if n < 2 else 1 if n < 8 else 3)
+        assert plain.count(1) == 0
+    assert quality.votes(quality.measures("word")).count(1) == 0 and quality.measures(" \n ") is None
+
+
 def test_odd_rows(spark, documents, odd):
     found = quality.score(documents(odd), *quality.train(documents(odd))).collect()
     assert sorted(str(x["doc_id"]) for x in found) == sorted(str(r[0]) for r in odd)

@@ -6,7 +6,9 @@ updates the leaves of the merged pair, of its right half and of its left neighbo
 short pieces stand side by side in arrays and step together; a long piece has its own. Pieces recur, so merged pieces are kept
 in a table of bounded size per Python worker.
 
-Texts: null counts as empty and gives no ids; an id that is null decodes to nothing; an unknown id raises.
+Texts: null counts as empty and gives no ids; an id that is null decodes to nothing; an unknown id raises. Texts of any length,
+repeated rows and repeated ids are taken row by row; an empty table gives an empty one. Other columns, whatever their names, are
+left behind.
 """
 
 from __future__ import annotations
@@ -264,7 +266,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
-    """encoded (doc_id, ids, ...) with the bytes of its ids as column decoded (binary)."""
+    """doc_id and ids of encoded, with the bytes of its ids as column decoded (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _decoder(ranks)

@@ -11,15 +11,19 @@ backwards at once, from their last word to their first; the rows that remain wal
 the spans are merged for each document. Runs of benchmark words shorter than the shortest window are left out of the sequence,
 as no window fits into them.
 
-The benchmark is taken in blocks of at most `block_words` words, each sent with the tasks; for several blocks the spans of all
-are merged by document.
+The benchmark is taken in blocks of at most `block_words` words (a longer item is a block of its own). One block is sent with
+the tasks at a time: with several, each has its pass over the documents, and what a pass has found is written with the texts and
+merged with what the next one finds. Only words of the block are in a pass's index, so an index is far smaller than its shard.
 
 Null texts and texts without words have no words and are not contaminated. Rows are judged one by one, so repeated doc_ids,
-null doc_ids and repeated rows change nothing. A repeated item_id counts once; a null one is called 'null'.
+null doc_ids and repeated rows change nothing; texts of any length are searched whole. A repeated item_id counts once; a null one
+is called 'null'. An empty table gives an empty one, an empty benchmark no hits. Other columns, whatever their names, are left
+behind.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick, release
+from ._runtime import blocks, pick, release, stored
 
 WINDOW = 13
 #: Words of one block of the benchmark (some 10 bytes each), and of one shard of the corpus.
@@ -36,6 +40,7 @@ BLOCK_WORDS, SHARD_WORDS = 2_000_000, 400_000
 #: Every so many positions, a suffix is sampled.
 SAMPLED = 8
 _U = np.uint64
+_RUN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # a word before its letters are lowered
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -253,48 +258,89 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans (word positions hit: start, stop; merged and ascending), items (names of items with windows that
-    occur, ascending), n_hit of every document; no shuffle. A worker holds one block of the benchmark at a time."""
-    docs = pick(docs, id_col, text_col)
-    sent = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in _item_blocks(benchmark, window, block_words)]  # block_words each
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _searched(docs: DataFrame, phrases: Phrases, last: bool) -> DataFrame:
+    """docs (doc_id, text and, after a first pass, spans and items) with what one block finds: n_words and n_hit instead of the
+    text in the last pass."""
+    sent = docs.sparkSession.sparkContext.broadcast(phrases)  # of block_words words
+    names = ["doc_id", "n_words", "spans", "items", "n_hit"] if last else ["doc_id", "text", "spans", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import repeat
 
-        ids, shard, size = [], [], 0
+        phrases = sent.value
+        number = phrases.ids.get
+        held, counts, shard, size = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            spans, items = [[] for _ in shard], [[] for _ in shard]
-            for block in sent:
-                phrases = block.value
-                number = phrases.ids.get
-                docs = [np.fromiter(map(number, words, repeat(0)), np.int64, len(words)) for words in shard]
-                for k, (s, i) in enumerate(zip(*_hits(docs, phrases), strict=True)):
-                    spans[k] += s
-                    items[k] += i
-                if len(sent) > 1:
-                    del phrases, number, block._value  # read again for the next shard
-            if len(sent) > 1:
-                spans, items = [_merged(s) for s in spans], [sorted(set(i)) for i in items]
+            spans, items = _hits(shard, phrases)
+            columns = [pa.concat_arrays([b.column(i) for b in held]) for i in range(held[0].num_columns)]
+            if len(columns) > 2:
+                earlier = zip(columns[2].to_pylist(), columns[3].to_pylist(), strict=True)
+                both = [(_merged([*now, *((x["start"], x["stop"]) for x in was)]), sorted({*named, *known})) for now, named, (was, known) in zip(spans, items, earlier, strict=True)]
+                spans, items = map(list, zip(*both, strict=True))
             n_hit = [sum(stop - start for start, stop in s) for s in spans]
-            spans = [[{"start": a, "stop": b} for a, b in s] for s in spans]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            columns = [pa.concat_arrays(ids), pa.array([len(x) for x in shard], pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(n_hit, pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "spans", "items", "n_hit"])
+            listed = pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], _SPANS), pa.array(items, pa.list_(pa.string()))
+            found = [columns[0], pa.array(counts, pa.int64()), *listed, pa.array(n_hit, pa.int64())] if last else [columns[0], columns[1], *listed]
+            return pa.RecordBatch.from_arrays(found, names=names)
 
         for block in blocks(batches):
-            ids.append(block.column(0))
+            held.append(block if not last or block.num_columns > 2 else block.select([0]))
             for text in block.column(1).to_pylist():
-                shard.append(words_of(text))
-                size += len(shard[-1])
+                words = words_of(text)
+                counts.append(len(words))
+                shard.append(np.fromiter(map(number, words, repeat(0)), np.int64, len(words)))
+                size += len(words)
             if size >= SHARD_WORDS:
                 yield flush()
-                ids, shard, size = [], [], 0
-        if shard:
+                held, counts, shard, size = [], [], [], 0
+        if held:
             yield flush()
-        ids, shard = [], []
+        held, shard = [], []
         release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<start:int,stop:int>>, items array<string>, n_hit long")
+    schema = f"doc_id {kind}, n_words long, " if last else f"doc_id {kind}, text string, "
+    out = docs.mapInArrow(run, schema + "spans array<struct<start:int,stop:int>>, items array<string>" + (", n_hit long" if last else ""))
+    if last:
+        return out
+    written = stored(out)
+    sent.destroy()
+    return written
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, spans (word positions hit: start, stop; merged and ascending), items (names of items with windows that
+    occur, ascending), n_hit of every document; no shuffle."""
+    docs = pick(docs, id_col, text_col)
+    rest = _item_blocks(benchmark, window, block_words)
+    phrases = next(rest)
+    for after in rest:
+        docs = _searched(docs, phrases, last=False)
+        phrases = after
+    return _searched(docs, phrases, last=True)
+
+
+def removed(docs: DataFrame, benchmark: DataFrame, mask: str = " ", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_hit, kept_text of every document: each hit span, from its first word's begin to its last word's end, is mask."""
+    texts = pick(docs, id_col, text_col)
+    key = F.struct("doc_id", "text")
+    found = hits(texts.select(key.alias("row"), "text"), benchmark, window, id_col="row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            texts = []
+            for text, spans in zip(block.column(1).to_pylist(), block.column(3).to_pylist(), strict=True):
+                at, out = 0, []
+                if spans:
+                    places = [m.span() for m in _RUN.finditer(text)]
+                    for s in spans:
+                        out += [text[at : places[s["start"]][0]], mask]
+                        at = places[s["stop"] - 1][1]
+                texts.append("".join(out) + (text or "")[at:])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(texts, pa.string())], names=["doc_id", "n_hit", "kept_text"])
+
+    rows = found.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.text").alias("text"), "n_hit", "spans")
+    return rows.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n_hit long, kept_text string")

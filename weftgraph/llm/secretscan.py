@@ -7,8 +7,9 @@ trained here on labelled findings: rows (before, candidate, after, label). `labe
 fixed seed (keys and tokens in their usual contexts against hashes of commits, identifiers, card and phone numbers, paths,
 placeholders and long words); a caller may pass findings of its own instead.
 
-Null texts count as empty and give no findings. Texts are judged row by row; ties and repeated rows change nothing. Without
-labelled findings of both kinds every candidate is reported with score 0.5.
+Null texts count as empty and give no findings. Texts are judged row by row and whole; ties and repeated rows change nothing, and
+an empty table gives an empty one. Other columns, whatever their names, are left behind. Without labelled findings of both kinds
+every candidate is reported with score 0.5.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from ._runtime import blocks, pick
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_\-+/=.~])[A-Za-z0-9_\-+/=.~]{16,512}(?![A-Za-z0-9_\-+/=.~])")
+CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/=.~]{16,}")
 #: Characters on either side of a candidate in which words count as its neighbours.
 NEAR = 48
 _WORD = re.compile(r"[a-z0-9]+")
@@ -40,28 +41,22 @@ def _class(ch: str) -> int:
     return 0 if ch.islower() else 1 if ch.isupper() else 2 if ch.isdigit() else 3
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Begin and end of each candidate."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        s = m.group().rstrip(".")
-        if len(s) >= 16 and (any(map(str.isdigit, s)) or (s != s.lower() and s[1:] != s[1:].lower() and s != s.upper())):
-            out.append((m.start(), m.start() + len(s)))
-    return out
+def _mixed(run: str) -> bool:
+    """Whether it holds a digit or changes case."""
+    return any(map(str.isdigit, run)) or (run != run.lower() and run[1:] != run[1:].lower() and run != run.upper())
 
 
-_LONG = re.compile(r"(?<![A-Za-z0-9_\-+/=.~])[A-Za-z0-9_\-+/=.~]{513,}")
 _VALUE = re.compile(r"[A-Za-z0-9_\-+/=.~]{6,}")
 _ASSIGNS = re.compile(r"[=:]+[ \t]*[\"'`]?")
 _NAME = re.compile(r"(?:%s)[\"'`]?[ \t]*$" % "|".join(SECRET_WORDS), re.I)
 
 
-def places(text: str) -> list[tuple[int, int]]:
-    """Begin and end of each candidate of scan(): those of candidates(), longer runs, and shorter or plain ones that a secret's word assigns."""
-    found = candidates(text)
-    for m in _LONG.finditer(text):
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Begin and end of each candidate: mixed runs of 16 characters or more, and shorter or plain ones that a secret's word assigns."""
+    found = []
+    for m in CANDIDATE.finditer(text):
         s = m.group().rstrip(".")
-        if any(map(str.isdigit, s)) or (s != s.lower() and s[1:] != s[1:].lower() and s != s.upper()):
+        if len(s) >= 16 and _mixed(s):
             found.append((m.start(), m.start() + len(s)))
     for m in _ASSIGNS.finditer(text):
         if _NAME.search(text[max(0, m.start() - NEAR) : m.start()]) and (value := _VALUE.match(text, m.end())):
@@ -202,7 +197,7 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
         kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("score", pa.float64())]))
         for block in blocks(batches):
             texts = [t or "" for t in block.column(1).to_pylist()]
-            spots = [places(t) for t in texts]
+            spots = [candidates(t) for t in texts]
             x = np.array([candidate_features(t[max(0, a - NEAR) : a], t[a:b], t[b : b + NEAR]) for t, p in zip(texts, spots, strict=True) for a, b in p], dtype=np.float64)
             scores = iter(forest.predict(x).tolist())
             found = [[(a, b, s) for (a, b), s in zip(p, scores, strict=False) if s >= threshold] if p else [] for p in spots]

@@ -11,7 +11,8 @@ Range bounds come from a bounded sample of keys and steer only the dealing; each
 meets, so no range needs what another one saw, and rules may be a table of any size.
 
 Null URLs and URLs without '://' have an empty host and path and get the default. A rule with an empty or null host fits no
-page. The first of rules with equal host and path by (verdict) ascending counts. Repeated page ids are judged row by row.
+page. The first of rules with equal host and path by (verdict) ascending counts. Repeated page ids are judged row by row, URLs of
+any length whole. An empty table of pages gives an empty one, one of rules the default. Other columns of pages are left behind.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from ._runtime import ship
 from .linededup import _LOWER, _UPPER
 
-#: Keys that the driver sees to place range bounds.
-SAMPLE = 20_000
+#: Keys that the driver sees to place range bounds, for each range and at least.
+SAMPLE, LEAST_SAMPLE = 20, 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -87,8 +88,9 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     total = pages.count()
-    share = min(1.0, SAMPLE / max(total, 1))
-    seen = sorted((r["key"], r["path"], r["salt"]) for r in pages.where(F.abs(F.xxhash64("salt")) / F.lit(2.0**63) <= share).select("key", "path", "salt").limit(2 * SAMPLE).collect())
+    wanted = max(LEAST_SAMPLE, SAMPLE * parts)
+    share = min(1.0, wanted / max(total, 1))
+    seen = sorted((r["key"], r["path"], r["salt"]) for r in pages.where(F.abs(F.xxhash64("salt")) / F.lit(2.0**63) <= share).select("key", "path", "salt").limit(2 * wanted).collect())
     bounds = [seen[len(seen) * k // parts] for k in range(1, parts)] if seen else []
     schema = "part int, key string, path string, salt long, is_page boolean, page_id {0}, host string, rule string, verdict string".format(pages.schema["page_id"].dataType.simpleString())
 
