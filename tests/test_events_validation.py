@@ -76,7 +76,7 @@ def test_publish_deliver_replay(spark, bus):
     bus.subscribe("node_created", handler)
     bus.publish(some(spark, ("node_created", {"v": 1}, 1), ("node_created", {"v": 2}, 2), ("edge_created", {"v": 3}, 3)))
     assert got == [[1, 2]]
-    events = bus.store.read("events")
+    events = bus.events()
     assert events.where("processed and batch_id is not null").count() == 3 and events.select("id").distinct().count() == 3
     assert sorted((r["status"], r["event_count"]) for r in bus.store.read("event_batches").collect()) == [("COMPLETED", 1), ("COMPLETED", 2)]
     bus.publish(some(spark, ("node_created", {"v": 9}, 9)))
@@ -92,6 +92,38 @@ def test_publish_deliver_replay(spark, bus):
     assert [json.loads(r["data"])["v"] for r in q] == [2]
 
 
+def test_batches_wait_for_count_or_time(spark, tmp_path):
+    import time
+
+    bus = EventBus(spark, GraphStore(spark, str(tmp_path / "events")), batch_size=3, batch_seconds=0.5)
+    got = []
+    bus.subscribe("node_created", lambda df: got.append(sorted((json.loads(r["data"])["v"], r["batch_no"]) for r in df.collect())))
+    bus.enqueue(some(spark, ("node_created", {"v": 1}, 1)))
+    assert bus.events().where("processed").count() == 0 and bus.store.read("events").count() == 1
+    for _ in range(100):
+        if got:
+            break
+        time.sleep(0.1)
+    assert got == [[(1, 0)]]
+    bus.batch_seconds = 3600
+    bus.enqueue(some(spark, ("node_created", {"v": 2}, 2), ("node_created", {"v": 3}, 3)))
+    assert len(got) == 1
+    bus.enqueue(some(spark, *[("node_created", {"v": v}, v) for v in (4, 5, 6)]))
+    assert got[1] == [(2, 0), (3, 0), (4, 0), (5, 1), (6, 1)] and bus.flush() == 0
+    books = {r["id"]: r["event_count"] for r in bus.store.read("event_batches").collect()}
+    assert sorted(books.values()) == [1, 2, 3]
+    [pair] = [b for b, n in books.items() if n == 2]
+    assert sorted(json.loads(r["data"])["v"] for r in bus.get_events(batch_id=pair).collect()) == [5, 6]
+
+
+def test_numbers_of_a_group_over_several_ranges(spark):
+    e = spark.range(500).select((F.col("id") * 37 % 500).alias("id"), F.when(F.col("id") < 450, "click").alias("event_type"), F.lit(datetime(2024, 1, 1)).alias("timestamp"))
+    got = {(r["event_type"], r["id"]): r["n"] for r in ev.numbered(e, ["event_type"], ["timestamp", "id"]).collect()}
+    for kind in ("click", None):
+        ids = sorted(i for k, i in got if k == kind)
+        assert [got[kind, i] for i in ids] == list(range(len(ids)))
+
+
 def test_schema_dead_letters_and_retry(spark, bus):
     bus.register_schema("node_created", {"required": ["v"]})
     bus.register_schema("node_created", {"required": ["v"], "properties": {"v": {"minimum": 0}}})

@@ -106,6 +106,29 @@ def test_graph_query(spark, nodes):
     assert sorted(r["entity_type"] for r in out["aggregates"].collect()) == ["code_module", "dataset"]
 
 
+def test_depth_first_graph_query(spark, nodes):
+    """A node that the walk enters late may be too deep for what follows it, which a search in breadth reaches."""
+    graph = KGraph.from_pairs(spark, [("alpha", "beta"), ("beta", "delta"), ("delta", "gamma"), ("alpha", "gamma"), ("gamma", "omega")])
+    got = lambda s: {r["node"]: r["depth"] for r in GraphQuery(filters=[Filter("name", "eq", "alpha")], max_depth=3, traversal_strategy=s).traverse(nodes, graph)["nodes"].collect()}
+    assert got("breadth_first") == {"alpha": 0, "beta": 1, "gamma": 1, "delta": 2, "omega": 2}
+    assert got("depth_first") == {"alpha": 0, "beta": 1, "delta": 2, "gamma": 3}
+    none = GraphQuery(filters=[Filter("name", "eq", "?")], traversal_strategy="depth_first").traverse(nodes, graph)
+    assert none["nodes"].collect() == []
+
+
+def test_semantic_extras(nodes):
+    names = lambda q: [r["name"] for r in q.search(nodes, [1.0, 0.0]).rows.collect()]
+    plain = names(SemanticQuery(similarity_threshold=0.5))
+    assert plain == ["alpha", "beta"]
+    old_first = nodes.withColumn("metadata", F.col("metadata").withField("last_modified", F.when(F.col("name") == "beta", F.lit(datetime(2024, 6, 1))).otherwise(F.lit(datetime(2020, 1, 1)))))
+    found = SemanticQuery(similarity_threshold=0.5, boost_recent=True, recency_weight=5.0).search(old_first, [1.0, 0.0])
+    assert [r["name"] for r in found.rows.collect()] == ["beta", "alpha"] and found.total == 2
+    near = SemanticQuery(similarity_threshold=0.9, include_similar=True, similar_at=0.5).search(nodes, [1.0, 0.0]).rows.collect()
+    assert {r["name"]: r["similar_to"] for r in near}["alpha"] is None and any(r["similar_to"] == "alpha" for r in near)
+    concept = dict(similarity_threshold=0.0, filters=[Filter("name", "contains", "alph")], concepts={"alph": ["bet"]})
+    assert names(SemanticQuery(**concept)) == ["alpha"] and names(SemanticQuery(semantic_operators=["concept_expansion"], **concept)) == ["alpha", "beta"]
+
+
 def test_semantic(nodes):
     names = lambda q: [r["name"] for r in q.search(nodes, [1.0, 0.0]).rows.collect()]
     assert names(SemanticQuery(similarity_threshold=0.5)) == ["alpha", "beta"] and names(SemanticQuery(similarity_threshold=0.0)) == ["alpha", "beta", "gamma"]
@@ -122,6 +145,10 @@ def test_semantic_engine_embeds(nodes):
     engine = SemanticEngine(embed)
     got = engine.search(nodes.drop("embedding"), SemanticQuery(query_text="alpha", similarity_threshold=0.9, semantic_fields=["name"]))
     assert [r["name"] for r in got.rows.collect()][0] == "alpha"
+    both = SemanticEngine({"default": embed, "other": lambda texts: texts.map(lambda t: [1.0, 0.0])})
+    assert both.vector("alpha", "other") == [1.0, 0.0] != both.vector("alpha")
+    with pytest.raises(QueryError):
+        both.search(nodes.drop("embedding"), SemanticQuery(query_text="x", embedding_model="none"))
     with pytest.raises(QueryError):
         engine.search(nodes, SemanticQuery())
 

@@ -11,7 +11,7 @@ from weftgraph.errors import DuplicateResourceError, EdgeNotFoundError, NodeNotF
 from weftgraph.functions import scalar
 from weftgraph.repository import EdgeRepository, NodeRepository
 from weftgraph.schema import EDGE_DDL, NODE_DDL, with_edge_defaults, with_node_defaults
-from weftgraph.sources.store import GraphStore, edge_json, from_json_rows, keyed_json, node_json, read_keyed_json, rows_from_json
+from weftgraph.sources.store import GraphStore, edge_json, from_json_rows, keyed_json, node_json, read_keyed_json, rows_from_json, write_keyed_json
 
 
 def nodes_of(spark, *rows):
@@ -93,6 +93,41 @@ def test_backup_and_restore(spark, store, tmp_path):
         GraphStore(spark, "x", "csv")
 
 
+def test_a_commit_that_breaks_off_keeps_the_old_table(spark, store, monkeypatch):
+    from weftgraph.sources import store as module
+
+    repo = NodeRepository(store)
+    repo.create(nodes_of(spark, ("a", "dataset", [])))
+    monkeypatch.setattr(module, "_replace", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.write("nodes", store.read("nodes").where("false"))
+    monkeypatch.undo()
+    assert names(repo.list()) == ["a"] and names(NodeRepository(GraphStore(spark, store.path, store.format).initialize()).list()) == ["a"]
+    store._delete(f"{store.path}/nodes/CURRENT")
+    with pytest.raises(StorageError, match="no pointer"):
+        store.initialize()
+
+
+def test_keyed_json_file(spark, tmp_path):
+    path = str(tmp_path / "nodes.json")
+    for rows in ([("b", "dataset", ["x"]), ('q"u', "metric", [])], [("a", "dataset", None)], []):
+        df = with_node_defaults(spark.createDataFrame(rows, "name string, entity_type string, dependencies array<string>"))
+        write_keyed_json(df.repartition(3), F.col("name"), path)
+        assert sorted(json.loads((tmp_path / "nodes.json").read_text())) == sorted(r[0] for r in rows)
+        assert names(read_keyed_json(spark, path, NODE_DDL)) == sorted(r[0] for r in rows)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["nodes.json"]
+
+
+def test_scratch_tables_go(spark):
+    from weftgraph.runtime import scratch, stored
+
+    with scratch(spark):
+        kept = stored(spark.range(3))
+        assert kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FileNotFound"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_json_forms(spark, tmp_path):
     nodes = with_node_defaults(nodes_of(spark, ("a", "dataset", ["b"]), ("q\"uote", "metric", [])), now=F.lit(datetime(2024, 5, 1, 2, 3, 4)))
     assert sorted(map(str, from_json_rows(node_json(nodes), NODE_DDL).collect())) == sorted(map(str, nodes.collect()))

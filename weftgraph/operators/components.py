@@ -6,12 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
-from ..runtime import checkpointed, counted
-
-
-def undirected(edges: DataFrame) -> DataFrame:
-    """src, dst in both directions, each once, without self-loops."""
-    return edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+from ..runtime import checkpointed, counted, dealt_by
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -57,12 +52,16 @@ def component_sizes(components: DataFrame) -> DataFrame:
 
 
 def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
-    """label (node, color, start): colors flow along edges within one color class until nothing gets a smaller one."""
-    while True:
-        offered = edges.join(label.select(F.col("node").alias("src"), "color"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("new"))
-        label = checkpointed(label.select("node", "color").join(offered, "node", "left").select("node", F.least("color", F.coalesce("new", "color")).alias("color"), (F.col("new") < F.col("color")).alias("moved")))
-        if label.where("moved").isEmpty():
-            return label.select("node", "color")
+    """label (node, color): the least color that reaches each node flows along the edges, from the nodes whose color changed
+    last, until none changes; one job a round."""
+    moved = F.count_if("moved").alias("moved")
+    with dealt_by(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node") as steps:
+        label, now = counted(label.select("node", "color", F.lit(True).alias("moved")), moved)
+        while now["moved"]:
+            offered = label.where("moved").join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("color").alias("new"))
+            better = F.coalesce(F.col("new") < F.col("color"), F.lit(False))
+            label, now = counted(label.drop("moved").join(offered, "node", "left").select("node", F.when(better, F.col("new")).otherwise(F.col("color")).alias("color"), better.alias("moved")), moved)
+    return label.select("node", "color")
 
 
 def strong_components(graph: KGraph) -> DataFrame:
@@ -72,29 +71,27 @@ def strong_components(graph: KGraph) -> DataFrame:
     node that reaches it as its colour, and those of a colour that reach the colour's root backwards are its component.
     """
     live = checkpointed(graph.edges().where("src <> dst").select("src", "dst"))
-    rest = checkpointed(graph.nodes())
+    rest, left = counted(graph.nodes())
     done = rest.select("node", F.col("node").alias("component")).where("false")
-    while True:
-        while True:  # trim
-            ends = live.select(F.col("src").alias("node")).distinct().intersect(live.select(F.col("dst").alias("node")).distinct())
-            alone = checkpointed(rest.join(ends, "node", "left_anti"))
-            if alone.isEmpty():
-                break
-            done = done.union(alone.select("node", F.col("node").alias("component")))
-            rest = checkpointed(rest.join(alone, "node", "left_anti"))
-            live = checkpointed(live.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"))
-        if rest.isEmpty():
-            return done
+    inside = lambda nodes: live.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    while left["n"]:
+        ends = live.select(F.col("src").alias("node")).intersect(live.select(F.col("dst").alias("node")))
+        inner, kept = counted(rest.join(ends, "node", "left_semi"))
+        if kept["n"] < left["n"]:  # trim a layer
+            done = checkpointed(done.union(rest.join(inner, "node", "left_anti").select("node", F.col("node").alias("component"))))
+            rest, left, live = inner, kept, checkpointed(inside(inner))
+            continue
         color = _spread(live, rest.withColumn("color", F.col("node")))
         src, dst = color.select(F.col("node").alias("src"), F.col("color").alias("cs")), color.select(F.col("node").alias("dst"), F.col("color").alias("cd"))
         back = checkpointed(live.join(src, "src").join(dst, "dst").where("cs = cd").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         from .traversal import expand
 
-        roots = color.where("node = color").select("node")
-        found = checkpointed(expand(back, roots).select("node").distinct())
+        found = expand(back, color.where("node = color").select("node")).select("node")
         done = checkpointed(done.union(color.join(found, "node").select("node", F.col("color").alias("component"))))
-        rest = checkpointed(rest.join(found, "node", "left_anti"))
-        live = checkpointed(live.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        rest, left = counted(rest.join(done, "node", "left_anti"))
+        if left["n"]:
+            live = checkpointed(inside(rest))
+    return done
 
 
 def clustering(graph: KGraph) -> DataFrame:

@@ -45,8 +45,8 @@ def degree_distribution(graph: KGraph) -> DataFrame:
 
 def degree_centrality(graph: KGraph) -> DataFrame:
     """node, centrality: out-degree / (N - 1); 0 for a single node."""
-    n = graph.node_count()
-    return graph.degrees().select("node", (F.col("degree") / F.lit(n - 1) if n > 1 else F.lit(0.0)).alias("centrality"))
+    n = graph.nodes().agg(F.count("*").alias("n"))  # one row
+    return graph.degrees().join(n).select("node", F.when(F.col("n") > 1, F.col("degree") / (F.col("n") - 1)).otherwise(0.0).alias("centrality"))
 
 
 def average_clustering(graph: KGraph) -> DataFrame:
@@ -54,8 +54,8 @@ def average_clustering(graph: KGraph) -> DataFrame:
 
 
 def sample_nodes(graph: KGraph, size: int, seed: int = 0) -> DataFrame:
-    """The `size` nodes with the smallest seeded hashes."""
-    return graph.nodes().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(size)
+    """The `size` nodes whose MD5, of name, ':' and seed, is the smallest text."""
+    return graph.nodes().orderBy(F.md5(F.concat("node", F.lit(f":{seed}")).cast("binary")), "node").limit(size)
 
 
 def sample_size(n: int) -> int:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NodeNotFoundError
 from ..graph import KGraph
-from ..runtime import checkpointed, dealt_by
+from ..runtime import checkpointed, counted, dealt_by
 
 BFS, ITERATIVE_DFS, RECURSIVE_DFS = "bfs", "iterative_dfs", "recursive_dfs"
 Predicate = Column | Callable[[Column], Column] | None
@@ -26,29 +26,38 @@ def require(graph: KGraph, node: str, what: str = "Start") -> None:
         raise NodeNotFoundError(f"{what} node '{node}' not found in the graph")
 
 
-def expand(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, only: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, node, depth, path of all nodes that edges reach from seeds (keys, node); `only` is a condition on entered nodes.
+#: Rounds after which what has been seen is written anew, so that plans stay short on deep graphs.
+FOLD = 8
 
-    One join and one anti-join a level, over the new nodes only. path is the least of the paths of fewest edges, by node names
-    in order, so ordering by (depth, path) gives the order in which a queue with sorted neighbours meets the nodes.
+
+def expand(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, only: Column | None = None, keys: tuple[str, ...] = (), paths: bool = False) -> DataFrame:
+    """keys, node, depth[, path] of all nodes that edges reach from seeds (keys, node); `only` is a condition on entered nodes.
+
+    One join and one anti-join a level, over the new nodes only, in one job. path (if asked for) is the least of the paths of
+    fewest edges, by node names in order, so ordering by (depth, path) gives the order in which a queue with sorted neighbours
+    meets the nodes.
     """
     on = [*keys, "node"]
-    front = checkpointed(seeds.select(*on).distinct().withColumn("depth", F.lit(0)).withColumn("path", F.array("node")))
+    way = [F.array("node").alias("path")] if paths else []
+    front, now = counted(seeds.select(*on).distinct().select(*on, F.lit(0).alias("depth"), *way))
     seen, depth = front, 0
     with dealt_by(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node") as steps:
-        while (max_depth is None or depth < max_depth) and not front.isEmpty():
+        while (max_depth is None or depth < max_depth) and now["n"]:
             depth += 1
-            new = front.join(steps, "node").select(*keys, F.col("next").alias("node"), "path")
+            new = front.join(steps, "node").select(*keys, F.col("next").alias("node"), *(["path"] if paths else []))
             if only is not None:
                 new = new.where(only)
-            new = new.groupBy(*on).agg(F.min("path").alias("path")).join(seen.select(*on), on, "left_anti")
-            front = checkpointed(new.select(*on, F.lit(depth).alias("depth"), F.concat("path", F.array("node")).alias("path")))
+            new = (new.groupBy(*on).agg(F.min("path").alias("path")) if paths else new.distinct()).join(seen.select(*on), on, "left_anti")
+            way = [F.concat("path", F.array("node")).alias("path")] if paths else []
+            front, now = counted(new.select(*on, F.lit(depth).alias("depth"), *way))
             seen = seen.union(front)
+            if depth % FOLD == 0:
+                seen = checkpointed(seen)
     return seen
 
 
-def bfs(graph: KGraph, start: str, max_depth: int | None = None, emit: Predicate = None, prune: Predicate = None) -> DataFrame:
-    """node, depth, path of what can be reached from start, by levels.
+def bfs(graph: KGraph, start: str, max_depth: int | None = None, emit: Predicate = None, prune: Predicate = None, paths: bool = True) -> DataFrame:
+    """node, depth[, path] of what can be reached from start, by levels.
 
     emit hides nodes but is walked through (nothing at all if start fails it); prune also stops the walk.
     """
@@ -56,8 +65,8 @@ def bfs(graph: KGraph, start: str, max_depth: int | None = None, emit: Predicate
     start_row = graph.spark.createDataFrame([(start,)], "node string")
     for p in (as_predicate(emit), as_predicate(prune)):
         if p is not None and start_row.where(p).isEmpty():
-            return start_row.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")).where("false")
-    found = expand(graph.edges(), start_row, max_depth, as_predicate(prune))
+            return start_row.select("node", F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else [])).where("false")
+    found = expand(graph.edges(), start_row, max_depth, as_predicate(prune), paths=paths)
     return found if emit is None else found.where(as_predicate(emit))
 
 

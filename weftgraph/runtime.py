@@ -10,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ConfigurationError
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on one machine a folder of our own."""
@@ -18,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.conf.get("spark.checkpoint.dir", None)
         if not at:
             if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+                raise ConfigurationError("set spark.checkpoint.dir to a folder that all executors share")
             at = tempfile.mkdtemp(prefix="weftgraph-")
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir()
@@ -41,16 +43,39 @@ def counted(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+#: Paths of tables to remove at the end of each open scratch(), the innermost last.
+_open: list[list[str]] = []
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as compressed columns; removed when the session's file system closes."""
+    """Like checkpointed(), as compressed columns; removed at the end of the scratch() around it, or else with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end: by then, what was made of them must have been written."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            fs, at = _file(spark, path)
+            fs.delete(at, True)
+
+
 @contextmanager
 def dealt_by(df: DataFrame, key: str) -> Iterator[DataFrame]:
     """df dealt and sorted by key and held while rounds join it again and again: only the other side of those joins moves."""

@@ -49,6 +49,7 @@ EDGE_DDL = (
 EVENT_DDL = "id long, event_type string, data string, timestamp timestamp_ntz, metadata string, batch_id string, processed boolean, created_at timestamp_ntz"
 DEAD_LETTER_DDL = "id long, event_id long, error_message string, retry_count int, last_retry timestamp_ntz, created_at timestamp_ntz"
 BATCH_DDL = "id string, status string, event_count long, created_at timestamp_ntz, completed_at timestamp_ntz"
+LINK_DDL = "event_id long, linked_batch string"
 EVENT_SCHEMA_DDL = "event_type string, schema string, created_at timestamp_ntz, updated_at timestamp_ntz"
 NODE_KEY = ["name"]
 EDGE_KEY = ["from_entity", "relation_type", "to_entity"]

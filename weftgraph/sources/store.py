@@ -1,7 +1,8 @@
 """Tables of nodes, edges and events in a folder, as Parquet or JSON lines, with whole-table commits.
 
-A table is a folder of numbered versions; a write makes a new version beside the current one and then moves the pointer file to
-it, so readers see the old or the new table, never a part. All access goes through Spark's file systems.
+A table is a folder of versions; a write makes a new version beside the current one and then puts a new pointer file in place of
+the old in one rename, so readers see the old or the new table, never a part and never none. All access goes through Spark's file
+systems.
 """
 
 from __future__ import annotations
@@ -9,17 +10,18 @@ from __future__ import annotations
 import json
 import uuid
 from abc import ABC, abstractmethod
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import StorageError
-from ..functions.scalar import edge_id
-from ..schema import BATCH_DDL, DEAD_LETTER_DDL, EDGE_DDL, EVENT_DDL, EVENT_SCHEMA_DDL, NODE_DDL, struct_of
+from ..functions.scalar import backup_name, edge_id
+from ..schema import BATCH_DDL, DEAD_LETTER_DDL, EDGE_DDL, EVENT_DDL, EVENT_SCHEMA_DDL, LINK_DDL, NODE_DDL, struct_of
 
-TABLES = {"nodes": NODE_DDL, "edges": EDGE_DDL, "events": EVENT_DDL, "dead_letter_queue": DEAD_LETTER_DDL, "event_batches": BATCH_DDL, "event_schemas": EVENT_SCHEMA_DDL}
+TABLES = {"nodes": NODE_DDL, "edges": EDGE_DDL, "events": EVENT_DDL, "event_links": LINK_DDL, "dead_letter_queue": DEAD_LETTER_DDL, "event_batches": BATCH_DDL, "event_schemas": EVENT_SCHEMA_DDL}
 FORMATS = ("parquet", "json")
 
 
@@ -35,6 +37,50 @@ def keyed_json(df: DataFrame, key: Column) -> DataFrame:
     return df.select(F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(": "), F.to_json(F.struct("*"))).alias("value"))
 
 
+def write_keyed_json(df: DataFrame, key: Column, path: str) -> None:
+    """One file that is a JSON object of records by key, in the order of the key. It is one file by its format, so one task streams
+    it, record by record; it takes the place of an older one in one rename."""
+    spark = df.sparkSession
+    lines = keyed_json(df.withColumn("__key", key).orderBy("__key").drop("__key"), key)
+
+    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["{"]})
+        first = True
+        for f in frames:
+            if len(f):
+                marks = ["" if first and i == 0 else ", " for i in range(len(f))]
+                first = False
+                yield pd.DataFrame({"value": [m + v for m, v in zip(marks, f["value"], strict=True)]})
+        yield pd.DataFrame({"value": ["}"]})
+
+    to = f"{path}.{uuid.uuid4().hex}"
+    lines.coalesce(1).mapInPandas(whole, "value string").write.text(to)
+    fs = _file_context(spark, to)
+    part = next(s.getPath() for s in _files(spark, to) if s.getPath().getName().startswith("part-"))
+    _replace(spark, fs, part, path)
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(to), True)
+
+
+def _file_context(spark: SparkSession, path: str):
+    fs = spark._jvm.org.apache.hadoop.fs
+    at = fs.Path(path)
+    return fs.FileContext.getFileContext(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri(), spark._jsc.hadoopConfiguration())
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(fs.listStatus(at)) if fs.exists(at) else []
+
+
+def _replace(spark: SparkSession, fs, new, old: str) -> None:
+    """Rename a file over another in one step."""
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    fs.rename(new, spark._jvm.org.apache.hadoop.fs.Path(old), how)
+
+
 def node_json(df: DataFrame) -> DataFrame:
     return df.select(F.col("name").alias("key"), F.to_json(F.struct("*")).alias("value"))
 
@@ -102,11 +148,18 @@ class GraphStore(TableStore):
         pointer = f"{self.path}/{table}/CURRENT"
         return f"{self.path}/{table}/{self._text(pointer)}" if self._exists(pointer) else None
 
+    def _lost(self, table: str) -> bool:
+        """Whether a pointer is gone: versions that were written whole are there without one. A first write that broke off is not."""
+        whole = [s for s in _files(self.spark, f"{self.path}/{table}") if s.isDirectory() and self._exists(f"{s.getPath()}/_SUCCESS")]
+        return self._current(table) is None and len(whole) > 1
+
     # tables
 
     def initialize(self) -> GraphStore:
         """Make the tables that are not there, empty."""
         for table, ddl in TABLES.items():
+            if self._lost(table):
+                raise StorageError(f"{self.path}/{table} has versions but no pointer to the current one")
             if not self.exists(table):
                 self.write(table, self.spark.createDataFrame([], struct_of(ddl)))
         return self
@@ -136,11 +189,7 @@ class GraphStore(TableStore):
         df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.format(self.format).save(f"{self.path}/{table}/{version}")
         pointer = f"{self.path}/{table}/CURRENT"
         self._put_text(f"{pointer}.{version}", version)
-        fs, new = self._fs(f"{pointer}.{version}")
-        _, old = self._fs(pointer)
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise StorageError(f"could not commit {table}")
+        _replace(self.spark, _file_context(self.spark, self.path), self._fs(f"{pointer}.{version}")[1], pointer)
 
     def append(self, table: str, df: DataFrame) -> None:
         """Add files to the current version; what is there is not rewritten."""
@@ -153,7 +202,7 @@ class GraphStore(TableStore):
     def backup(self, to: str | None = None) -> str:
         """Copy all tables; by default to <path>_backup_<time>."""
         if to is None:
-            to = self.path + self.spark.range(1).select(F.concat(F.lit("_backup_"), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))).first()[0]
+            to = self.spark.range(1).select(backup_name(self.path, F.current_timestamp())).first()[0]
         other = GraphStore(self.spark, to, self.format)
         for table in TABLES:
             if self.exists(table):

@@ -1,15 +1,19 @@
 """An event bus on Structured Streaming.
 
-publish() checks and stores events in one commit; a stream over the stored files delivers them in micro-batches to the handlers of
-their type. Invalid events are refused; events whose handler fails go to the dead-letter queue.
+publish() checks and stores events in one commit and delivers them at once, in batches of a type; enqueue() lets them wait until a
+batch is full or its time is over; a stream over files publishes what appears there. Invalid events are refused; events whose
+handler fails go to the dead-letter queue. Which batch an event went out in is a row of the table event_links.
 """
 
 from __future__ import annotations
 
 import logging
+import threading
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +24,7 @@ from ..errors import EventError, ValidationError
 from ..schema import EVENT_DDL, struct_of
 from ..sources.store import GraphStore
 from ..validation import JsonSchemas
-from .events import BATCH_SIZE, MAX_RETRIES, after_retry, query_events, retryable, stored_form
+from .events import BATCH_SECONDS, BATCH_SIZE, MAX_RETRIES, after_retry, batched, query_events, retryable, stored_form
 
 Handler = Callable[[DataFrame], None]
 log = logging.getLogger(__name__)
@@ -29,10 +33,14 @@ log = logging.getLogger(__name__)
 class EventBus:
     """Handlers get a DataFrame of events of one type; what they raise sends that batch to the dead-letter queue."""
 
-    def __init__(self, spark: SparkSession, store: GraphStore, batch_size: int = BATCH_SIZE, max_retries: int = MAX_RETRIES):
-        self.spark, self.store, self.batch_size, self.max_retries = spark, store.initialize(), batch_size, max_retries
+    def __init__(self, spark: SparkSession, store: GraphStore, batch_size: int = BATCH_SIZE, max_retries: int = MAX_RETRIES, batch_seconds: float = BATCH_SECONDS):
+        self.spark, self.store, self.batch_size, self.max_retries, self.batch_seconds = spark, store.initialize(), batch_size, max_retries, batch_seconds
         self.schemas = JsonSchemas()
         self.handlers: dict[str, list[Handler]] = defaultdict(list)
+        self._waiting: list[DataFrame] = []
+        self._count = 0
+        self._timer: threading.Timer | None = None
+        self._lock = threading.RLock()
 
     # subscriptions
 
@@ -40,7 +48,7 @@ class EventBus:
         """With replay the handler first gets the stored events of its type, newest first."""
         self.handlers[event_type].append(handler)
         if replay:
-            handler(query_events(self.store.read("events"), event_type))
+            handler(query_events(self.events(), event_type))
 
     def unsubscribe(self, event_type: str, handler: Handler) -> bool:
         if handler in self.handlers[event_type]:
@@ -86,19 +94,59 @@ class EventBus:
             self.deliver(rows)
         return rows
 
+    def enqueue(self, events: DataFrame, validate: bool = True) -> None:
+        """Store events and let them wait: they go out when batch_size of them wait, or batch_seconds after the first."""
+        with self._lock:
+            rows = self.publish(events, validate, deliver=False)
+            self._waiting.append(rows)
+            self._count += rows.count()
+            if self._count >= self.batch_size:
+                self.flush()
+            elif self._timer is None:
+                self._timer = threading.Timer(self.batch_seconds, self.flush)
+                self._timer.daemon = True
+                self._timer.start()
+
+    def flush(self) -> int:
+        """Deliver what waits; how many events."""
+        with self._lock:
+            if self._timer is not None:
+                self._timer.cancel()
+            waiting, count = self._waiting, self._count
+            self._waiting, self._count, self._timer = [], 0, None
+            if waiting:
+                self.deliver(reduce(DataFrame.unionByName, waiting))
+            return count
+
     def deliver(self, rows: DataFrame) -> None:
-        """One batch a type: recorded, handed to the handlers of the type, completed."""
-        for kind in [r[0] for r in rows.select("event_type").distinct().collect()]:  # a row for each type
-            part, batch = rows.where(F.col("event_type") == kind), str(uuid.uuid4())
-            at = F.localtimestamp()
-            failed = self._hand_out(kind, part)
-            status = "FAILED" if failed else "COMPLETED"
-            book = part.agg(F.count("*").alias("event_count")).select(F.lit(batch).alias("id"), F.lit(status).alias("status"), "event_count", at.alias("created_at"), at.alias("completed_at"))
-            self.store.append("event_batches", book)
-            self._mark(part, batch)
-            if failed:
-                dead = part.select(F.col("id"), F.col("id").alias("event_id"), F.lit(failed).alias("error_message"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp_ntz").alias("last_retry"), at.alias("created_at"))
-                self.store.append("dead_letter_queue", dead)
+        """Events go to the handlers of their type, which get all of them with the number of their batch; batches of batch_size
+        events at most are recorded, with the events that each holds."""
+        from ..runtime import checkpointed
+
+        dealt, run = checkpointed(batched(rows, self.batch_size)), uuid.uuid4().hex
+        name = F.concat_ws("-", F.lit(run), "event_type", "batch_no")
+        at, failed = F.localtimestamp(), {}
+        for kind in [r[0] for r in dealt.select("event_type").distinct().collect()]:  # a row for each type
+            if problem := self._hand_out(kind, dealt.where(F.col("event_type") == kind)):
+                failed[kind] = problem
+        state = F.when(F.col("event_type").isin(list(failed)), "FAILED").otherwise("COMPLETED")
+        books = dealt.groupBy("event_type", "batch_no").agg(F.count("*").alias("event_count"))
+        self.store.append("event_batches", books.select(name.alias("id"), state.alias("status"), "event_count", at.alias("created_at"), at.alias("completed_at")))
+        self.store.append("event_links", dealt.select(F.col("id").alias("event_id"), name.alias("linked_batch")))
+        for kind, problem in failed.items():
+            part = dealt.where(F.col("event_type") == kind)
+            self.store.append("dead_letter_queue", part.select(F.col("id"), F.col("id").alias("event_id"), F.lit(problem).alias("error_message"), F.lit(0).alias("retry_count"), F.lit(None).cast("timestamp_ntz").alias("last_retry"), at.alias("created_at")))
+
+    def events(self) -> DataFrame:
+        """The stored events, with the batch that each went out in."""
+        links = self.store.read("event_links").groupBy(F.col("event_id").alias("id")).agg(F.max("linked_batch").alias("linked_batch"))
+        known = self.store.read("events").join(links, "id", "left")
+        batch = F.coalesce("linked_batch", "batch_id")
+        return known.select(*[{"batch_id": batch, "processed": F.col("processed") | F.col("linked_batch").isNotNull()}.get(c, F.col(c)).alias(c) for c in struct_of(EVENT_DDL).names])
+
+    def get_events(self, event_type: str | None = None, start: datetime | None = None, end: datetime | None = None, batch_id: str | None = None, limit: int = 0) -> DataFrame:
+        """Stored events, newest first."""
+        return query_events(self.events(), event_type, start, end, batch_id, limit)
 
     def _hand_out(self, kind: str, part: DataFrame) -> str:
         problems = []
@@ -110,18 +158,12 @@ class EventBus:
                 problems.append(f"{type(e).__name__}: {e}")
         return "; ".join(problems)
 
-    def _mark(self, part: DataFrame, batch: str) -> None:
-        done = part.select("id").withColumn("__now", F.lit(batch))
-        events = self.store.read("events").join(done, "id", "left")
-        marked = events.withColumns({"batch_id": F.coalesce("__now", "batch_id"), "processed": F.col("processed") | F.col("__now").isNotNull()}).drop("__now")
-        self.store.write("events", marked)
-
     def retry_dead_letters(self) -> int:
         """Deliver again what may be retried; how many events succeeded."""
         from ..runtime import checkpointed
 
         dead = checkpointed(self.store.read("dead_letter_queue"))
-        again = checkpointed(retryable(self.store.read("events"), dead, self.max_retries))
+        again = checkpointed(retryable(self.events(), dead, self.max_retries))
         good = again.where("false").select("id")
         for kind in [r[0] for r in again.select("event_type").distinct().collect()]:
             part = again.where(F.col("event_type") == kind)

@@ -9,7 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..schema import EVENT_DDL, EVENT_TYPES
+from ..runtime import stored
+from ..schema import EVENT_DDL, EVENT_TYPES, struct_of
 
 BATCH_SIZE, BATCH_SECONDS, MAX_RETRIES = 100, 1.0, 3
 _OPERATIONS = ("created", "updated", "deleted")
@@ -42,8 +43,6 @@ def stored_form(events: DataFrame, first_id: Column | int = 0) -> DataFrame:
     have = set(events.columns)
     ids = F.col("id") if "id" in have else F.monotonically_increasing_id() + first_id
     extra = {"id": ids, "metadata": F.col("metadata") if "metadata" in have else F.lit(None), "batch_id": F.col("batch_id") if "batch_id" in have else F.lit(None), "processed": F.lit(False), "created_at": at}
-    from ..schema import struct_of
-
     return events.select(*[(extra[f.name] if f.name in extra else F.col(f.name)).cast(f.dataType).alias(f.name) for f in struct_of(EVENT_DDL)])
 
 
@@ -58,17 +57,29 @@ def query_events(events: DataFrame, event_type: str | None = None, start: dateti
     return out.limit(limit) if limit else out
 
 
+def numbered(events: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """events with n: 0, 1, … within each group, in order. Rows are dealt by ranges of group and order and counted in each; what
+    the ranges before hold is added (a row for each range and each group in it), so a group may fill any number of tasks."""
+    row, own = F.monotonically_increasing_id(), F.spark_partition_id()
+    ranged = events.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    held = stored(ranged.select("*", own.alias("__range"), row.alias("__row")))
+    starts = held.groupBy(*groups, "__range").agg(F.min("__row").alias("__first"), F.count("*").alias("__size"))
+    before = F.sum("__size").over(Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__range").alias("__of"), "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    same = [F.col(g).eqNullSafe(F.col(f"__of_{g}")) for g in groups]
+    joined = held.join(starts, [*same, F.col("__range") == F.col("__of")])
+    return joined.select(*events.columns, (F.col("__row") - F.col("__first") + F.col("__before")).alias("n"))
+
+
 def batched(events: DataFrame, size: int = BATCH_SIZE, at: str = "timestamp", id_col: str = "id", gap: float | None = None) -> DataFrame:
     """events with batch_no: per type, in order of time, a new batch after `size` events or, with gap, when the first event of
     the batch's window of `gap` seconds is over."""
-    if gap is not None:
-        events = events.withColumn("__window", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / int(gap * 1_000_000)))
-        within = Window.partitionBy("event_type", "__window").orderBy(at, id_col)
-        number = F.struct(F.col("__window"), F.floor((F.row_number().over(within) - 1) / size).alias("part"))
-        out = events.withColumn("__batch", number)
-        rank = out.select("event_type", "__batch").distinct().withColumn("batch_no", F.row_number().over(Window.partitionBy("event_type").orderBy("__batch")) - 1)
-        return out.join(rank, ["event_type", "__batch"]).drop("__window", "__batch")
-    return events.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy("event_type").orderBy(at, id_col)) - 1) / size).cast("long"))
+    if gap is None:
+        return numbered(events, ["event_type"], [at, id_col]).withColumn("batch_no", F.expr(f"n div {size}")).drop("n")
+    events = events.withColumn("__window", F.floor(F.unix_micros(F.col(at).cast("timestamp")) / int(gap * 1_000_000)))
+    out = numbered(events, ["event_type", "__window"], [at, id_col]).withColumn("__part", F.expr(f"n div {size}")).drop("n")
+    number = numbered(out.select("event_type", "__window", "__part").distinct(), ["event_type"], ["__window", "__part"]).withColumnRenamed("n", "batch_no")
+    return out.join(number, ["event_type", "__window", "__part"]).drop("__window", "__part")
 
 
 def retryable(events: DataFrame, dead: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
