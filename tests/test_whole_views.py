@@ -37,10 +37,10 @@ def distances(links):
 def test_handoffs_of_all_events(spark, handed):
     at, links = handed
     run = lambda name: catalog.queries()[name](spark, at).collect()
-    assert {(r["src"], r["dst"]) for r in run("graph_edges_dedup_all")} == links
+    assert {(r["src"], r["dst"]) for r in run("graph_edges_dedup")} == links
     far, nodes = distances(links), {x for link in links for x in link}
-    assert {(r["node"], r["component"]) for r in run("strongly_connected_components_all")} == {(x, min(y for y in nodes if (x, y) in far and (y, x) in far)) for x in nodes}
-    [row] = run("path_metrics_exact_all")
+    assert {(r["node"], r["component"]) for r in run("strongly_connected_components")} == {(x, min(y for y in nodes if (x, y) in far and (y, x) in far)) for x in nodes}
+    [row] = run("path_metrics_exact")
     steps = [d for (a, b), d in far.items() if a != b]
     assert row["sample_size"] == len(nodes) and abs(row["average_path_length"] - sum(steps) / len(steps)) < 1e-6
     assert row["diameter"] == (max(steps) if len(steps) == len(nodes) * (len(nodes) - 1) else None)
@@ -60,7 +60,7 @@ def test_similar_vectors_of_all_labels(spark, tmp_path, monkeypatch):
     x = x.astype(np.float32).astype(float)
     size = np.linalg.norm(x, axis=1)
     want = {(f"{a:08d}", f"{b:08d}") for a in range(40) for b in range(a + 1, 40) if size[a] * size[b] and x[a] @ x[b] / (size[a] * size[b]) >= 0.8}
-    found = [(r["src"], r["dst"]) for r in views.similar_all(spark, str(tmp_path), 0.8).edges().collect()]
+    found = [(r["src"], r["dst"]) for r in views.similar(spark, str(tmp_path), 0.8).edges().collect()]
     assert set(found) == want and len(found) == len(want) and any(int(a) % 5 != int(b) % 5 for a, b in want)
 
 
@@ -73,5 +73,5 @@ def test_trade_of_all_orders(spark, small, tmp_path):
     read = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
     sold = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     want = {(f"N{r[0]}", f"N{r[1]}") for r in sold.select("s_nationkey", "c_nationkey").distinct().collect()}
-    assert {(r["src"], r["dst"]) for r in views.trade(spark, small, None, None).edges().collect()} == want
+    assert {(r["src"], r["dst"]) for r in views.trade(spark, small).edges().collect()} == want
     assert sum(r["degree"] for r in entry.entry(spark).collect()) == len(want)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,45 +14,21 @@ from ..operators import components, metrics, paths, subgraphs, traversal
 from ..repository import with_dependencies
 from ..schema import NODE_DDL, domain_of
 from ..search.filters import Filter, Sort, equal_fields
-from ..search.query import GraphQuery, SearchQuery, SemanticQuery
+from ..search.query import GraphQuery, SearchQuery, SemanticEngine, SemanticQuery
 from ..sources.store import from_json_rows, node_json
 from ..streaming import events as ev
 from ..streaming.bus import windowed_counts
-from ..validation import InRange, JsonSchemas, Matches, OfType, Required, RuleSet, edge_errors, node_errors, report_text
+from ..validation import Custom, InRange, JsonSchemas, Matches, OfType, Required, RuleSet, edge_errors, node_errors, report_text
 from . import views as v
-from .views import HANDOFF_ALL_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_ALL_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_ALL_SQL, TRADE_SQL, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def register(f: Query) -> Query:
-        _queries[name or f.__name__] = f
-        if sql:
-            _sql[name or f.__name__] = sql
-        return f
-
-    return register
-
-
-def over_handoffs(sql: str, closure: bool = False):
-    """Registers a query over the early errors, and as <name>_all over all events; there without SQL if that is a closure of all pairs."""
-
-    def register(f: Query) -> Query:
-        query(None if closure else sql.replace(HANDOFF_SQL, HANDOFF_ALL_SQL), f"{f.__name__}_all")(partial(f, handoff=v.handoff_all))
-        return query(sql)(f)
-
-    return register
-
+from .registry import QUERIES, SQL, query
+from .views import HALVES_SQL, HANDOFF_SQL, ORDER_NODES_SQL, PLACES_SQL, SIMILAR_SQL, SUPPLY_SQL, TRADE_SQL, table
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(SQL)
 
 
 def _ends(graph) -> tuple[str, str]:
@@ -68,28 +43,16 @@ def _round(c):
 # graph core and metrics
 
 
-_CENTRALITY = f"WITH {TRADE_SQL} SELECT n_name, d AS degree, round(d / (SELECT count(*) - 1 FROM n), 6) AS centrality FROM (SELECT node, count(dst) AS d FROM n LEFT JOIN e ON node = src GROUP BY node) JOIN nation ON node = 'N' || n_nationkey"
-
-
-def _centrality(spark, sf_dir, g):
-    g = g.persist()
+@query(f"WITH {TRADE_SQL} SELECT n_name, d AS degree, round(d / (SELECT count(*) - 1 FROM n), 6) AS centrality FROM (SELECT node, count(dst) AS d FROM n LEFT JOIN e ON node = src GROUP BY node) JOIN nation ON node = 'N' || n_nationkey")
+def graph_degree_centrality(spark, sf_dir):
+    g = v.trade(spark, sf_dir)
     ranked = metrics.degree_centrality(g).join(g.degrees(), "node").join(table(spark, sf_dir, "nation"), F.col("node") == F.concat(F.lit("N"), "n_nationkey"))
     return ranked.select("n_name", "degree", _round(F.col("centrality")).alias("centrality")).orderBy(F.desc("centrality"), "n_name")
 
 
-@query(_CENTRALITY)
-def graph_degree_centrality(spark, sf_dir):
-    return _centrality(spark, sf_dir, v.trade(spark, sf_dir))
-
-
-@query(_CENTRALITY.replace(TRADE_SQL, TRADE_ALL_SQL))
-def graph_degree_centrality_all(spark, sf_dir):
-    return _centrality(spark, sf_dir, v.trade(spark, sf_dir, None, None))
-
-
-@over_handoffs(f"WITH {HANDOFF_SQL}, c AS (SELECT (SELECT count(*) FROM n) AS nc, (SELECT count(*) FROM e) AS ec) SELECT nc AS node_count, ec AS edge_count, round(2.0 * ec / nc, 6) AS average_degree, round(ec / (nc * (nc - 1.0)), 6) AS density FROM c")
-def graph_basic_metrics(spark, sf_dir, handoff=v.handoff):
-    return metrics.basic(handoff(spark, sf_dir)).select("node_count", "edge_count", _round(F.col("average_degree")).alias("average_degree"), _round(F.col("density")).alias("density"))
+@query(f"WITH {HANDOFF_SQL}, c AS (SELECT (SELECT count(*) FROM n) AS nc, (SELECT count(*) FROM e) AS ec) SELECT nc AS node_count, ec AS edge_count, round(2.0 * ec / nc, 6) AS average_degree, round(ec / (nc * (nc - 1.0)), 6) AS density FROM c")
+def graph_basic_metrics(spark, sf_dir):
+    return metrics.basic(v.handoff(spark, sf_dir)).select("node_count", "edge_count", _round(F.col("average_degree")).alias("average_degree"), _round(F.col("density")).alias("density"))
 
 
 @query(f"WITH {SUPPLY_SQL} SELECT degree, count(*) AS nodes FROM (SELECT node, count(dst) AS degree FROM n LEFT JOIN e ON node = src GROUP BY node) GROUP BY degree")
@@ -102,32 +65,33 @@ def graph_degrees(spark, sf_dir):
     return v.supply(spark, sf_dir).degrees()
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL} SELECT node FROM n")
-def graph_nodes(spark, sf_dir, handoff=v.handoff):
-    return handoff(spark, sf_dir).nodes()
+@query(f"WITH {HANDOFF_SQL} SELECT node FROM n")
+def graph_nodes(spark, sf_dir):
+    return v.handoff(spark, sf_dir).nodes()
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL} SELECT src, dst, relation_type, weight FROM e")
-def graph_edges_dedup(spark, sf_dir, handoff=v.handoff):
-    return handoff(spark, sf_dir).edges().select("src", "dst", "relation_type", "weight")
+@query(f"WITH {HANDOFF_SQL} SELECT src, dst, relation_type, weight FROM e")
+def graph_edges_dedup(spark, sf_dir):
+    return v.handoff(spark, sf_dir).edges().select("src", "dst", "relation_type", "weight")
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL} SELECT dst AS node FROM e WHERE src = (SELECT min(node) FROM n)")
-def graph_neighbors(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(f"WITH {HANDOFF_SQL} SELECT dst AS node FROM e WHERE src = (SELECT min(node) FROM n)")
+def graph_neighbors(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     return g.neighbors(_ends(g)[0])
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL}, p AS (SELECT src, min(dst) AS dst FROM e GROUP BY src ORDER BY src LIMIT 1) SELECT e.src, e.dst, relation_type, weight FROM e JOIN p ON e.src = p.src AND e.dst = p.dst")
-def graph_edge_lookup(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(f"WITH {HANDOFF_SQL}, p AS (SELECT src, min(dst) AS dst FROM e GROUP BY src ORDER BY src LIMIT 1) SELECT e.src, e.dst, relation_type, weight FROM e JOIN p ON e.src = p.src AND e.dst = p.dst")
+def graph_edge_lookup(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     src, dst = g.edges().agg(F.min(F.struct("src", "dst")).alias("p")).first()["p"]
-    return g.matching((F.col("src") == src) & (F.col("dst") == dst)).select("src", "dst", "relation_type", "weight")
+    found = g.edge(src, dst)
+    return spark.createDataFrame([(found["src"], found["dst"], found["relation_type"], found["weight"])], "src string, dst string, relation_type string, weight double")
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL}, kept AS (SELECT src, dst, CASE WHEN relation_type = 'calls' THEN weight + 10 ELSE weight END AS weight FROM e WHERE weight < 4) SELECT src, dst, weight, (SELECT count(*) FROM n) AS node_count FROM kept")
-def graph_add_remove_edges(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(f"WITH {HANDOFF_SQL}, kept AS (SELECT src, dst, CASE WHEN relation_type = 'calls' THEN weight + 10 ELSE weight END AS weight FROM e WHERE weight < 4) SELECT src, dst, weight, (SELECT count(*) FROM n) AS node_count FROM kept")
+def graph_add_remove_edges(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     g.remove_edges(g.matching(F.col("weight") == 4).select("src", "dst"))
     g.add_edges(g.matching(F.col("relation_type") == "calls").withColumn("weight", F.col("weight") + 10))
     nodes = g.nodes().agg(F.count("*").alias("node_count"))
@@ -139,38 +103,61 @@ def graph_add_remove_edges(spark, sf_dir, handoff=v.handoff):
 _WALK = f"WITH RECURSIVE {HANDOFF_SQL}, r(node, depth) AS (SELECT min(node), 0 FROM n UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE {{step}}), b AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)"
 
 
-@over_handoffs(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b")
-def bfs_unbounded(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
-    return traversal.bfs(g, _ends(g)[0]).select("node", "depth")
+@query(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b")
+def bfs_unbounded(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
+    return traversal.bfs(g, _ends(g)[0], paths=False).select("node", "depth")
 
 
-@over_handoffs(_WALK.format(step="r.depth < 3") + " SELECT node, depth FROM b")
-def bfs_max_depth(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
-    return traversal.bfs(g, _ends(g)[0], max_depth=3).select("node", "depth")
+@query(_WALK.format(step="r.depth < 3") + " SELECT node, depth FROM b")
+def bfs_max_depth(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
+    return traversal.bfs(g, _ends(g)[0], max_depth=3, paths=False).select("node", "depth")
 
 
-@over_handoffs(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b WHERE node = (SELECT min(node) FROM n) OR node NOT LIKE '%7'")
-def bfs_filtered(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(_WALK.format(step="r.depth < 40") + " SELECT node, depth FROM b WHERE node = (SELECT min(node) FROM n) OR node NOT LIKE '%7'")
+def bfs_filtered(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     start = _ends(g)[0]
-    return traversal.bfs(g, start, emit=lambda n: (n == start) | ~n.endswith("7")).select("node", "depth")
+    return traversal.bfs(g, start, emit=lambda n: (n == start) | ~n.endswith("7"), paths=False).select("node", "depth")
 
 
-@over_handoffs(_WALK.format(step="r.depth < 40 AND e.dst NOT LIKE '%7'") + " SELECT DISTINCT node FROM b")
-def reachable_pruned(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(_WALK.format(step="r.depth < 40 AND e.dst NOT LIKE '%7'") + " SELECT DISTINCT node FROM b")
+def reachable_pruned(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     start = _ends(g)[0]
-    return traversal.dfs(g, start, prune=lambda n: (n == start) | ~n.endswith("7")).select("node")
+    return traversal.bfs(g, start, prune=lambda n: (n == start) | ~n.endswith("7"), paths=False).select("node")
 
 
 @query()
 def dfs_preorder(spark, sf_dir):
-    g = v.handoff_all(spark, sf_dir)
+    g = v.handoff(spark, sf_dir)
     return traversal.dfs(g, _ends(g)[0])
 
 
+_TREE = f"WITH RECURSIVE {HALVES_SQL}, r(node, depth, way) AS (SELECT 'O0', 0, ['O0'] UNION ALL SELECT e.dst, depth + 1, list_append(way, e.dst) FROM r JOIN e ON e.src = r.node)"
+
+
+@query(_TREE + " SELECT row_number() OVER (ORDER BY way) - 1 AS visit_order, node, CAST(depth AS INTEGER) AS depth FROM r")
+def dfs_preorder_tree(spark, sf_dir):
+    return traversal.dfs(v.halves(spark, sf_dir), "O0")
+
+
+@query(_TREE + " SELECT row_number() OVER (ORDER BY depth, way) - 1 AS emission, node FROM r WHERE depth <= 6")
+def bfs_emission_order(spark, sf_dir):
+    found = traversal.bfs(v.halves(spark, sf_dir), "O0", max_depth=6)
+    order = traversal.emission_order(found).select("node").collect()  # of the seven upper levels of a binary tree: 128 rows at most
+    return spark.createDataFrame([(i, r["node"]) for i, r in enumerate(order)], "emission long, node string")
+
+
+@query(f"{_WALK.format(step='r.depth < 40')} SELECT strategy, node FROM b, (VALUES ('bfs'), ('iterative_dfs'), ('recursive_dfs')) AS s(strategy)")
+def traverse_strategies(spark, sf_dir):
+    g = v.handoff(spark, sf_dir).persist()
+    start = _ends(g)[0]
+    parts = [traversal.traverse(g, start, s).select(F.lit(s).alias("strategy"), "node") for s in (traversal.BFS, traversal.ITERATIVE_DFS, traversal.RECURSIVE_DFS)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 # paths
 
 _SHORT = f"""WITH RECURSIVE {HANDOFF_SQL}, w AS (SELECT src, dst, {{weight}} AS w FROM e), d0(node, d) AS (SELECT min(node), CAST(0 AS DOUBLE) FROM n UNION SELECT dst, d + w FROM d0 JOIN w ON src = node WHERE d + w <= 60),
@@ -183,49 +170,64 @@ def _path_row(spark, p: paths.PathResult) -> DataFrame:
     return spark.createDataFrame([(">".join(p.nodes), p.total_weight, p.length)], "path string, total_weight double, length int")
 
 
-@over_handoffs(_SHORT.format(weight="CAST(1 AS DOUBLE)"))
-def shortest_path_unweighted(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(_SHORT.format(weight="CAST(1 AS DOUBLE)"))
+def shortest_path_unweighted(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     return _path_row(spark, paths.shortest_path(g, *_ends(g)))
 
 
-@over_handoffs(_SHORT.format(weight="weight"))
-def shortest_path_weighted(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(_SHORT.format(weight="weight"))
+def shortest_path_weighted(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     return _path_row(spark, paths.shortest_path(g, *_ends(g), weight=F.col("weight")))
 
 
-_SIMPLE = f"""WITH RECURSIVE {HANDOFF_SQL}, t AS (SELECT max(dst) AS t FROM e WHERE src IN (SELECT dst FROM e WHERE src = (SELECT min(node) FROM n))),
-g(nodes, cur, w, hops) AS (SELECT [min(node)], min(node), CAST(0 AS DOUBLE), 0 FROM n UNION ALL SELECT list_append(nodes, dst), dst, w + weight, hops + 1 FROM g JOIN e ON src = cur WHERE hops < 8 AND cur <> (SELECT t FROM t) AND NOT list_contains(nodes, dst)),
+_SIMPLE = f"""WITH RECURSIVE {TRADE_SQL}, t AS (SELECT max(node) AS t FROM n),
+g(nodes, cur, w, hops) AS (SELECT [min(node)], min(node), CAST(0 AS DOUBLE), 0 FROM n UNION ALL SELECT list_append(nodes, dst), dst, w + weight, hops + 1 FROM g JOIN e ON src = cur WHERE hops < 3 AND cur <> (SELECT t FROM t) AND NOT list_contains(nodes, dst)),
 f AS (SELECT array_to_string(nodes, '>') AS path, nodes, w AS total_weight, hops AS length FROM g WHERE cur = (SELECT t FROM t) AND hops > 0)"""
 
 
-def _near_pair(g) -> tuple[str, str]:
-    start = _ends(g)[0]
-    return start, g.edges().join(g.neighbors(start).withColumnRenamed("node", "src"), "src", "left_semi").agg(F.max("dst")).first()[0]
-
-
 def _path_columns(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(">", F.when(F.size("nodes") > 0, F.col("nodes"))).alias("path"), "total_weight", "length")
 
 
 @query(_SIMPLE + " SELECT path, total_weight, length FROM f")
 def all_simple_paths(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
-    return _path_columns(paths.simple_paths(g, *_near_pair(g), max_length=8, weight=F.col("weight")))
+    g = v.trade(spark, sf_dir)
+    return _path_columns(paths.simple_paths(g, *_ends(g), max_length=3, weight=F.col("weight")))
 
 
-@query(_SIMPLE + " SELECT path, total_weight, length FROM f ORDER BY nodes LIMIT 3")
+@query(_SIMPLE + " SELECT path, total_weight, length FROM f ORDER BY nodes LIMIT 40")
 def all_paths_limited(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
-    return _path_columns(paths.all_paths(g, *_near_pair(g), max_length=8, max_paths=3, weight=F.col("weight")))
+    g = v.trade(spark, sf_dir)
+    return _path_columns(paths.all_paths(g, *_ends(g), max_length=3, max_paths=40, weight=F.col("weight")))
 
 
 @query(_SIMPLE + " SELECT path, total_weight, length FROM f WHERE total_weight % 2 = 0")
 def all_paths_filtered(spark, sf_dir):
-    g = v.handoff(spark, sf_dir)
+    g = v.trade(spark, sf_dir)
     even = lambda edges: F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["weight"]) % 2 == 0
-    return _path_columns(paths.find_paths(g, *_near_pair(g), path_type=paths.FILTERED, max_length=8, keep=even, weight=F.col("weight")))
+    return _path_columns(paths.find_paths(g, *_ends(g), path_type=paths.FILTERED, max_length=3, keep=even, weight=F.col("weight")))
+
+
+@query(_SIMPLE + " SELECT path FROM f WHERE length <= 2")
+def graph_find_paths(spark, sf_dir):
+    """By the graph's own search, which holds its results: the second call is a hit."""
+    g = v.trade(spark, sf_dir)
+    ends = _ends(g)
+    found = [g.find_paths(*ends, max_depth=2) for _ in range(2)]  # between two of 25 nations: 24 ways at most
+    return spark.createDataFrame([(">".join(p),) for p in found[g.cache_stats()["hits"]]], "path string")
+
+
+@query(f"""{_SHORT.format(weight="weight").rsplit("SELECT way", 1)[0]}, ways AS (SELECT string_split(way, '>') AS w FROM b WHERE node = (SELECT min(node) FROM n)), steps AS (SELECT w, unnest(range(1, len(w))) AS i FROM ways)
+SELECT CAST(i - 1 AS INTEGER) AS step, w[i] AS src, w[i + 1] AS dst, e.weight, CAST(NULL AS VARCHAR) AS error FROM steps JOIN e ON e.src = w[i] AND e.dst = w[i + 1]""")
+def path_result_edges(spark, sf_dir):
+    """The edges of a checked path, one by one, and what path_errors says of them."""
+    g = v.handoff(spark, sf_dir)
+    found = paths.find_paths(g, *_ends(g), weight=F.col("weight"))
+    found.validate()
+    rows = spark.createDataFrame([([(e["src"], e["dst"]) for e in found], [(i, e["src"], e["dst"], e["weight"]) for i, e in enumerate(found)], len(found))], "edges array<struct<src:string,dst:string>>, steps array<struct<step:int,src:string,dst:string,weight:double>>, length int")
+    return rows.select(F.explode("steps").alias("s"), paths.path_errors(F.col("edges"), F.col("length")).alias("error")).select("s.*", "error")
 
 
 # components, clustering, path metrics
@@ -243,22 +245,9 @@ def component_sizes(spark, sf_dir):
     return components.component_sizes(components.weak_components(v.similar(spark, sf_dir)))
 
 
-_WEAK_ALL = _WEAK.replace(SIMILAR_SQL, SIMILAR_ALL_SQL)
-
-
-@query(_WEAK_ALL + " SELECT node, component FROM c")
-def weakly_connected_components_all(spark, sf_dir):
-    return components.weak_components(v.similar_all(spark, sf_dir))
-
-
-@query(_WEAK_ALL + " SELECT component, count(*) AS size FROM c GROUP BY component")
-def component_sizes_all(spark, sf_dir):
-    return components.component_sizes(components.weak_components(v.similar_all(spark, sf_dir)))
-
-
-@over_handoffs(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node) SELECT a.s AS node, min(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s", closure=True)
-def strongly_connected_components(spark, sf_dir, handoff=v.handoff):
-    return components.strong_components(handoff(spark, sf_dir))
+@query(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node) SELECT a.s AS node, min(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s")
+def strongly_connected_components(spark, sf_dir):
+    return components.strong_components(v.handoff(spark, sf_dir))
 
 
 _CLUSTER = f"""WITH {HANDOFF_SQL}, u AS (SELECT src AS x, dst AS y FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), k AS (SELECT node, count(y) AS k FROM n LEFT JOIN u ON x = node GROUP BY node),
@@ -266,49 +255,59 @@ l AS (SELECT a.x AS node, count(*) AS l FROM u a JOIN u b ON a.x = b.x AND a.y <
 c AS (SELECT k.node, k AS neighbors, CASE WHEN k < 2 THEN 0.0 ELSE coalesce(l, 0) / CAST(k * (k - 1) AS DOUBLE) END AS coefficient FROM k LEFT JOIN l ON k.node = l.node)"""
 
 
-@over_handoffs(_CLUSTER + " SELECT node, neighbors, round(coefficient, 6) AS coefficient FROM c")
-def clustering_coefficient(spark, sf_dir, handoff=v.handoff):
-    return components.clustering(handoff(spark, sf_dir)).select("node", "neighbors", _round(F.col("coefficient")).alias("coefficient"))
+@query(_CLUSTER + " SELECT node, neighbors, round(coefficient, 6) AS coefficient FROM c")
+def clustering_coefficient(spark, sf_dir):
+    return components.clustering(v.handoff(spark, sf_dir)).select("node", "neighbors", _round(F.col("coefficient")).alias("coefficient"))
 
 
-@over_handoffs(_CLUSTER + " SELECT round(avg(coefficient), 6) AS clustering_coefficient FROM c")
-def avg_clustering(spark, sf_dir, handoff=v.handoff):
-    return metrics.average_clustering(handoff(spark, sf_dir)).select(_round(F.col("clustering_coefficient")).alias("clustering_coefficient"))
+@query(_CLUSTER + " SELECT round(avg(coefficient), 6) AS clustering_coefficient FROM c")
+def avg_clustering(spark, sf_dir):
+    return metrics.average_clustering(v.handoff(spark, sf_dir)).select(_round(F.col("clustering_coefficient")).alias("clustering_coefficient"))
 
 
-@over_handoffs(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node, d) AS (SELECT node, node, 0 FROM n UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 40), p AS (SELECT s, node, min(d) AS d FROM r GROUP BY s, node HAVING s <> node) SELECT CASE WHEN count(*) = (SELECT count(*) * (count(*) - 1) FROM n) THEN max(d) END AS diameter, round(avg(d), 6) AS average_path_length, (SELECT count(*) FROM n) AS sample_size, CAST(1 AS DOUBLE) AS confidence FROM p", closure=True)
-def path_metrics_exact(spark, sf_dir, handoff=v.handoff):
-    return metrics.path_metrics(handoff(spark, sf_dir)).withColumn("average_path_length", _round(F.col("average_path_length")))
+@query(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node, d) AS (SELECT node, node, 0 FROM n UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 30), p AS (SELECT s, node, min(d) AS d FROM r GROUP BY s, node HAVING s <> node) SELECT CASE WHEN count(*) = (SELECT count(*) * (count(*) - 1) FROM n) THEN max(d) END AS diameter, round(avg(d), 6) AS average_path_length, (SELECT count(*) FROM n) AS sample_size, CAST(1 AS DOUBLE) AS confidence FROM p")
+def path_metrics_exact(spark, sf_dir):
+    return metrics.path_metrics(v.handoff(spark, sf_dir)).withColumn("average_path_length", _round(F.col("average_path_length")))
 
 
-@query()
+_MD5 = "(SELECT node FROM n ORDER BY md5(node || ':0'), node LIMIT {})"
+_FAR = f"WITH RECURSIVE {HANDOFF_SQL}, s AS {_MD5.format(40)}, r(s, node, d) AS (SELECT node, node, 0 FROM s UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 30), p AS (SELECT s, node, min(d) AS d FROM r GROUP BY s, node HAVING s <> node)"
+
+
+@query(_FAR + " SELECT CAST(floor(max(d) * 1.5) AS INTEGER) AS diameter, round(avg(d), 6) AS average_path_length, CAST(40 AS BIGINT) AS sample_size, round(1 - 2 * stddev_samp(d) / sqrt(count(*)), 6) AS confidence, max(d) AS observed_diameter FROM p")
 def path_metrics_sampled(spark, sf_dir):
-    return metrics.path_metrics_sampled(v.handoff_all(spark, sf_dir), size=40)
+    m = metrics.path_metrics_sampled(v.handoff(spark, sf_dir), size=40)
+    return m.withColumns({c: _round(F.col(c)) for c in ("average_path_length", "confidence")})
 
 
-@query()
+@query(_CLUSTER + f" SELECT round(avg(coefficient), 6) AS mean, round(1 - 2 * stddev_samp(coefficient) / sqrt(count(*)), 6) AS confidence, count(*) AS sample_size FROM c WHERE node IN {_MD5.format(60)}")
 def clustering_sampled(spark, sf_dir):
-    return metrics.clustering_sampled(v.handoff_all(spark, sf_dir), size=60)
+    m = metrics.clustering_sampled(v.handoff(spark, sf_dir), size=60)
+    return m.withColumns({c: _round(F.col(c)) for c in ("mean", "confidence")})
 
 
-@query()
+@query(_CLUSTER.replace("WITH ", "WITH RECURSIVE ", 1) + """, r(s, node, d) AS (SELECT node, node, 0 FROM n UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 30), p AS (SELECT s, node, min(d) AS d FROM r GROUP BY s, node HAVING s <> node),
+w(s, node) AS (SELECT node, node FROM n UNION SELECT w.s, u.y FROM w JOIN u ON u.x = w.node), q AS (SELECT count(*) AS nc, (SELECT count(*) FROM e) AS ec FROM n)
+SELECT nc AS node_count, ec AS edge_count, round(2.0 * ec / nc, 6) AS average_degree, round(ec / (nc * (nc - 1.0)), 6) AS density, (SELECT round(avg(coefficient), 6) FROM c) AS clustering_coefficient,
+(SELECT count(DISTINCT m) FROM (SELECT node, min(s) AS m FROM w GROUP BY node)) AS connected_components, CASE WHEN (SELECT count(*) FROM p) = nc * (nc - 1) THEN (SELECT max(d) FROM p) END AS diameter, (SELECT round(avg(d), 6) FROM p) AS average_path_length, CAST(1 AS DOUBLE) AS confidence FROM q""")
 def graph_metrics_all(spark, sf_dir):
-    m = metrics.calculate(v.handoff_all(spark, sf_dir))
-    return spark.createDataFrame([(m.node_count, m.edge_count, m.average_degree, m.density, m.clustering_coefficient, m.connected_components, m.diameter, m.average_path_length, m.confidence)], "node_count long, edge_count long, average_degree double, density double, clustering_coefficient double, connected_components long, diameter int, average_path_length double, confidence double")
+    m = metrics.calculate(v.handoff(spark, sf_dir))
+    r = lambda x: round(float(x), 6)
+    return spark.createDataFrame([(m.node_count, m.edge_count, r(m.average_degree), r(m.density), r(m.clustering_coefficient), m.connected_components, m.diameter, r(m.average_path_length), r(m.confidence))], "node_count long, edge_count long, average_degree double, density double, clustering_coefficient double, connected_components long, diameter int, average_path_length double, confidence double")
 
 
 # subgraphs
 
 
-@over_handoffs(_WALK.format(step="r.depth < 2") + " SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM b) AND dst IN (SELECT node FROM b)")
-def ego_network(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(_WALK.format(step="r.depth < 2") + " SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM b) AND dst IN (SELECT node FROM b)")
+def ego_network(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     return subgraphs.neighborhood(g, _ends(g)[0], 2)[1].select("src", "dst", "relation_type")
 
 
-@over_handoffs(_WALK.format(step="r.depth < 3") + ", s AS (SELECT node FROM b WHERE node NOT LIKE '%7') SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s) AND relation_type = 'depends_on'")
-def ego_network_filtered(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
+@query(_WALK.format(step="r.depth < 3") + ", s AS (SELECT node FROM b WHERE node NOT LIKE '%7') SELECT src, dst, relation_type FROM e WHERE src IN (SELECT node FROM s) AND dst IN (SELECT node FROM s) AND relation_type = 'depends_on'")
+def ego_network_filtered(spark, sf_dir):
+    g = v.handoff(spark, sf_dir)
     return subgraphs.neighborhood(g, _ends(g)[0], 3, lambda n: ~n.endswith("7"), F.col("relation_type") == "depends_on")[1].select("src", "dst", "relation_type")
 
 
@@ -324,10 +323,10 @@ def edge_end_types(spark, sf_dir):
     return subgraphs.with_end_types(g.edges(), nodes).groupBy("src_type", "dst_type").agg(F.count("*").alias("edges"))
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS edges FROM e GROUP BY 1, 2")
-def undirected_edge_keys(spark, sf_dir, handoff=v.handoff):
+@query(f"WITH {HANDOFF_SQL} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS edges FROM e GROUP BY 1, 2")
+def undirected_edge_keys(spark, sf_dir):
     key = subgraphs.edge_key(directed=False)
-    return handoff(spark, sf_dir).edges().groupBy(key.alias("k")).agg(F.count("*").alias("edges")).select(F.col("k").getField("col1").alias("a"), F.col("k").getField("col2").alias("b"), "edges")
+    return v.handoff(spark, sf_dir).edges().groupBy(key.alias("k")).agg(F.count("*").alias("edges")).select(F.col("k").getField("col1").alias("a"), F.col("k").getField("col2").alias("b"), "edges")
 
 
 # search
@@ -410,6 +409,38 @@ def searchable_text(spark, sf_dir):
     return v.order_nodes(spark, sf_dir).select("name", scalar.searchable_text().alias("searchable"))
 
 
+@query(f"WITH {ORDER_NODES_SQL} SELECT name FROM nodes WHERE contains(lower(concat_ws(' ', name, documentation, obs1 || ' ' || obs2, tag)), 'urgent status f')")
+def search_all_text(spark, sf_dir):
+    return _found(spark, sf_dir, query_text="URGENT status F")
+
+
+@query(f"WITH {ORDER_NODES_SQL} SELECT name, entity_type FROM nodes WHERE entity_type IN ('dataset', 'system') AND confidence >= 0.5 ORDER BY total DESC, name LIMIT 30")
+def search_types_without_metadata(spark, sf_dir):
+    nodes = v.order_nodes(spark, sf_dir).withColumn("total", F.col("metrics")["total"])
+    found = GraphQuery(entity_types=["dataset", "system"], min_confidence=0.5, sort=[Sort("total", "desc")], page_size=30, include_metadata=False).run(nodes).rows
+    return found.select("name", "entity_type") if "metadata" not in found.columns else found.where("false").select("name", "entity_type")
+
+
+_USERS = "users AS (SELECT DISTINCT 'U' || user_id AS name, CASE WHEN user_id % 2 = 0 THEN 'stakeholder' ELSE 'component' END AS entity_type FROM events)"
+
+
+def _users(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select("user_id").distinct().select(F.concat(F.lit("U"), "user_id").alias("name"), F.when(F.col("user_id") % 2 == 0, "stakeholder").otherwise("component").alias("entity_type"))
+
+
+@query(f"WITH RECURSIVE {HANDOFF_SQL}, {_USERS}, c AS (SELECT * FROM e WHERE relation_type = 'calls'), r(node, depth) AS (SELECT name, 0 FROM users WHERE starts_with(name, 'U11') UNION SELECT c.dst, depth + 1 FROM r JOIN c ON c.src = r.node WHERE depth < 2), b AS (SELECT node, min(depth) AS depth FROM r GROUP BY node) SELECT entity_type, count(*) AS count, (SELECT count(*) FROM c WHERE src IN (SELECT node FROM b) AND dst IN (SELECT node FROM b)) AS connections FROM b JOIN users ON name = node GROUP BY entity_type")
+def graph_query_traverse(spark, sf_dir):
+    q = GraphQuery(filters=[Filter("name", "startswith", "U11")], relation_types=["calls"], max_depth=2, include_connections=True, aggregate_nodes=True)
+    out = q.traverse(_users(spark, sf_dir), v.handoff(spark, sf_dir))
+    return out["aggregates"].join(out["connections"].agg(F.count("*").alias("connections")))  # one row
+
+
+@query(_TREE.replace("(SELECT 'O0', 0, ['O0']", "(SELECT 'O1', 0, ['O1']") + " SELECT node, CAST(depth AS INTEGER) AS depth FROM r WHERE depth <= 7")
+def graph_query_depth_first(spark, sf_dir):
+    nodes = table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("name"), F.lit("system").alias("entity_type"))
+    return GraphQuery(filters=[Filter("name", "eq", "O1")], max_depth=7, traversal_strategy="depth_first").traverse(nodes, v.halves(spark, sf_dir))["nodes"]
+
+
 _ANCHOR = "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS sim FROM embeddings)"
 
 
@@ -445,6 +476,65 @@ def cosine_pairs(spark, sf_dir):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", _round(cosine(F.col("x"), F.col("y"))).alias("similarity"))
 
 
+def _semantic(spark, sf_dir, **options) -> DataFrame:
+    rows, vector = _vectors(spark, sf_dir)
+    rows = rows.withColumn("entity_type", F.concat(F.lit("t"), "label"))
+    return SemanticQuery(**{"similarity_threshold": 0.0, **options}).search(rows, vector).matches
+
+
+_NAMED = _ANCHOR + ", v AS (SELECT *, lpad(CAST(vec_id AS VARCHAR), 8, '0') AS name FROM s WHERE sim >= 0)"
+
+
+@query(_NAMED + " SELECT name FROM v WHERE name IN ('00000000', '00000007', '00000123', '00000499')")
+def semantic_synonyms(spark, sf_dir):
+    return _semantic(spark, sf_dir, filters=[Filter("name", "eq", "00000000")], semantic_operators=["expand_synonyms"], synonyms={"00000000": ["00000007", "00000123", "00000499"]}).select("name")
+
+
+@query(_NAMED + " SELECT name FROM v WHERE label IN (2, 5, 9)")
+def semantic_related_types(spark, sf_dir):
+    return _semantic(spark, sf_dir, filters=[Filter("entity_type", "eq", "t2")], semantic_operators=["include_related"], related_types={"t2": ["t5", "t9"]}).select("name")
+
+
+@query(_NAMED + " SELECT name FROM v WHERE levenshtein(name, '00000123') <= 2")
+def semantic_fuzzy(spark, sf_dir):
+    return _semantic(spark, sf_dir, filters=[Filter("name", "eq", "00000123")], semantic_operators=["fuzzy_match"]).select("name")
+
+
+@query(_NAMED + " SELECT name FROM v WHERE contains(name, '12') OR contains(name, '34')")
+def semantic_concepts(spark, sf_dir):
+    return _semantic(spark, sf_dir, filters=[Filter("name", "contains", "12")], semantic_operators=["concept_expansion"], concepts={"12": ["34"]}).select("name")
+
+
+@query(_ANCHOR + ", a AS (SELECT *, 0.2 * pow(0.5, (max(vec_id) OVER () - vec_id) / 30.0) AS boost FROM s WHERE sim >= 0.1) SELECT vec_id, round(sim + boost, 6) AS score FROM a ORDER BY sim + boost DESC, vec_id LIMIT 20")
+def semantic_boost_recent(spark, sf_dir):
+    """A vector's id is its day."""
+    rows, vector = _vectors(spark, sf_dir)
+    day = F.timestamp_add("DAY", F.col("vec_id").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp")).cast("timestamp_ntz")
+    rows = rows.withColumn("metadata", F.struct(day.alias("last_modified")))
+    found = SemanticQuery(similarity_threshold=0.1, boost_recent=True, recency_weight=0.2, page_size=20).search(rows, vector)
+    return found.rows.select("vec_id", _round(F.col("rank_score")).alias("score"))
+
+
+@query(_ANCHOR + """, best AS (SELECT s.vec_id, embedding FROM s JOIN embeddings USING (vec_id) WHERE sim >= 0.3 ORDER BY sim DESC, vec_id LIMIT 5), near AS (SELECT e.vec_id, min(b.vec_id) AS similar_to FROM embeddings e JOIN s USING (vec_id), best b WHERE sim < 0.3 AND list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.35 GROUP BY e.vec_id)
+SELECT vec_id, CAST(NULL AS VARCHAR) AS similar_to FROM s WHERE sim >= 0.3 UNION ALL SELECT vec_id, lpad(CAST(similar_to AS VARCHAR), 8, '0') FROM near""")
+def semantic_include_similar(spark, sf_dir):
+    return _semantic(spark, sf_dir, similarity_threshold=0.3, include_similar=True, similar_at=0.35, page_size=5).select("vec_id", "similar_to")
+
+
+@query(f"WITH {ORDER_NODES_SQL}, t AS (SELECT name, CAST(len(concat_ws(' ', name, documentation)) AS DOUBLE) AS a, CAST(len(regexp_extract_all(concat_ws(' ', name, documentation), '[0-4]')) AS DOUBLE) AS b FROM nodes), s AS (SELECT name, (a * 3 + b * 2) / (sqrt(a * a + b * b) * sqrt(13.0)) AS sim FROM t) SELECT name, round(sim, 6) AS similarity FROM s WHERE sim >= 0.97")
+def semantic_engine_search(spark, sf_dir):
+    """With an embedding of two numbers: a text's length, and its digits up to 4."""
+
+    def embed(texts):
+        import re
+
+        return texts.map(lambda t: [float(len(t)), float(len(re.findall("[0-4]", t)))])
+
+    engine = SemanticEngine(embed)
+    found = engine.search(v.order_nodes(spark, sf_dir), SemanticQuery(query_text="1x2", similarity_threshold=0.97, semantic_fields=["name", "documentation"]))
+    return found.matches.select("name", _round(F.col("similarity_score")).alias("similarity"))
+
+
 # nodes, edges, storage forms
 
 _DEPENDS = f"WITH RECURSIVE {ORDER_NODES_SQL}, s AS (SELECT name FROM nodes ORDER BY k DESC LIMIT 1), r(name) AS (SELECT name FROM s UNION SELECT b.name FROM r JOIN nodes a ON a.name = r.name JOIN nodes b ON b.name = a.dependency)"
@@ -462,19 +552,10 @@ def dependency_one_level(spark, sf_dir):
     return with_dependencies(v.order_nodes(spark, sf_dir), f"O{last}", transitive=False).select("name")
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL}, s AS (SELECT min(node) AS s FROM n) SELECT 'outgoing' AS direction, count(*) AS edges FROM e, s WHERE src = s UNION ALL SELECT 'incoming', count(*) FROM e, s WHERE dst = s UNION ALL SELECT 'both', count(*) FROM e, s WHERE src = s OR dst = s")
-def node_edges_direction(spark, sf_dir, handoff=v.handoff):
-    g = handoff(spark, sf_dir)
-    start = _ends(g)[0]
-    out, into = F.col("src") == start, F.col("dst") == start
-    sides = g.edges().agg(*[F.count_if(c).alias(k) for k, c in (("outgoing", out), ("incoming", into), ("both", out | into))])
-    return sides.unpivot([], ["outgoing", "incoming", "both"], "direction", "edges")
-
-
-@over_handoffs(f"WITH {HANDOFF_SQL} SELECT src || ':' || relation_type || ':' || dst AS edge_id, src, dst FROM e")
-def edge_ids(spark, sf_dir, handoff=v.handoff):
+@query(f"WITH {HANDOFF_SQL} SELECT src || ':' || relation_type || ':' || dst AS edge_id, src, dst FROM e")
+def edge_ids(spark, sf_dir):
     key = scalar.edge_id(F.col("src"), F.col("relation_type"), F.col("dst"))
-    ids = handoff(spark, sf_dir).edges().select(key.alias("edge_id"))
+    ids = v.handoff(spark, sf_dir).edges().select(key.alias("edge_id"))
     parts = scalar.edge_id_parts(F.col("edge_id"), ["calls", "depends_on"])
     return ids.select("edge_id", parts["from_entity"].alias("src"), parts["to_entity"].alias("dst"))
 
@@ -497,6 +578,31 @@ def iso_timestamps(spark, sf_dir):
     return iso.withColumn("parsed", scalar.iso_parse(F.col("iso")))
 
 
+@query(f"WITH {ORDER_NODES_SQL} SELECT name, CASE WHEN version = 0 THEN 'stale' ELSE 'active' END AS status, CASE WHEN version = 0 THEN TIMESTAMP '2024-01-01' ELSE created_at END AS last_modified, CASE WHEN k % 2 = 0 THEN tag || '|even' ELSE tag END AS tags FROM nodes")
+def status_and_tags(spark, sf_dir):
+    nodes = scalar.with_status(v.order_nodes(spark, sf_dir), "stale", F.col("metadata.version") == 0, F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz"))
+    nodes = scalar.append_to(nodes, "tags", F.lit("even"), F.substring("name", 2, 20).cast("long") % 2 == 0)
+    return nodes.select("name", "metadata.status", "metadata.last_modified", F.array_join("metadata.tags", "|").alias("tags"))
+
+
+@query(f"WITH {HANDOFF_SQL} SELECT src, dst, CASE WHEN weight = 4 THEN 0.25 ELSE 1.0 END AS confidence, CASE WHEN relation_type = 'calls' THEN 'verified' ELSE 'unverified' END AS validation_status FROM e")
+def edge_confidence_and_status(spark, sf_dir):
+    from ..schema import with_edge_defaults
+
+    e = v.handoff(spark, sf_dir).edges()
+    rows = with_edge_defaults(e.select(F.col("src").alias("from_entity"), F.col("dst").alias("to_entity"), "relation_type", F.to_json(F.struct("weight")).alias("attributes")))
+    rows = scalar.with_confidence(rows, 0.25, F.get_json_object("attributes", "$.weight").cast("double") == 4)
+    rows = scalar.with_validation_status(rows, "verified", F.col("relation_type") == "calls")
+    return rows.select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"), F.col("metadata.confidence").alias("confidence"), "validation_status")
+
+
+@query(f"WITH {ORDER_NODES_SQL} SELECT name, CAST(0.75 AS DOUBLE) AS value, 2 AS metrics FROM nodes")
+def custom_metrics(spark, sf_dir):
+    m = F.col("metadata.metrics.custom_metrics")
+    m = scalar.with_custom_metric(scalar.with_custom_metric(scalar.with_custom_metric(m, "a", 0.5), "b", 3, 1, 5), "a", 0.75)
+    return v.order_nodes(spark, sf_dir).select("name", m.alias("m")).select("name", F.col("m")["a"]["value"].alias("value"), F.size("m").alias("metrics"))
+
+
 # events
 
 
@@ -548,17 +654,27 @@ def rule_validation(spark, sf_dir):
     return rules.validate(v.order_nodes(spark, sf_dir)).select("name", report_text().alias("report"))
 
 
+@query(f"WITH {ORDER_NODES_SQL} SELECT name, k % 7 = 0 AS is_valid FROM nodes")
+def custom_rule(spark, sf_dir):
+    """A rule of one's own over a value of the row."""
+    rules = RuleSet().add("name", Custom("not a seventh", lambda c: F.substring(c, 2, 20).cast("long") % 7 == 0))
+    return rules.validate(v.order_nodes(spark, sf_dir)).select("name", "validation.is_valid")
+
+
 @query(f"WITH {ORDER_NODES_SQL} SELECT name, CASE WHEN version < 1 THEN 'version must be a positive integer' ELSE '' END AS errors FROM nodes")
 def integrity_report(spark, sf_dir):
     return v.order_nodes(spark, sf_dir).select("name", F.array_join(node_errors(), "; ").alias("errors"))
 
 
-@over_handoffs(f"WITH {HANDOFF_SQL} SELECT src, dst, concat_ws('; ', CASE WHEN relation_type = 'calls' THEN 'relation_type must be a known relation type' END, CASE WHEN weight > 3 THEN 'confidence must be between 0 and 1' END, CASE WHEN weight < 2 THEN 'weight must be non-negative' END) AS errors FROM e")
-def edge_integrity(spark, sf_dir, handoff=v.handoff):
+@query(f"WITH {HANDOFF_SQL} SELECT src, dst, concat_ws('; ', CASE WHEN relation_type = 'calls' THEN 'relation_type must be a known relation type' END, CASE WHEN weight > 3 THEN 'confidence must be between 0 and 1' END, CASE WHEN weight < 2 THEN 'weight must be non-negative' END) AS errors FROM e")
+def edge_integrity(spark, sf_dir):
     from ..schema import with_edge_defaults
 
-    e = handoff(spark, sf_dir).edges()
+    e = v.handoff(spark, sf_dir).edges()
     rows = with_edge_defaults(e.select(F.col("src").alias("from_entity"), F.col("dst").alias("to_entity"), F.when(F.col("relation_type") == "calls", "phones").otherwise(F.col("relation_type")).alias("relation_type"), F.col("weight").alias("w")).drop("w"))
     rows = rows.join(e.select(F.col("src").alias("from_entity"), F.col("dst").alias("to_entity"), F.col("weight").alias("w")), ["from_entity", "to_entity"])
     rows = rows.withColumn("metadata", F.col("metadata").withField("confidence", F.when(F.col("w") > 3, 1.5).otherwise(0.5)).withField("weight", F.col("w") - 2))
     return rows.select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"), F.array_join(edge_errors(), "; ").alias("errors"))
+
+
+from . import tables as _tables  # noqa: E402, F401  registers its own

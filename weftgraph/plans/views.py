@@ -2,72 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
+from ..streaming.events import numbered
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trade(spark: SparkSession, sf_dir: str, start: str | None = "1995-01-01", end: str | None = "1995-01-07") -> KGraph:
-    """Nation of the supplier -> nation of the customer, for orders of some days (all, without start and end); weight is the revenue."""
-    orders = table(spark, sf_dir, "orders")
-    if start is not None:
-        orders = orders.where(F.col("o_orderdate") >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        orders = orders.where(F.col("o_orderdate") <= F.lit(end).cast("timestamp_ntz"))
-    orders = orders.select("o_orderkey", "o_custkey")
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_discount")
+def trade(spark: SparkSession, sf_dir: str) -> KGraph:
+    """Nation of the supplier -> nation of the customer; weight is the quantity sold."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("to"))
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("of"))
     sold = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = sold.groupBy("of", "to").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("weight"))
+    pairs = sold.groupBy("of", "to").agg(F.sum("l_quantity").alias("weight"))
     return KGraph(pairs.select(F.concat(F.lit("N"), "of").alias("src"), F.concat(F.lit("N"), "to").alias("dst"), F.lit("connects_to").alias("relation_type"), "weight"))
 
 
 TRADE_SQL = """
-e AS (SELECT 'N' || s_nationkey AS src, 'N' || c_nationkey AS dst, sum(l_extendedprice * (1 - l_discount)) AS weight
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-01-07' GROUP BY 1, 2),
+e AS (SELECT 'N' || s_nationkey AS src, 'N' || c_nationkey AS dst, sum(l_quantity) AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 """
 
-TRADE_ALL_SQL = TRADE_SQL.replace("  WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-01-07' GROUP", "  GROUP")
-
 
 def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User -> next user of the same day among early errors; a pair may recur."""
-    return _next_users(table(spark, sf_dir, "events").where("event_type = 'error' and ts < timestamp_ntz '2024-01-04'"))
-
-
-def _next_users(events: DataFrame) -> DataFrame:
-    after = F.lead("user_id").over(Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id"))
-    pairs = events.select("user_id", "event_id", after.alias("after"))
+    """User -> next user of the same day; a pair may recur. Events are numbered by ranges and meet the one with the next number,
+    so a day may fill any number of tasks."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
+    row = numbered(events, ["day"], ["ts", "event_id"])
+    after = row.select(F.col("day").alias("same"), (F.col("n") - 1).alias("before"), F.col("user_id").alias("after"))
+    pairs = row.join(after, (F.col("day") == F.col("same")) & (F.col("n") == F.col("before")))
     kind = F.when(F.col("event_id") % 3 == 0, "calls").otherwise("depends_on")
-    return pairs.where("after is not null").select(F.concat(F.lit("U"), "user_id").alias("src"), F.concat(F.lit("U"), "after").alias("dst"), kind.alias("relation_type"), (1 + F.col("event_id") % 4).cast("double").alias("weight"), F.col("event_id").alias("ordinal"))
+    return pairs.select(F.concat(F.lit("U"), "user_id").alias("src"), F.concat(F.lit("U"), "after").alias("dst"), kind.alias("relation_type"), (1 + F.col("event_id") % 4).cast("double").alias("weight"), F.col("event_id").alias("ordinal"))
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> KGraph:
     return KGraph(handoff_edges(spark, sf_dir))
 
 
-def handoff_all(spark: SparkSession, sf_dir: str) -> KGraph:
-    """As handoff, over all rows of events."""
-    return KGraph(_next_users(table(spark, sf_dir, "events")))
-
-
 HANDOFF_SQL = """
 raw AS (SELECT 'U' || user_id AS src, 'U' || lead(user_id) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS dst,
-  CASE WHEN event_id % 3 = 0 THEN 'calls' ELSE 'depends_on' END AS relation_type, CAST(1 + event_id % 4 AS DOUBLE) AS weight, event_id AS ordinal
-  FROM events WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-04'),
-e AS (SELECT src, dst, relation_type, weight, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ordinal DESC) AS k FROM raw WHERE dst IS NOT NULL) WHERE k = 1),
+  CASE WHEN event_id % 3 = 0 THEN 'calls' ELSE 'depends_on' END AS relation_type, CAST(1 + event_id % 4 AS DOUBLE) AS weight, event_id AS ordinal FROM events),
+e AS (SELECT src, dst, relation_type, weight, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY ordinal DESC) AS k FROM raw WHERE src IS NOT NULL AND dst IS NOT NULL) WHERE k = 1),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 """
 
-HANDOFF_ALL_SQL = HANDOFF_SQL.replace(" WHERE event_type = 'error' AND ts < TIMESTAMP '2024-01-04'", "")
+
+def halves(spark: SparkSession, sf_dir: str) -> KGraph:
+    """Order of half the key -> order: a tree over all orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey").where("o_orderkey > 0")
+    return KGraph(o.select(F.expr("'O' || o_orderkey div 2").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst"), F.lit("requires").alias("relation_type")))
+
+
+HALVES_SQL = """
+e AS (SELECT 'O' || o_orderkey // 2 AS src, 'O' || o_orderkey AS dst FROM orders WHERE o_orderkey > 0)
+"""
 
 
 def supply(spark: SparkSession, sf_dir: str) -> KGraph:
@@ -101,33 +96,15 @@ t AS (SELECT 'C' || c_custkey AS node, 'stakeholder' AS entity_type FROM custome
 """
 
 
-def similar(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
-    """Vectors of one label with a cosine of at least `least`, the lower id first."""
-    from ..functions.vector import dot, norm
-
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding", norm(F.col("embedding")).alias("size"))
-    a, b = v.toDF("a", "label", "x", "sx"), v.toDF("b", "label", "y", "sy")
-    near = a.join(b, "label").where("a < b").where(dot(F.col("x"), F.col("y")) / (F.col("sx") * F.col("sy")) >= least)
-    return KGraph(near.select(F.lpad(F.col("a").cast("string"), 8, "0").alias("src"), F.lpad(F.col("b").cast("string"), 8, "0").alias("dst"), F.lit("correlates_with").alias("relation_type")))
-
-
-SIMILAR_SQL = """
-e AS (SELECT lpad(CAST(a.vec_id AS VARCHAR), 8, '0') AS src, lpad(CAST(b.vec_id AS VARCHAR), 8, '0') AS dst FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4),
-n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
-"""
-
-SIMILAR_ALL_SQL = SIMILAR_SQL.replace("a.label = b.label AND ", "")
-
-#: Vectors in a block of similar_all.
+#: Vectors in a block of similar().
 BLOCK = 512
 
 
-def similar_all(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
-    """As similar, over all pairs whatever their labels.
+def similar(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
+    """Vectors with a cosine of at least `least`, the lower id first.
 
     Vectors are dealt into blocks by their id's hash. Each two blocks (and each with itself) meet in one task, where a matrix
-    product leaves the pairs near the threshold; these are judged by the same sum as in similar.
+    product leaves the pairs near the threshold; these are judged by their exact cosine.
     """
     import numpy as np
     import pyarrow as pa
@@ -160,6 +137,13 @@ def similar_all(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
     return KGraph(near.select(F.lpad(F.col("a").cast("string"), 8, "0").alias("src"), F.lpad(F.col("b").cast("string"), 8, "0").alias("dst"), F.lit("correlates_with").alias("relation_type")))
 
 
+SIMILAR_SQL = """
+e AS (SELECT lpad(CAST(a.vec_id AS VARCHAR), 8, '0') AS src, lpad(CAST(b.vec_id AS VARCHAR), 8, '0') AS dst FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.4),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+"""
+
+
 def order_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nodes of the data model; an order depends on the one of half its key."""
     o = table(spark, sf_dir, "orders")
