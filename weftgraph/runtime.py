@@ -64,16 +64,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        fs, at = _file(spark, path)
+        fs.delete(at, True)
+
+
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables stored inside are removed at the end: by then, what was made of them must have been written."""
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables stored inside are removed at the end: by then, what was made of them must have been written. Gives their paths, the
+    latest last; those taken off the list stay."""
     _open.append([])
     try:
-        yield
+        yield _open[-1]
     finally:
-        for path in _open.pop():
-            fs, at = _file(spark, path)
-            fs.delete(at, True)
+        remove(spark, _open.pop())
 
 
 @contextmanager
