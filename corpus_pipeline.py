@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import bpe, decontam, langid, linededup, simhash
 from weftgraph.llm._runtime import checkpointed, stored
+from weftgraph.runtime import remove, scratch
 
 #: run() has no SQL form: learned models, tokenisation and components are in it. It is tested against a brute-force version.
 ORACLE_SQL = None
@@ -26,10 +27,11 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go; lang is left as it was."""
+    """Documents without a language (no text, or no letter in it) go; a document that names none gets the one predicted."""
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.predict(_whole(docs), model, id_col="row")
-    return found.where(F.col("lang_pred") != langid.UND).select("doc_id.*")
+    found = langid.predict(_whole(docs), model, id_col="row").where(F.col("lang_pred") != langid.UND)
+    now = {"lang": F.coalesce(F.col("doc_id.lang"), F.col("lang_pred"))}
+    return found.select(*[now.get(c, F.col(f"doc_id.{c}")).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +82,11 @@ STAGES = [("language ID", language), ("line dedup", lines), ("SimHash near-dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, earlier = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:  # what a stage stores on its way goes, its rows stay until the next one's are written
+            docs = stored(stage(spark, docs, sf_dir))
+            rows = [made.pop()]
+        remove(spark, earlier)
+        earlier = rows
     return docs
