@@ -62,6 +62,16 @@ def test_against_brute_force(spark, small):
     assert all(r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() for r in found)
 
 
+def test_language_is_named_where_it_is_missing(spark, documents, tmp_path):
+    """The model's prediction fills a null lang, and given ones stay; rows without a letter go."""
+    en, de = "the thing that they were thinking of with this and the other", "der und die nicht sich einen auch werden dass für ich"
+    rows = [(i, en, "en") for i in range(20)] + [(20 + i, de, "de") for i in range(20)] + [(50, de, None), (51, en, None), (52, en, "de"), (53, "123", "en"), (54, None, "en")]
+    docs = documents(rows)
+    found = corpus_pipeline.language(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns
+    assert {r["doc_id"]: r["lang"] for r in found.collect() if r["doc_id"] >= 50} == {50: "de", 51: "en", 52: "de"}
+
+
 def test_near_duplicates_by_row(spark, documents, tmp_path):
     """Rows that share an id, or have none, go only because of their text."""
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
