@@ -32,29 +32,32 @@ def read_keyed_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return text.select(F.explode(entries).alias("key", "record")).select("key", "record.*")
 
 
-def keyed_json(df: DataFrame, key: Column) -> DataFrame:
-    """One row for each record: the line `"key": {...}` of such an object; null fields are left out."""
-    return df.select(F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(": "), F.to_json(F.struct("*"))).alias("value"))
+def keyed_json(df: DataFrame, key: Column, fields: list[str] | None = None, *more: str) -> DataFrame:
+    """One row for each record: the line `"key": {...}` of such an object, of all columns or of fields; null ones are left out.
+    Columns of more stand beside it."""
+    name = F.to_json(F.array(key))
+    return df.select(*more, F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(": "), F.to_json(F.struct(*(fields or ["*"])))).alias("value"))
 
 
 def write_keyed_json(df: DataFrame, key: Column, path: str) -> None:
     """One file that is a JSON object of records by key, in the order of the key. It is one file by its format, so one task streams
     it, record by record; it takes the place of an older one in one rename."""
     spark = df.sparkSession
-    lines = keyed_json(df.withColumn("__key", key).orderBy("__key").drop("__key"), key)
+    of = df.select(key.cast("string").alias("__key"), "*")
+    lines = keyed_json(of, F.col("__key"), df.columns, "__key").select(F.lit(1).alias("part"), F.col("__key").alias("key"), "value")
+    ends = spark.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, key string, value string")
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ["{"]})
+    def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         first = True
         for f in frames:
-            if len(f):
-                marks = ["" if first and i == 0 else ", " for i in range(len(f))]
-                first = False
-                yield pd.DataFrame({"value": [m + v for m, v in zip(marks, f["value"], strict=True)]})
-        yield pd.DataFrame({"value": ["}"]})
+            out = []
+            for part, value in zip(f["part"], f["value"], strict=True):
+                out.append(value if part != 1 or first else f", {value}")
+                first = first and part != 1
+            yield pd.DataFrame({"value": out})
 
     to = f"{path}.{uuid.uuid4().hex}"
-    lines.coalesce(1).mapInPandas(whole, "value string").write.text(to)
+    lines.unionByName(ends).orderBy("part", "key").coalesce(1).mapInPandas(joined, "value string").write.text(to)
     fs = _file_context(spark, to)
     part = next(s.getPath() for s in _files(spark, to) if s.getPath().getName().startswith("part-"))
     _replace(spark, fs, part, path)
