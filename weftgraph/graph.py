@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .cache import ResultCache
 from .errors import EdgeNotFoundError, NodeNotFoundError
+from .runtime import stored
 
 _OWN = ("src", "dst", "relation_type", "weight", "ordinal")
 
@@ -84,6 +85,11 @@ class KGraph:
         found = endpoints(self._edges)
         return found if self._kept is None else found.union(self._kept).distinct()
 
+    def held(self) -> KGraph:
+        """Write the edges once for several operators over the same graph; a lost executor costs a re-read only."""
+        self._edges = stored(self._edges)
+        return self
+
     def persist(self) -> KGraph:
         """Keep the edges in memory for several operators over the same graph."""
         self._edges = self._edges.persist()

@@ -43,7 +43,7 @@ def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> KGraph:
-    return KGraph(handoff_edges(spark, sf_dir))
+    return KGraph(handoff_edges(spark, sf_dir)).held()
 
 
 HANDOFF_SQL = """
