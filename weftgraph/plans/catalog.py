@@ -585,7 +585,7 @@ def status_and_tags(spark, sf_dir):
     return nodes.select("name", "metadata.status", "metadata.last_modified", F.array_join("metadata.tags", "|").alias("tags"))
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT src, dst, CASE WHEN weight = 4 THEN 0.25 ELSE 1.0 END AS confidence, CASE WHEN relation_type = 'calls' THEN 'verified' ELSE 'unverified' END AS validation_status FROM e")
+@query(f"WITH {HANDOFF_SQL} SELECT src, dst, CASE WHEN weight = 4 THEN CAST(0.25 AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END AS confidence, CASE WHEN relation_type = 'calls' THEN 'verified' ELSE 'unverified' END AS validation_status FROM e")
 def edge_confidence_and_status(spark, sf_dir):
     from ..schema import with_edge_defaults
 
