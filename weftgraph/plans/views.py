@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
-from ..streaming.events import numbered
+from ..runtime import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +32,19 @@ n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
 
 
 def handoff_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User -> next user of the same day; a pair may recur. Events are numbered by ranges and meet the one with the next number,
-    so a day may fill any number of tasks."""
+    """User -> next user of the same day; a pair may recur. Events are dealt by ranges of time and looked at range by range; the
+    last of a day in its range is followed by the first of that day in the next one, so a day may fill any number of tasks."""
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.to_date("ts").alias("day"))
-    row = numbered(events, ["day"], ["ts", "event_id"])
-    after = row.select(F.col("day").alias("same"), (F.col("n") - 1).alias("before"), F.col("user_id").alias("after"))
-    pairs = row.join(after, (F.col("day") == F.col("same")) & (F.col("n") == F.col("before")))
+    ranged = events.repartitionByRange("day", "ts", "event_id").sortWithinPartitions("day", "ts", "event_id")
+    held = stored(ranged.select("*", F.spark_partition_id().alias("range")))
+    stream = Window.partitionBy("range", "day").orderBy("ts", "event_id")
+    rows = held.select("event_id", "user_id", "range", "day", F.lead("user_id").over(stream).alias("within"), F.lead("range").over(stream).isNull().alias("last"))
+    firsts = held.groupBy("day", "range").agg(F.min_by("user_id", F.struct("ts", "event_id")).alias("user"))  # a row for each range and day in it
+    firsts = firsts.select(F.col("day").alias("same"), F.col("range").alias("in"), F.lead("user").over(Window.partitionBy("day").orderBy("range")).alias("beyond"))
+    pairs = rows.join(firsts, (F.col("range") == F.col("in")) & F.col("day").eqNullSafe(F.col("same")))
+    after = F.when(F.col("last"), F.col("beyond")).otherwise(F.col("within"))
     kind = F.when(F.col("event_id") % 3 == 0, "calls").otherwise("depends_on")
-    return pairs.select(F.concat(F.lit("U"), "user_id").alias("src"), F.concat(F.lit("U"), "after").alias("dst"), kind.alias("relation_type"), (1 + F.col("event_id") % 4).cast("double").alias("weight"), F.col("event_id").alias("ordinal"))
+    return pairs.select(F.concat(F.lit("U"), "user_id").alias("src"), F.concat(F.lit("U"), after).alias("dst"), kind.alias("relation_type"), (1 + F.col("event_id") % 4).cast("double").alias("weight"), F.col("event_id").alias("ordinal"))
 
 
 def handoff(spark: SparkSession, sf_dir: str) -> KGraph:
