@@ -26,6 +26,8 @@ from ._runtime import blocks, pick
 
 #: Hashes in a fingerprint, 8 hexadecimal digits each.
 SIZE = 128
+#: Range bounds of the dealing are off by at most 1 / ACCURACY of a range; what a task counts ids with grows with it.
+ACCURACY = 10
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
 
@@ -134,7 +136,7 @@ def edit_probe(docs: DataFrame, divisor: int = 4, size: int = SIZE, id_col: str
     docs = pick(docs, id_col, text_col)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, 100 * parts).alias("b")).first()["b"] or [])) if cuts else []
+    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, ACCURACY * parts).alias("b")).first()["b"] or [])) if cuts else []
     placed = docs.withColumn("part", _place(F.col("doc_id"), bounds))
     firsts = sorted(placed.groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # a row for each range
     follow = [(here, after) for (here, _), (_, after) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
