@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GraphOperationError, PathValidationError
 from ..graph import KGraph
-from ..runtime import checkpointed, counted, dealt_by
+from ..runtime import checkpointed, counted, dealt_by, one_row
 from .traversal import require
 
 MAX_LENGTH, MAX_PATHS = 50, 1000
@@ -62,7 +62,7 @@ def _weighted(graph: KGraph, weight: Column | None) -> DataFrame:
 def distances(edges: DataFrame, source: str, target: str | None = None) -> DataFrame:
     """node, distance by relaxation over the nodes that improved last, one job a round; with a target, until none nearer than it
     is left."""
-    known = front = edges.sparkSession.createDataFrame([(source, 0.0, True)], "node string, distance double, moved boolean")
+    known = front = one_row(edges.sparkSession, node=source, distance=0.0, moved=True)
     of_target = F.min(F.when(F.col("node") == target, F.col("distance")) if target is not None else F.lit(None).cast("double")).alias("limit")
     limit = None
     with dealt_by(edges.select(F.col("src").alias("node"), "dst", "weight"), "node") as steps:
@@ -82,7 +82,7 @@ def chain(before: DataFrame, target: str) -> list[str]:
     """The nodes from the one without a predecessor to target, by before (node, before: one row each). Jumps double, so the jobs
     grow with the logarithm of the path's length; the driver sees the path alone."""
     jumps = [checkpointed(before.select("node", F.col("before").alias("to")))]
-    found = before.sparkSession.createDataFrame([(target, 0)], "node string, back int")
+    found = one_row(before.sparkSession, node=target, back=0)
     while True:
         last = jumps[-1]
         hop = last.select(F.col("node").alias("to"), F.col("to").alias("end"))
@@ -126,7 +126,7 @@ def _live_edges(graph: KGraph, source: str, target: str, max_length: int | None,
 
     edges = _weighted(graph, weight)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    seed = lambda n: graph.spark.createDataFrame([(n,)], "node string")
+    seed = lambda n: one_row(graph.spark, node=n)
     ahead = expand(edges, seed(source), max_length).select(F.col("node").alias("src"), F.col("depth").alias("a"))
     behind = expand(back, seed(target), max_length).select(F.col("node").alias("dst"), F.col("depth").alias("b"))
     live = edges.join(ahead, "src").join(behind, "dst").where((F.col("src") != target) & (F.col("dst") != source))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
+from ..runtime import one_row
 from ..schema import value_of
 from .traversal import Predicate, as_predicate, bfs
 
@@ -29,7 +30,7 @@ def neighborhood(graph: KGraph, center: str, radius: int = 1, nodes_where: Predi
 
     The walk itself ignores nodes_where. Radius 0, and a center that fails nodes_where, give the center and no edges.
     """
-    one = graph.spark.createDataFrame([(center,)], "node string")
+    one = one_row(graph.spark, node=center)
     p = as_predicate(nodes_where)
     if radius == 0 or (p is not None and one.where(p).isEmpty()):
         return one, graph.edges().where("false")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NodeNotFoundError
 from ..graph import KGraph
-from ..runtime import checkpointed, counted, dealt_by
+from ..runtime import checkpointed, counted, dealt_by, one_row
 
 BFS, ITERATIVE_DFS, RECURSIVE_DFS = "bfs", "iterative_dfs", "recursive_dfs"
 Predicate = Column | Callable[[Column], Column] | None
@@ -62,7 +62,7 @@ def bfs(graph: KGraph, start: str, max_depth: int | None = None, emit: Predicate
     emit hides nodes but is walked through (nothing at all if start fails it); prune also stops the walk.
     """
     require(graph, start)
-    start_row = graph.spark.createDataFrame([(start,)], "node string")
+    start_row = one_row(graph.spark, node=start)
     for p in (as_predicate(emit), as_predicate(prune)):
         if p is not None and start_row.where(p).isEmpty():
             return start_row.select("node", F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else [])).where("false")
@@ -79,7 +79,7 @@ def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicat
     require(graph, start)
     schema = "visit_order long, node string, depth int"
     p = as_predicate(prune)
-    one = graph.spark.createDataFrame([(start,)], "node string")
+    one = one_row(graph.spark, node=start)
     if p is not None and one.where(p).isEmpty():
         return graph.spark.createDataFrame([], schema)
     inside = checkpointed(expand(graph.edges(), one, max_depth, p).select("node"))

@@ -43,6 +43,11 @@ def counted(df: DataFrame, *aggregates: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def one_row(spark: SparkSession, **values) -> DataFrame:
+    """A row of constants, which no Python worker has to make."""
+    return spark.range(0, 1, 1, 1).select(*[F.lit(value).alias(name) for name, value in values.items()])
+
+
 #: Paths of tables to remove at the end of each open scratch(), the innermost last.
 _open: list[list[str]] = []
 
