@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, langid, linededup, quality, secretscan, simhash, spandedup, urlrules
+from . import bpe, decontam, fingerprints, langid, linededup, periodic, quality, secretscan, simhash, spandedup, urlrules
 from ._runtime import hex64
 
 # URL rules (host, path, verdict) of the contract.
@@ -83,8 +84,25 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's edit: a tenth of the documents go round in a loop of p words from word a on."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.digests(table(spark, sf_dir, "documents"), edit=_looped)
+    top = [F.col(f"longest.{c}").alias(c) for c in ("start", "length", "period")]
+    return found.select("doc_id", "n_runs", *top, F.expr("1000 * longest.length div longest.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id, op13_periodic_runs)}
 
 
 _OP2_SQL = r"""
