@@ -93,8 +93,9 @@ def _smallest(rows: np.ndarray) -> np.ndarray:
     return rows[first]
 
 
-def _crossing(ids: np.ndarray, low: int, mid: int, high: int, least: int) -> np.ndarray:
-    """Rows (start, end, period) of the runs inside [low, high) that hold the words on both sides of mid."""
+def _crossing(ids: np.ndarray, low: int, mid: int, high: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (start, end, period) of what repeats inside [low, high) and holds the words on both sides of mid, and which of them no
+    word beyond the segment extends: those are runs."""
     a, b = ids[low:mid], ids[mid:high]
     na, nb, gap = len(a), len(b), np.array([-1], np.int32)
     ahead = z_function(np.concatenate([b, gap, a, b]), nb + 1 + na)
@@ -111,16 +112,15 @@ def _crossing(ids: np.ndarray, low: int, mid: int, high: int, least: int) -> np.
     start, end, p = (np.concatenate(c) for c in zip(*found, strict=True))
     keep = (end - start >= np.maximum(least, 2 * p)) & (start < mid) & (end > mid)
     start, end, p = start[keep], end[keep], p[keep]
-    if not len(p):
-        return np.empty((0, 3), np.int64)
-    n = len(ids)
+    rows = _smallest(np.stack([start, end, p], axis=1))
+    (start, end, p), n = rows.T, len(ids)
     longer = (start == low) & (start > 0) & (ids[np.maximum(start - 1, 0)] == ids[np.maximum(start - 1, 0) + p])
     longer |= (end == high) & (end < n) & (ids[np.minimum(end, n - 1)] == ids[np.minimum(end, n - 1) - p])
-    return _smallest(np.stack([start, end, p], axis=1)[~longer])
+    return rows, ~longer
 
 
 def _inside(ids: np.ndarray, earlier: np.ndarray, low: int, high: int, least: int, cover: int) -> list[np.ndarray]:
-    """Rows (start, end, period) of the runs inside [low, high). cover: the period of a known run that holds all of it, or 0."""
+    """Rows (start, end, period) of the runs inside [low, high). cover: the least period of a stretch that holds all of it, or 0."""
     if high - low < least or earlier[low : high - GRAM + 1].max() < low:
         return []
     if 0 < 6 * cover < high - low:
@@ -136,8 +136,8 @@ def _inside(ids: np.ndarray, earlier: np.ndarray, low: int, high: int, least: in
             found.append(again)
         return found
     mid = (low + high) // 2
-    rows = _crossing(ids, low, mid, high, least)
-    found = [rows]
+    rows, whole = _crossing(ids, low, mid, high, least)
+    found = [rows[whole]]
     for a, b in ((low, mid), (mid, high)):
         over = rows[(rows[:, 0] <= a) & (rows[:, 1] >= b), 2]
         found += _inside(ids, earlier, a, b, least, int(over.min()) if len(over) else cover)

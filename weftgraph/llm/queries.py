@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, langid, linededup, periodic, quality, secretscan, simhash, spandedup, urlrules
+from . import bpe, decontam, fingerprints, langid, linededup, periodic, quality, secretscan, simhash, spandedup, urlrules, whitening
 from ._runtime import hex64
 
 # URL rules (host, path, verdict) of the contract.
@@ -84,6 +84,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.apply(rows, whitening.fit(rows)).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's edit: a tenth of the documents go round in a loop of p words from word a on."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -102,7 +107,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id, op11_whitening, op13_periodic_runs)}
 
 
 _OP2_SQL = r"""
