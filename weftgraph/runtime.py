@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -57,15 +57,21 @@ def _file(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like checkpointed(), as compressed columns; removed at the end of the scratch() around it, or else with the session."""
-    spark = df.sparkSession
+def written(spark: SparkSession, write: Callable[[str], None]) -> str:
+    """A path in the shared folder, after write(path); removed at the end of the scratch() around it, or else with the session."""
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(path)
     fs, at = _file(spark, path)
     fs.deleteOnExit(at)
     if _open:
         _open[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like checkpointed(), as compressed columns, at a written() path."""
+    spark = df.sparkSession
+    path = written(spark, df.write.parquet)
     return spark.read.schema(df.schema).parquet(path)
 
 
