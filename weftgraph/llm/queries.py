@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, fingerprints, langid, linededup, periodic, quality, secretscan, simhash, spandedup, urlrules, whitening
+from . import bpe, decontam, fingerprints, langid, linededup, periodic, quality, secretscan, simhash, spandedup, urlrules, warc, whitening
+from ..runtime import written
 from ._runtime import hex64
 
 # URL rules (host, path, verdict) of the contract.
@@ -89,6 +90,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.apply(rows, whitening.fit(rows)).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = written(spark, lambda path: warc.write(pages, path))
+    return warc.read(spark, path, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def _looped(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's edit: a tenth of the documents go round in a loop of p words from word a on."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -107,7 +114,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id, op11_whitening, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_lz_fingerprint, op2_decontamination, op3_quality, op4_line_dedup, op5_span_dedup, op6_bpe, op7_secret_scan, op8_url_rules, op9_simhash, op10_language_id, op11_whitening, op12_warc, op13_periodic_runs)}
 
 
 _OP2_SQL = r"""
@@ -161,5 +168,19 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM par
 """
 
 
+_OP12_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (
+  SELECT payload, min(page_id) AS first FROM payloads GROUP BY payload
+)
+SELECT page_id, strlen(payload) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * k + 1, 5) AS INTEGER) >> b) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM payloads JOIN firsts USING (payload)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op8_url_rules": _OP8_SQL}
+    return {"op2_decontamination": _OP2_SQL, "op4_line_dedup": _OP4_SQL, "op8_url_rules": _OP8_SQL, "op12_warc": _OP12_SQL}
