@@ -41,6 +41,25 @@ def test_long_documents_and_a_frequent_line(spark, documents):
         assert got(documents(rows), share=share) == plain(rows)
 
 
+@pytest.mark.parametrize("parts", [6_000, 100_000])
+def test_many_partitions(spark, documents, parts):
+    rows = [(i, f"a line that many have\nown line number {i}\n" + "lines of every third\n" * (i % 3 == 0)) for i in range(1, 1500)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = documents(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert got(df) == plain(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_million_lines_that_all_go(spark, documents):
+    text = "\n".join(f"line number {i}" for i in range(1_000_000))
+    rows = [(1, text), (2, text + "\nand its own end"), (3, "line number 999999\nstays here")]
+    kept = linededup.apply_bitmaps(documents(rows), linededup.keep_bitmaps(documents(rows)))
+    assert {r["doc_id"]: (r["n_dropped"], r["kept_text"][:99]) for r in kept.select("doc_id", "n_dropped", "kept_text").collect()} == {1: (0, text[:99]), 2: (1_000_000, "and its own end"), 3: (1, "stays here")}
+
+
 def test_white_space_and_letters(spark, documents):
     rows = [(1, "ABCDEFGHIJ"), (2, "\x0babcdefghij\x0c"), (3, "\x85abcdefghij"), (4, "ÀBCDEFGHIJK"), (5, "àbcdefghijk"), (6, "Àbcdefghijk"), (7, "short"), (8, "short")]
     assert got(documents(rows)) == plain(rows)

@@ -23,33 +23,21 @@ def plain_sentences(text):
     return [*out, *([text[begin:]] if begin < len(text) else [])]
 
 
-def plain_spans(counts, words=25, fewest=2, most=5):
-    """Every run, by trying all: the shortest from each sentence on and up to each one."""
-    full = [i for i, c in enumerate(counts) if c]
-    ok = lambda a, b: b - a >= fewest and (b - a == most or sum(counts[full[k]] for k in range(a, b)) >= words or False)
-    found, n = set(), len(full)
-    for a in range(n):
-        if ends := [b for b in range(a + fewest, min(n, a + most) + 1) if ok(a, b)]:
-            found.add((full[a], full[ends[0] - 1] + 1))
-        if starts := [b for b in range(a + 1 - fewest, max(-1, a - most), -1) if b >= 0 and ok(b, a + 1)]:
-            found.add((full[starts[0]], full[a] + 1))
-    return sorted(found)
-
-
-def plain(rows):
-    """doc_id, text -> numbers of the removed sentences, by comparing all spans of all documents."""
+def plain(rows, size=2):
+    """doc_id, text -> numbers of the removed sentences, by comparing all runs of size sentences of all documents."""
     held, of = {}, []
     for i, text in rows:
         parts = plain_sentences(text or "")
         norm = [" ".join(p.lower().split()) for p in parts]
-        runs = [(a, b, " ".join(x for x in norm[a:b] if x)) for a, b in plain_spans([len(x.split()) for x in norm])]
+        full = [k for k, x in enumerate(norm) if x]
+        runs = [(full[k : k + size], " ".join(norm[j] for j in full[k : k + size])) for k in range(len(full) - size + 1)]
         of.append((i, text, parts, runs))
-        for *_, key in runs:
-            place = (i is None, i or 0, spandedup_row(text))
+        for which, key in runs:
+            place = (i is None, i or 0, spandedup_row(text), which[0])
             held[key] = min(held.get(key, place), place)
     out = []
     for i, text, parts, runs in of:
-        gone = {k for a, b, key in runs if held[key] != (i is None, i or 0, spandedup_row(text)) for k in range(a, b)}
+        gone = {k for which, key in runs if held[key] != (i is None, i or 0, spandedup_row(text), which[0]) for k in range(which[0], which[-1] + 1)}
         out.append((i, len(parts), sorted(gone), "".join(p for k, p in enumerate(parts) if k not in gone)))
     return out
 
@@ -63,7 +51,7 @@ def spandedup_row(text):
 
 def check(df, rows, **options):
     found = [(x["doc_id"], x["n_sentences"], sorted(k for s in x["removed"] for k in range(s["start"], s["stop"])), x["kept_text"]) for x in spandedup.dedup(df, **options).collect()]
-    assert sorted(found, key=repr) == sorted(plain(rows), key=repr)
+    assert sorted(found, key=repr) == sorted(plain(rows, options.get("size", 2)), key=repr)
 
 
 @pytest.mark.parametrize("share", [0.001, 0.9])
@@ -81,11 +69,15 @@ def test_passage_that_repeats(spark, documents, share):
 
 
 def test_short_sentences_and_one_long_one(spark, documents):
-    """Five short sentences are a run without 25 words; one sentence alone, however long, is none."""
-    short, long = "He came. She saw. They went. It rained. All slept. ", " ".join(f"word{i}" for i in range(60)) + ". "
-    rows = [(1, short), (2, "Something else first. " + short), (3, long), (4, "Another start here. " + long), (5, "He came. She saw. They went.")]
+    """Two short sentences are a span; one sentence alone, however long, is none."""
+    short, long = "He came. She saw. They went. ", " ".join(f"word{i}" for i in range(60)) + ". "
+    rows = [(1, short), (2, "Something else first. " + short), (3, long), (4, "Another start here. " + long), (5, "He came. They went. She saw. He came.")]
     found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(documents(rows)).collect()}
-    assert found == {1: short, 2: "Something else first. ", 3: long, 4: "Another start here. " + long, 5: "He came. She saw. They went."}
+    assert found == {1: short, 2: "Something else first. ", 3: long, 4: "Another start here. " + long, 5: rows[4][1]}
+    rows = [(1, "One two three four five. Six seven eight nine ten. Alpha beta gamma delta epsilon. Own end."), (2, "Own begin. One two three four five. Six seven eight nine ten. Alpha beta gamma delta epsilon. More.")]
+    for size in (2, 3):
+        found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(documents(rows), size=size).collect()}
+        assert found == {1: rows[0][1], 2: "Own begin. More."}
 
 
 def test_copies_in_any_case(spark, documents):
@@ -96,11 +88,26 @@ def test_copies_in_any_case(spark, documents):
     assert found == {1: text.upper(), 2: "Other words before. ", 3: "", 4: "word0 word1 word2."}
 
 
-def test_repeats_within_a_document_stay_in_the_first(spark, documents):
-    s = "One two three four five six seven eight nine ten eleven twelve thirteen. "
-    rows = [(1, s * 6), (2, "Own words. " + s * 3)]
+def test_repeats_within_a_document_go_too(spark, documents):
+    a, b, c = "First sentence here. ", "Second one follows. ", "Third of them. "
+    rows = [(1, a + b + c + a + b), (2, "Own words. " + b + c), (3, a * 3)]
     found = {x["doc_id"]: x for x in spandedup.dedup(documents(rows)).collect()}
-    assert found[1]["n_sentences"] == 6 and found[1]["kept_text"] == s * 6 and found[2]["kept_text"] == "Own words. "
+    assert [found[i]["kept_text"] for i in (1, 2, 3)] == [a + b + c, "Own words. ", a]
+    check(documents(rows), rows)
+
+
+@pytest.mark.parametrize("parts", [6_000, 100_000])
+def test_many_partitions(spark, documents, parts):
+    """Far more ranges than rows: the same result."""
+    rows = [(i, "A line that many have. And one after it. " + f"Own {i}. Own {i} again.") for i in range(1, 1200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    docs = documents(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == {i: t if i == 1 else f"Own {i}. Own {i} again." for i, t in rows}
 
 
 @pytest.mark.parametrize("share", [0.001, 0.9])
@@ -109,14 +116,9 @@ def test_odd_rows(spark, documents, odd, share):
     assert spandedup.dedup(documents([])).collect() == []
 
 
-def test_spans_are_the_shortest_both_ways():
-    assert spandedup.spans([10, 10, 10, 3, 40]) == [(0, 3), (0, 4), (1, 5), (2, 5), (3, 5)]
-    assert spandedup.spans([30]) == [] and spandedup.spans([30, 0, 1]) == [(0, 3)]
-    assert spandedup.spans([5, 5]) == [] and spandedup.spans([]) == [] and spandedup.spans([1, 1, 1, 0, 1, 1]) == [(0, 6)]
-    r = random.Random(1)
-    for _ in range(300):
-        counts = [r.choice([0, 1, 2, 5, 9, 14, 30]) for _ in range(r.randint(0, 14))]
-        assert spandedup.spans(counts) == plain_spans(counts), counts
+def test_spans_are_all_runs():
+    assert spandedup.spans([3, 0, 4, 1]) == [(0, 3), (2, 4)] and spandedup.spans([3, 0, 4, 1], 3) == [(0, 4)]
+    assert spandedup.spans([30]) == spandedup.spans([]) == spandedup.spans([0, 0, 5]) == []
 
 
 @pytest.mark.parametrize("share", [0.001, 0.02])
@@ -127,6 +129,7 @@ def test_groups_against_brute_force(spark, documents, share):
     rows = [(r.choice([i, i, None]), " ".join(r.choice(pool) for _ in range(20))) for i in range(25)]
     rows += [(40 + i, rows[3][1]) for i in range(15)] + [(70, rows[5][1] + "\n" + rows[6][1])] * 2
     check(documents(rows), rows, share=share)
+    check(documents(rows), rows, share=share, size=3)
 
 
 def test_a_text_of_several_megabytes(spark, documents):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import checkpointed, counted, stored
 
-__all__ = ["Rows", "blocks", "checkpointed", "counted", "hex64", "pick", "range_share", "release", "ship", "stored"]
+__all__ = ["Rows", "blocks", "checkpointed", "counted", "frequent", "hex64", "pick", "release", "ship", "stored"]
 
 #: Bytes of text that one step in a Python worker holds as objects at once.
 BLOCK_BYTES = 4 << 20
@@ -68,9 +68,27 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
     release()
 
 
-def range_share(spark: SparkSession) -> float:
-    """The share of all rows that one key may have in a range exchange: half of what a range holds, and at most a thousandth."""
-    return min(0.001, 0.5 / max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+#: Rows that a key may always have in one range, and how many rows of a key that has as many as allowed are looked at on average.
+_ROWS_OF_A_KEY, _SEEN = 1_000, 64
+
+
+def frequent(rows: DataFrame, key: str, share: float | None = None) -> list[int]:
+    """The values of key that would fill half a range of an exchange, and some that fill a quarter: for those that do, another way
+    keeps tasks even.
+
+    rows is a written table. Half a range is 0.5 / spark.sql.shuffle.partitions of all rows (a thousandth at most, 1,000 rows at
+    least), or share of them. Keys are counted in a sample in which such a key has 64 rows on average, as a range exchange samples
+    its bounds; the values returned are at most 4 for each partition. Which values are found decides how even the tasks are, not
+    what they return.
+    """
+    n = rows.count()
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    allowed = max(2.0, n * share) if share else max(float(_ROWS_OF_A_KEY), n * min(0.001, 0.5 / parts))
+    every = max(1.0, allowed / _SEEN)
+    seen = rows.select(key)
+    seen = seen.sample(1 / every, seed=11) if every > 1 else seen
+    counts = seen.groupBy(key).count().where(F.col("count") >= max(2.0, allowed / every / 2))
+    return [r[0] for r in counts.select(key).collect()]
 
 
 class Rows:

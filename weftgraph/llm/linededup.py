@@ -5,9 +5,9 @@ A-Z lower-cased. Keys of at least `min_chars` code points that several documents
 doc_id that holds them (there all of them, repeats included); shorter keys always keep theirs.
 
 Rows of (128-bit key hash, doc_id, position) are dealt by ranges of the hash and sorted by document and position within;
-a window streams over each key and marks what comes after its first document. A key that would fill a good part of a range (by
-default half of one, by the number of ranges) is found beforehand by frequent-item counting (at most `1 / share` hashes) and its
-first document comes from a partial aggregate, sent to the rows as a table of that bounded size.
+a window streams over each key and marks what comes after its first document. Keys that would fill half a range are found beforehand
+in a sample of the rows, at most four for each range; their first documents come from a partial aggregate, sent to the rows as a
+table of that bounded size. It makes no difference to the result which keys are found.
 
 Rows without doc_id come after all others: they lose lines that any row with a doc_id holds, and keep those that only they
 hold. Rows that repeat a doc_id count as one document. An empty table gives an empty one, and texts of any length are taken
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import pick, range_share, stored
+from ._runtime import frequent, pick, stored
 
 #: What counts as white space at a line's ends, and a key's least length in code points.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,7 +39,8 @@ def _lines(text: Column) -> Column:
 
 def line_rows(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (hash of the text, to tell rows of one doc_id apart), pos, h1, h2 of every line long enough."""
-    lines = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    texts = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")  # hashed once, not for each line
+    lines = texts.select("doc_id", "row", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     keys = lines.select("doc_id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
     return keys.select("doc_id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -49,7 +50,7 @@ def dropped_lines(rows: DataFrame, share: float | None = None) -> DataFrame:
 
     share: keys with more than this share of all rows do not go through the range exchange.
     """
-    hot = rows.freqItems(["h1"], share or range_share(rows.sparkSession)).first()[0] or []  # at most 1 / share values
+    hot = frequent(rows, "h1", share)
     late = lambda first: first.isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > first))
     if hot:
         often = rows.where(F.col("h1").isin(hot))
@@ -64,15 +65,17 @@ def dropped_lines(rows: DataFrame, share: float | None = None) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, keep: for each document that loses lines, the 64-line words of its bitmap in which a bit is 0.
+    """doc_id, row, keep: for each document that loses lines, its bitmap as words of 64 lines up to the last that loses one.
 
-    keep maps a word's number to its bits, bit i % 64 of word i div 64 for line i; words that are not there keep all. A
-    document's map is at most an entry for every 64 of its lines. The table is written, so that its size is known when texts
-    meet it: Spark sends a small one to them, and shuffles both sides of a large one.
+    Bit i % 64 of word i div 64 is 0 if line i goes; lines beyond the last word stay. The table is written, so that its size is
+    known when texts meet it: Spark sends a small one to them, and shuffles both sides of a large one.
     """
     gone = dropped_lines(stored(line_rows(docs, min_chars, id_col, text_col)), share)
     words = gone.groupBy("doc_id", "row", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("gone"))
-    return stored(words.groupBy("doc_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", F.bitwise_not("gone")))).alias("keep")))
+    lists = words.groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("gone").alias("bits")))).alias("words"))
+    before = lambda i: F.coalesce(F.get("words", i - 1)["word"], F.lit(-1).cast("bigint"))
+    filled = F.transform("words", lambda w, i: F.concat(F.array_repeat(F.lit(-1).cast("bigint"), (w["word"] - before(i) - 1).cast("int")), F.array(w["bits"])))
+    return stored(lists.select("doc_id", "row", F.flatten(filled).alias("keep")))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -83,7 +86,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     b = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("keep").alias("__keep"))
     joined = docs.join(b, docs[id_col].eqNullSafe(b["__id"]) & (F.xxhash64(docs[text_col].cast("string")) == b["__row"]), "left")
     lines = _lines(docs[text_col].cast("string"))
-    word = lambda i: F.coalesce(F.try_element_at("__keep", F.floor(i / 64)), F.lit(-1).cast("bigint"))
+    word = lambda i: F.coalesce(F.get("__keep", F.floor(i / 64).cast("int")), F.lit(-1).cast("bigint"))
     bit = lambda i: F.getbit(word(i), i % 64) == 1
     kept = F.when(F.col("__keep").isNull(), lines).otherwise(F.filter(lines, lambda _, i: bit(i)))
     out = joined.withColumn("__lines", F.size(lines).cast("long")).withColumn("__kept", kept)

@@ -1,14 +1,13 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at a line break or at [.!?] before white space. A span is a run of several consecutive sentences: from each
-sentence on, and up to each sentence, the shortest run of `fewest` sentences or more that holds `min_words` words, or of `most`
-sentences if these hold fewer. So long sentences make short runs and short ones longer runs, and one sentence alone is never a
-span. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. The first document (by doc_id, then text
-hash) that holds a hash keeps its sentences, as often as it repeats them; in all others the sentences of the span go.
+A sentence ends at a line break or at [.!?] before white space. A span is a run of `size` consecutive sentences (2 by default), one
+from each sentence on; blank ones do not count. Every longer repeated run is made of such spans, so none is missed; one sentence alone
+is never a span. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. Its first occurrence, by doc_id, then
+text hash, then place in the text, stays; the sentences of all others go, also where a document repeats itself.
 
-Rows of spans are dealt by ranges of the hash and sorted within. Hashes that would fill a good part of a range are found by
-frequent-item counting (their number is at most 1 / share); their first documents come from a partial aggregate and go to the
-workers as a table of that bounded size, so such spans are neither moved nor joined.
+Rows of spans are dealt by ranges of the hash and sorted within. Hashes that would fill half a range are found in a sample of the rows,
+at most four for each range; their first occurrences come from a partial aggregate and go to the workers as a table of that bounded
+size, so such spans are neither moved nor joined.
 
 Null texts count as empty and have no sentences; texts with fewer sentences than a span needs have no spans; both stay as they
 are, as does an empty table. Texts of any length are taken whole. Rows without doc_id come last in the order. Rows that repeat
@@ -26,9 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import blocks, pick, range_share, stored
+from ._runtime import blocks, frequent, pick, stored
 
-MIN_WORDS, FEWEST, MOST = 25, 2, 5
+#: Sentences of a span.
+SIZE = 2
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -44,24 +44,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(counts: list[int], min_words: int = MIN_WORDS, fewest: int = FEWEST, most: int = MOST) -> list[tuple[int, int]]:
-    """The runs of sentences, as first and past-last number, by the words of each sentence; blank ones do not count."""
-    words = np.array(counts, dtype=np.int64)
-    full = np.flatnonzero(words)
-    n = len(full)
-    if n < fewest:
-        return []
-    total = np.concatenate([[0], np.cumsum(words[full])])
-    at = np.arange(n)
-    stop = np.maximum(at + fewest, np.minimum(np.searchsorted(total, total[:-1] + min_words), at + most))
-    start = np.minimum(at + 1 - fewest, np.maximum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at + 1 - most))
-    forth = np.stack([at, stop], axis=1)[stop <= n]
-    back = np.stack([start, at + 1], axis=1)[start >= 0]
-    both = np.unique(np.concatenate([forth, back]), axis=0)
-    return list(zip(full[both[:, 0]].tolist(), (full[both[:, 1] - 1] + 1).tolist(), strict=True))
-
-
-def span_rows(docs: DataFrame, min_words: int = MIN_WORDS, fewest: int = FEWEST, most: int = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def spans(counts: list[int], size: int = SIZE) -> list[tuple[int, int]]:
+    """The runs of size sentences, as first and past-last number, by the words of each sentence; blank ones do not count."""
+    full = [i for i, n in enumerate(counts) if n]
+    return [(full[i], full[i + size - 1] + 1) for i in range(len(full) - size + 1)]
+
+
+def span_rows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (hash of the text), own (hash of both), start, stop (sentence numbers), h1, h2 of every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +60,7 @@ def span_rows(docs: DataFrame, min_words: int = MIN_WORDS, fewest: int = FEWEST,
             rows, found, hashes = [], [], []
             for i, text in enumerate(block.column(3).to_pylist()):
                 norm = [" ".join(text[a:b].lower().split()) for a, b in sentences(text)] if text else []
-                of = spans([s.count(" ") + 1 if s else 0 for s in norm], min_words, fewest, most)
+                of = spans([s.count(" ") + 1 if s else 0 for s in norm], size)
                 rows += [i] * len(of)
                 found += of
                 hashes += [xxh3_128_digest(" ".join(filter(None, norm[a:b])).encode("utf-8", "surrogatepass")) for a, b in of]
@@ -99,7 +88,7 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _frequent_spans(rows: DataFrame, hot: list[int], place) -> DataFrame:
     """As repeated_spans() for the spans whose h1 is in hot; the runs of a document that lie together are merged here."""
     often = rows.where(F.col("h1").isin(hot))
-    firsts = {(r["h1"], r["h2"]): r["own"] for r in often.groupBy("h1", "h2").agg(F.min_by("own", place).alias("own")).collect()}  # a row for each of hot
+    firsts = {(r["h1"], r["h2"]): (r["own"], r["start"]) for r in often.groupBy("h1", "h2").agg(F.min_by(F.struct("own", "start"), place).alias("f")).select("h1", "h2", "f.*").collect()}  # a row for each of hot
     sent = rows.sparkSession.sparkContext.broadcast(firsts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +98,7 @@ def _frequent_spans(rows: DataFrame, hot: list[int], place) -> DataFrame:
             at, found = [], []
             spot = None
             for i, (o, a, b) in enumerate(zip(own, h1, h2, strict=True)):
-                if firsts[a, b] == o:
+                if firsts[a, b] == (o, start[i]):
                     continue
                 if spot != o:  # the spans of a document lie together
                     spot = o
@@ -125,25 +114,25 @@ def _frequent_spans(rows: DataFrame, hot: list[int], place) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, share: float | None = None) -> DataFrame:
-    """doc_id, row, start, stop of the spans in rows (computed once) that an earlier document holds.
+    """doc_id, row, start, stop of the spans in rows (computed once) that occur earlier.
 
     share: hashes with more than this share of all rows do not go through the range exchange.
     """
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    hot = rows.freqItems(["h1"], share or range_share(rows.sparkSession)).first()[0] or []  # at most 1 / share values
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "start")
+    hot = frequent(rows, "h1", share)
     rare = rows.where(~F.col("h1").isin(hot)) if hot else rows
-    order = [F.asc_nulls_last("doc_id"), F.asc("row")]
+    order = [F.asc_nulls_last("doc_id"), F.asc("row"), F.asc("start")]
     ranged = rare.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", *order)
     stream = Window.partitionBy("h1", "h2").orderBy(*order)
     found = ranged.withColumn("first", F.first(place).over(stream)).where(place > F.col("first")).select("doc_id", "row", "start", "stop")
     return found.unionByName(_frequent_spans(rows, hot, place)) if hot else found
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, fewest: int = FEWEST, most: int = MOST, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, removed (merged runs of removed sentences), kept_text of every document."""
     docs = pick(docs, id_col, text_col)
-    gone = repeated_spans(stored(span_rows(docs, min_words, fewest, most)), share)
-    of = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # at most two for each sentence
+    gone = repeated_spans(stored(span_rows(docs, size)), share)
+    of = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # at most one for each sentence
     of = stored(of.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "spans"))  # of known size: few such documents are sent to the texts, many meet them in a shuffle
     joined = docs.join(of, docs["doc_id"].eqNullSafe(of["id"]) & (F.xxhash64(docs["text"]) == of["of"]), "left").select("doc_id", "text", "spans")
 
