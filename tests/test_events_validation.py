@@ -160,6 +160,104 @@ def test_stream(spark, bus, tmp_path):
     assert bus.store.read("events").count() == 6
 
 
+def test_a_repeated_stream_batch_is_stored_and_handed_out_once(spark, bus, tmp_path):
+    """As after a crash between a batch's work and its mark in the checkpoint."""
+    got = []
+    bus.subscribe("node_created", lambda df: got.append(sorted(json.loads(r["data"])["v"] for r in df.collect())))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(json.dumps({"event_type": "node_created", "data": json.dumps({"v": i}), "timestamp": "2024-01-01T00:00:00"}) for i in range(5)))
+    run = lambda: bus.stream(str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    for f in (tmp_path / "cp" / "commits").glob("*0*"):
+        f.unlink()
+    run()
+    assert bus.store.read("events").count() == 5 and got == [list(range(5))]
+    books = bus.store.read("event_batches").collect()
+    assert [b["event_count"] for b in books] == [5] and bus.store.read("event_links").count() == 5
+    # died after the commit, before the delivery: the handlers get it
+    for f in (tmp_path / "cp" / "commits").glob("*0*"):
+        f.unlink()
+    committed = bus.store.committed
+    bus.store.committed = lambda name, n: committed(name, n) and not name.endswith("/delivered")
+    run()
+    assert bus.store.read("events").count() == 5 and got == [list(range(5))] * 2
+
+
+def test_ids_of_two_publishers(spark, bus):
+    other = EventBus(spark, GraphStore(spark, bus.store.path))
+    for k in range(3):
+        bus.publish(some(spark, *[("node_created", {"v": v}, v) for v in range(4)]), deliver=False)
+        other.publish(some(spark, *[("node_created", {"v": v}, v) for v in range(4)]), deliver=False)
+    assert bus.events().count() == bus.events().select("id").distinct().count() == 24
+
+
+def test_count_or_timeout_batches_of_a_stream(spark, tmp_path):
+    """250 events go out as 100 and 100, then 50 when their time is over, in state that a restart finds again."""
+    import time
+
+    got = []
+    (tmp_path / "in").mkdir()
+
+    def put(name, kinds):
+        rows = [{"event_type": k, "data": json.dumps({"v": i}), "timestamp": "2024-01-01T00:00:00"} for i, k in enumerate(kinds)]
+        (tmp_path / f".{name}").write_text("\n".join(map(json.dumps, rows)))
+        (tmp_path / f".{name}").rename(tmp_path / "in" / f"{name}.json")
+
+    def start(seconds):
+        bus = EventBus(spark, GraphStore(spark, str(tmp_path / "events")), batch_seconds=seconds)
+        bus.handlers.clear()
+        bus.subscribe("node_created", lambda df: got.extend(sorted((r["batch_no"], r["count"]) for r in df.groupBy("batch_no").count().collect())))
+        return bus, bus.batch_stream(str(tmp_path / "in"), str(tmp_path / "cp"), seconds=0.2)
+
+    def wait(query, n):  # for the books, which are the end of a delivery
+        end = time.time() + 150
+        while bus.store.read("event_batches").count() < n and time.time() < end and query.isActive:
+            time.sleep(0.3)
+        assert query.exception() is None
+
+    put("a", ["node_created"] * 250)
+    bus, query = start(20)
+    wait(query, 2)
+    assert got == [("0.0", 100), ("0.1", 100)] and bus.store.read("events").count() == 200
+    query.stop()
+    bus, query = start(20)  # the 50 wait on
+    wait(query, 3)
+    assert got[2:] == [("0.2", 50)]
+    put("b", ["node_created"] * 30 + ["edge_created"])
+    wait(query, 5)
+    query.stop()
+    assert got[3:] == [("0.3", 30)] and bus.events().where("processed").count() == 281
+    assert sorted(b["event_count"] for b in bus.store.read("event_batches").collect()) == [1, 30, 50, 100, 100]
+
+
+def test_follow_replays_and_goes_on(spark, bus, tmp_path):
+    """Events published during the replay reach the handler once; so does what comes after a restart."""
+    got = []
+    values = lambda df: sorted(json.loads(r["data"])["v"] for r in df.collect())
+
+    def handler(df):
+        if not got:
+            bus.publish(some(spark, ("node_created", {"v": 3}, 3)), deliver=False)
+        got.append(values(df))
+
+    bus.publish(some(spark, ("node_created", {"v": 1}, 1), ("edge_created", {"v": 9}, 1)), deliver=False)
+    bus.publish(some(spark, ("node_created", {"v": 2}, 2)), deliver=False)
+    run = lambda: bus.follow("node_created", handler, str(tmp_path / "cp"), once=True).awaitTermination()
+    run()
+    run()
+    assert sum(got, []) == [1, 2, 3]
+    bus.publish(some(spark, ("node_created", {"v": 4}, 4)), deliver=False)
+    run()
+    assert sum(got, []) == [1, 2, 3, 4]
+    new = []
+    follow = lambda: bus.follow(None, lambda df: new.append(values(df)), str(tmp_path / "new"), replay=False, once=True).awaitTermination()
+    follow()
+    assert new == []
+    bus.publish(some(spark, ("node_created", {"v": 5}, 5), ("edge_created", {"v": 6}, 5)), deliver=False)
+    follow()
+    assert new == [[5, 6]]
+
+
 def test_batches_and_windows(spark):
     e = spark.createDataFrame([(i, "click" if i % 3 else "view", datetime(2024, 1, 1, 0, 0, i)) for i in range(30)], "id long, event_type string, timestamp timestamp_ntz")
     sizes = {(r["event_type"], r["batch_no"]): r["count"] for r in ev.batched(e, 8).groupBy("event_type", "batch_no").count().collect()}

@@ -1,17 +1,18 @@
 import json
 import time
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import cli
 from weftgraph.cache import ResultCache
-from weftgraph.errors import DuplicateResourceError, EdgeNotFoundError, NodeNotFoundError, StorageError, ValidationError
+from weftgraph.errors import ConflictError, DuplicateResourceError, EdgeNotFoundError, NodeNotFoundError, StorageError, ValidationError
 from weftgraph.functions import scalar
 from weftgraph.repository import EdgeRepository, NodeRepository
 from weftgraph.schema import EDGE_DDL, NODE_DDL, with_edge_defaults, with_node_defaults
-from weftgraph.sources.store import GraphStore, edge_json, from_json_rows, keyed_json, node_json, read_keyed_json, rows_from_json, write_keyed_json
+from weftgraph.sources.store import TABLES, Change, GraphStore, edge_json, from_json_rows, keyed_json, node_json, read_keyed_json, rows_from_json, write_keyed_json
 
 
 def nodes_of(spark, *rows):
@@ -94,20 +95,95 @@ def test_backup_and_restore(spark, store, tmp_path):
 
 
 def test_a_commit_that_breaks_off_keeps_the_old_table(spark, store, monkeypatch):
-    from weftgraph.sources import store as module
+    from weftgraph.sources.commits import CommitLog
 
     repo = NodeRepository(store)
     repo.create(nodes_of(spark, ("a", "dataset", [])))
-    monkeypatch.setattr(module, "_replace", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    monkeypatch.setattr(CommitLog, "add", lambda *a: (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError):
         store.write("nodes", store.read("nodes").where("false"))
     monkeypatch.undo()
     assert names(repo.list()) == ["a"] and names(NodeRepository(GraphStore(spark, store.path, store.format).initialize()).list()) == ["a"]
-    store._delete(f"{store.path}/nodes/CURRENT")
-    with pytest.raises(StorageError, match="no pointer"):
+    store._delete(f"{store.path}/log")
+    with pytest.raises(StorageError, match="no log"):
         store.initialize()
 
 
+def test_a_cascade_is_one_commit(spark, store, monkeypatch):
+    from weftgraph.sources.commits import CommitLog
+
+    nodes, edges = NodeRepository(store), EdgeRepository(store)
+    nodes.create(nodes_of(spark, *[(n, "dataset", []) for n in "abc"]))
+    edges.create(edges_of(spark, ("a", "calls", "b"), ("b", "calls", "c"), ("c", "calls", "a"), ("a", "calls", "a")))
+    monkeypatch.setattr(CommitLog, "add", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        nodes.delete(nodes_of(spark, ("a", "dataset", [])))
+    monkeypatch.undo()
+    assert names(nodes.list()) == ["a", "b", "c"] and edges.list().count() == 4
+    nodes.delete(nodes_of(spark, ("a", "dataset", [])))
+    assert names(nodes.list()) == ["b", "c"] and [(r["from_entity"], r["to_entity"]) for r in edges.list().collect()] == [("b", "c")]
+    nodes.create(nodes_of(spark, ("a", "metric", [])))  # a name may come back
+    assert nodes.get("a")["entity_type"] == "metric" and names(nodes.list()) == ["a", "b", "c"]
+    nodes.delete(nodes_of(spark, ("b", "dataset", [])), cascade=False)
+    assert edges.list().count() == 1
+
+
+def test_two_writers(spark, store):
+    """Of two changes made from one version, the second is refused; a repository then begins again; additions both hold."""
+    first, second = NodeRepository(store), NodeRepository(GraphStore(spark, store.path, store.format))
+    first.create(nodes_of(spark, ("a", "dataset", []), ("b", "dataset", [])))
+    began = store.version()
+    first.update(nodes_of(spark, ("a", "metric", [])))
+    with pytest.raises(ConflictError, match="nodes"):
+        second.store.write("nodes", second.rows.where("false"), began)
+    second.store.commit({"edges": Change(rows=with_edge_defaults(edges_of(spark, ("a", "calls", "b"))))}, began)  # another table
+    assert first.get("a")["entity_type"] == "metric" and store.read("edges").count() == 1
+
+    late, taken = second.store.commit, []
+
+    def commit(changes, began=None, stream=None):
+        if not taken:
+            taken.append(1)
+            first.update(nodes_of(spark, ("b", "metric", ["a"])))
+        return late(changes, began, stream)
+
+    second.store.commit = commit
+    second.update(nodes_of(spark, ("a", "insight", [])))
+    assert {r["name"]: r["entity_type"] for r in first.list().collect()} == {"a": "insight", "b": "metric"}
+    taken.clear()
+    second.store.commit = lambda *a, **k: (taken.append(1), first.update(nodes_of(spark, ("b", "metric", []))), late(*a, **k))
+    with pytest.raises(ConflictError):
+        second.update(nodes_of(spark, ("a", "dataset", [])))
+    assert len(taken) == 5 and first.get("a")["entity_type"] == "insight"
+
+
+def test_a_change_writes_what_it_changes(spark, store):
+    repo = NodeRepository(store)
+    row = lambda ids: ids.select(F.concat(F.lit("node"), "id").alias("name"), F.lit("dataset").alias("entity_type"), F.sha2(F.col("id").cast("string"), 512).alias("documentation"))
+    size = lambda: sum(f.stat().st_size for f in Path(store.path).rglob("part-*"))
+    repo.create(row(spark.range(0, 20_000, 1, 2)))
+    whole = size()
+    repo.update(row(spark.range(0, 200, 1, 1)).withColumn("entity_type", F.lit("metric")))
+    repo.delete(row(spark.range(1000, 1200, 1, 1)))
+    assert size() - whole < 0.05 * whole
+    counts = lambda: {r["entity_type"]: r["count"] for r in repo.list().groupBy("entity_type").count().collect()}
+    assert counts() == {"dataset": 19_600, "metric": 200}
+    store.compact("nodes")
+    assert counts() == {"dataset": 19_600, "metric": 200} and len(store.log.state().tables["nodes"]) == 1
+    store.cleanup()
+    assert counts() == {"dataset": 19_600, "metric": 200} and size() < 1.1 * whole
+
+
+def test_long_logs(spark, store):
+    """Beyond the entries that one snapshot covers."""
+    from weftgraph.sources.commits import SNAPSHOT_EVERY
+
+    for _ in range(SNAPSHOT_EVERY + 5):
+        store.claim_ids(2)
+    state = store.log.state()
+    assert state.next_id == 2 * (SNAPSHOT_EVERY + 5) and set(state.tables) == set(TABLES) and state.number == len(store.log.numbers()) - 1
+
+
 def test_keyed_json_file(spark, tmp_path):
     path = str(tmp_path / "nodes.json")
     for rows in ([("b", "dataset", ["x"]), ('q"u', "metric", [])], [("a", "dataset", None)], []):

@@ -26,6 +26,10 @@ class StorageError(EngineError):
     pass
 
 
+class ConflictError(StorageError):
+    """Another writer has changed what a commit was made from."""
+
+
 class CacheError(EngineError):
     pass
 

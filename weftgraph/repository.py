@@ -9,16 +9,18 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .cache import ResultCache
-from .errors import DuplicateResourceError, EdgeNotFoundError, NodeNotFoundError, ResourceNotFoundError, ValidationError
+from .errors import ConflictError, DuplicateResourceError, EdgeNotFoundError, NodeNotFoundError, ResourceNotFoundError, ValidationError
 from .graph import KGraph
 from .operators import paths, subgraphs
 from .operators.components import weak_components
 from .operators.traversal import expand
 from .schema import EDGE_KEY, NODE_KEY, with_edge_defaults, with_node_defaults
 from .search.filters import equal_fields
-from .sources.store import TableStore
+from .sources.store import Change, TableStore
 from .validation import edge_errors, node_errors
 
+#: How often a change is tried while other writers are faster.
+ATTEMPTS = 5
 Validator = Callable[[DataFrame], Column]
 
 
@@ -73,8 +75,16 @@ class Repository:
             raise ValidationError(f"{':'.join(str(bad[k]) for k in self.key)}: {'; '.join(bad['errors'])}")
         return df
 
-    def _commit(self, df: DataFrame) -> None:
-        self.store.write(self.table, df)
+    def _changed(self, make: Callable[[], dict[str, Change]]) -> None:
+        """Commit what make() finds to do; again from the start if another writer was faster."""
+        for attempt in range(ATTEMPTS):
+            began = self.store.version()
+            try:
+                self.store.commit(make(), began)
+                break
+            except ConflictError:
+                if attempt == ATTEMPTS - 1:
+                    raise
         if self.cache:
             self.cache.clear()
 
@@ -85,12 +95,14 @@ class Repository:
     def create(self, df: DataFrame) -> None:
         """All rows, or none if one is invalid, there already, or given twice."""
         df = self._touched(self._checked(df), created=True)
-        again = df.groupBy(*self.key).count().where("count > 1").select(*self.key)
-        if clash := df.select(*self.key).join(self.rows, self.key, "left_semi").unionByName(again).first():
-            raise DuplicateResourceError(f"{self.table[:-1]} already exists: {':'.join(map(str, clash))}")
-        self.store.append(self.table, df)
-        if self.cache:
-            self.cache.clear()
+
+        def make() -> dict[str, Change]:
+            again = df.groupBy(*self.key).count().where("count > 1").select(*self.key)
+            if clash := df.select(*self.key).join(self.rows, self.key, "left_semi").unionByName(again).first():
+                raise DuplicateResourceError(f"{self.table[:-1]} already exists: {':'.join(map(str, clash))}")
+            return {self.table: Change(rows=df)}
+
+        self._changed(make)
 
     def get(self, *key: str) -> Row:
         name = f"{type(self).__name__}:{key!r}"
@@ -119,18 +131,33 @@ class Repository:
             self.create(new)
         return self.rows.join(self.defaults(df).select(*self.key), self.key, "left_semi")
 
+    def _all_there(self, keys: DataFrame) -> None:
+        if gone := keys.join(self.rows, self.key, "left_anti").first():
+            raise self.missing(f"{self.table[:-1].capitalize()} not found: {':'.join(map(str, gone))}")
+
     def update(self, df: DataFrame) -> None:
-        """Replace the rows of the same keys, which must be there."""
+        """Replace the rows of the same keys, which must be there; other rows are not written."""
         df = self._touched(self._checked(df), created=False)
-        if gone := df.select(*self.key).join(self.rows, self.key, "left_anti").first():
-            raise self.missing(f"{self.table[:-1].capitalize()} not found: {':'.join(map(str, gone))}")
-        self._commit(self.rows.join(df.select(*self.key), self.key, "left_anti").unionByName(df))
+
+        def make() -> dict[str, Change]:
+            keys = df.select(*self.key)
+            self._all_there(keys)
+            return {self.table: Change(rows=df, gone=keys)}
+
+        self._changed(make)
 
     def delete(self, keys: DataFrame) -> None:
+        self._delete(keys)
+
+    def _delete(self, keys: DataFrame, more: Callable[[DataFrame], dict[str, Change]] | None = None) -> None:
+        """more: what else goes in the same commit."""
         keys = keys.select(*self.key).distinct()
-        if gone := keys.join(self.rows, self.key, "left_anti").first():
-            raise self.missing(f"{self.table[:-1].capitalize()} not found: {':'.join(map(str, gone))}")
-        self._commit(self.rows.join(keys, self.key, "left_anti"))
+
+        def make() -> dict[str, Change]:
+            self._all_there(keys)
+            return {self.table: Change(gone=keys), **(more(keys) if more else {})}
+
+        self._changed(make)
 
     def list(self, filters: dict[str, Any] | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
         rows = self.rows
@@ -153,13 +180,13 @@ class NodeRepository(Repository):
         return with_dependencies(self.rows, name, transitive)
 
     def delete(self, keys: DataFrame, cascade: bool = True) -> None:
-        """With cascade, edges of the nodes go too."""
-        super().delete(keys)
-        if cascade:
-            edges, names = self.store.read("edges"), keys.select("name").distinct()
-            for end in ("from_entity", "to_entity"):
-                edges = edges.join(names.withColumnRenamed("name", end), end, "left_anti")
-            self.store.write("edges", edges)
+        """With cascade, edges of the nodes go too, in the same commit."""
+        self._delete(keys, self._edges_of if cascade else None)
+
+    def _edges_of(self, keys: DataFrame) -> dict[str, Change]:
+        edges = self.store.read("edges")
+        ends = [edges.join(keys.select(F.col("name").alias(end)), end, "left_semi").select(*EDGE_KEY) for end in ("from_entity", "to_entity")]
+        return {"edges": Change(gone=ends[0].union(ends[1]).distinct())}
 
 
 class EdgeRepository(Repository):

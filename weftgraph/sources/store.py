@@ -1,8 +1,8 @@
-"""Tables of nodes, edges and events in a folder, as Parquet or JSON lines, with whole-table commits.
+"""Tables of nodes, edges and events in a folder, as Parquet or JSON lines, under one log of commits.
 
-A table is a folder of versions; a write makes a new version beside the current one and then puts a new pointer file in place of
-the old in one rename, so readers see the old or the new table, never a part and never none. All access goes through Spark's file
-systems.
+A commit adds a folder of rows to a table, or one of keys whose earlier rows go, and then an entry to the log: so a change writes what it
+changes and no more, readers see all of it or nothing, and of two writers that began from the same version one is told so. All
+access goes through Spark's file systems.
 """
 
 from __future__ import annotations
@@ -11,17 +11,22 @@ import json
 import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import StorageError
+from ..errors import ConflictError, StorageError
 from ..functions.scalar import backup_name, edge_id
-from ..schema import BATCH_DDL, DEAD_LETTER_DDL, EDGE_DDL, EVENT_DDL, EVENT_SCHEMA_DDL, LINK_DDL, NODE_DDL, struct_of
+from ..schema import BATCH_DDL, DEAD_LETTER_DDL, EDGE_DDL, EDGE_KEY, EVENT_DDL, EVENT_SCHEMA_DDL, LINK_DDL, NODE_DDL, NODE_KEY, struct_of
+from .commits import CommitLog, State
 
 TABLES = {"nodes": NODE_DDL, "edges": EDGE_DDL, "events": EVENT_DDL, "event_links": LINK_DDL, "dead_letter_queue": DEAD_LETTER_DDL, "event_batches": BATCH_DDL, "event_schemas": EVENT_SCHEMA_DDL}
+#: Keys of the tables whose rows are changed.
+KEYS = {"nodes": NODE_KEY, "edges": EDGE_KEY}
 FORMATS = ("parquet", "json")
 
 
@@ -97,6 +102,15 @@ def from_json_rows(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(F.from_json("value", ddl).alias("r")).select("r.*")
 
 
+@dataclass
+class Change:
+    """Of a table: rows to add, keys whose earlier rows go, or that all earlier rows go (full)."""
+
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+    full: bool = False
+
+
 class TableStore(ABC):
     """What a backend offers; GraphStore is the one for file systems."""
 
@@ -104,13 +118,20 @@ class TableStore(ABC):
     def read(self, table: str) -> DataFrame: ...
 
     @abstractmethod
-    def write(self, table: str, df: DataFrame) -> None: ...
+    def version(self) -> int: ...
+
+    @abstractmethod
+    def commit(self, changes: dict[str, Change], began: int | None = None) -> bool: ...
 
     @abstractmethod
     def exists(self, table: str) -> bool: ...
 
+    def write(self, table: str, df: DataFrame, began: int | None = None) -> None:
+        """Put df in place of the table's rows."""
+        self.commit({table: Change(rows=df, full=True)}, began)
+
     def append(self, table: str, df: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(df))
+        self.commit({table: Change(rows=df)})
 
 
 class GraphStore(TableStore):
@@ -118,6 +139,7 @@ class GraphStore(TableStore):
         if format not in FORMATS:
             raise StorageError(f"Unknown storage format: {format}")
         self.spark, self.path, self.format = spark, path.rstrip("/"), format
+        self.log = CommitLog(spark, self.path)
 
     # files
 
@@ -129,97 +151,127 @@ class GraphStore(TableStore):
         fs, p = self._fs(path)
         return fs.exists(p)
 
-    def _put_text(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def _text(self, path: str) -> str:
-        fs, p = self._fs(path)
-        stream = fs.open(p)
-        try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
-
     def _delete(self, path: str) -> None:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
-    def _current(self, table: str) -> str | None:
-        pointer = f"{self.path}/{table}/CURRENT"
-        return f"{self.path}/{table}/{self._text(pointer)}" if self._exists(pointer) else None
-
-    def _lost(self, table: str) -> bool:
-        """Whether a pointer is gone: versions that were written whole are there without one. A first write that broke off is not."""
-        whole = [s for s in _files(self.spark, f"{self.path}/{table}") if s.isDirectory() and self._exists(f"{s.getPath()}/_SUCCESS")]
-        return self._current(table) is None and len(whole) > 1
-
     # tables
 
     def initialize(self) -> GraphStore:
-        """Make the tables that are not there, empty."""
-        for table, ddl in TABLES.items():
-            if self._lost(table):
-                raise StorageError(f"{self.path}/{table} has versions but no pointer to the current one")
-            if not self.exists(table):
-                self.write(table, self.spark.createDataFrame([], struct_of(ddl)))
+        """Make the tables that are not there, empty, in one commit."""
+        state = self.log.state()
+        if state.number < 0 and any(_files(self.spark, f"{self.path}/{table}") for table in TABLES):
+            raise StorageError(f"{self.path} has tables but no log of commits")
+        if missing := [table for table in TABLES if table not in state.tables]:
+            self.commit({table: Change(full=True) for table in missing})
         return self
 
-    def cleanup(self) -> None:
-        """Remove versions that no pointer names."""
-        for table in TABLES:
-            if now := self._current(table):
-                fs, p = self._fs(f"{self.path}/{table}")
-                for status in fs.listStatus(p):
-                    name = status.getPath().getName()
-                    if status.isDirectory() and name != now.rsplit("/", 1)[1]:
-                        fs.delete(status.getPath(), True)
+    def version(self) -> int:
+        """The number of the last commit."""
+        return self.log.state().number
 
     def exists(self, table: str) -> bool:
-        return self._current(table) is not None
+        return table in self.log.state().tables
+
+    def folder(self, table: str, name: str) -> str:
+        return f"{self.path}/{table}/{name}"
 
     def read(self, table: str) -> DataFrame:
-        schema = struct_of(TABLES[table])
-        if (at := self._current(table)) is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).format(self.format).load(at)
-
-    def write(self, table: str, df: DataFrame) -> None:
-        schema = struct_of(TABLES[table])
-        version = f"v-{uuid.uuid4().hex}"
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.format(self.format).save(f"{self.path}/{table}/{version}")
-        pointer = f"{self.path}/{table}/CURRENT"
-        self._put_text(f"{pointer}.{version}", version)
-        _replace(self.spark, _file_context(self.spark, self.path), self._fs(f"{pointer}.{version}")[1], pointer)
+        """The rows as of now. Where commits took rows away, an anti join leaves them out; compact() ends that."""
+        return self._of(self.log.state(), table)
+
+    def _of(self, state: State, table: str) -> DataFrame:
+        schema, parts = struct_of(TABLES[table]), state.tables.get(table, [])
+        load = lambda schema, names: self.spark.read.schema(schema).format(self.format).load([self.folder(table, n) for n in names])
+        last_gone = max((p["n"] for p in parts if "gone" in p), default=-1)
+        after = [p["rows"] for p in parts if "rows" in p and p["n"] >= last_gone]
+        out = [load(schema, after)] if after else []
+        if before := [p for p in parts if "rows" in p and p["n"] < last_gone]:
+            key, at = KEYS[table], F.lit(0)
+            gone = [load(struct_of(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in key)), [p["gone"]]).select(*[F.col(k).alias(f"__{k}") for k in key], F.lit(p["n"]).alias("__gone")) for p in parts if "gone" in p]
+            rows = reduce(DataFrame.unionByName, [load(schema, [p["rows"]]).withColumn("__at", at + p["n"]) for p in before])
+            same = reduce(Column.__and__, [F.col(k) == F.col(f"__{k}") for k in key])
+            out.append(rows.join(reduce(DataFrame.unionByName, gone), same & (F.col("__gone") > F.col("__at")), "left_anti").drop("__at"))
+        return reduce(DataFrame.unionByName, out) if out else self.spark.createDataFrame([], schema)
+
+    def commit(self, changes: dict[str, Change], began: int | None = None, stream: tuple[str, int] | None = None) -> bool:
+        """Change tables, all or none.
+
+        began: the version that the changes were made from; if another commit has changed one of these tables since, nothing happens
+        but a ConflictError. Without it the changes hold whatever went before. stream: a stream and the number of its batch; if that
+        batch or a later one of the stream was committed before, nothing happens and the answer is False.
+        """
+        entry, made = {"tables": {}}, []
+        if stream:
+            entry["streams"] = {stream[0]: stream[1]}
+            if self.committed(*stream):
+                return False
+        for table, change in changes.items():
+            entry["tables"][table] = {"full": True} if change.full else {}
+            schema = struct_of(TABLES[table])
+            for what, df, names in (("rows", change.rows, schema.names), ("gone", change.gone, KEYS.get(table))):
+                if df is not None:
+                    name = f"{what}-{uuid.uuid4().hex}"
+                    made.append(self.folder(table, name))
+                    df.select(*[F.col(f.name).cast(f.dataType) for f in schema if f.name in names]).write.format(self.format).save(made[-1])
+                    entry["tables"][table][what] = name
+        try:
+            while True:
+                state = self.log.state()
+                if began is not None and state.number > began and (both := self.log.touched_since(began, state.number) & set(changes)):
+                    raise ConflictError(f"Changed by another writer: {', '.join(sorted(both))}")
+                if stream and state.streams.get(stream[0], -1) >= stream[1]:
+                    break
+                if self.log.add(state, entry):
+                    return True
+        except ConflictError:
+            for path in made:
+                self._delete(path)
+            raise
+        for path in made:
+            self._delete(path)
+        return False
+
+    def committed(self, name: str, batch: int) -> bool:
+        return self.log.state().streams.get(name, -1) >= batch
+
+    def claim_ids(self, count: int) -> int:
+        """The first of count event ids that no other writer gets."""
+        while True:
+            state = self.log.state()
+            if self.log.add(state, {"next_id": state.next_id + count}):
+                return state.next_id
+
+    def compact(self, table: str) -> None:
+        """Write the table anew, without what has gone. Tables that are only added to need none of it."""
+        state = self.log.state()
+        if any("gone" in p for p in state.tables.get(table, [])) or table in KEYS and len(state.tables.get(table, [])) > 1:
+            self.write(table, self._of(state, table), began=state.number)
 
-    def append(self, table: str, df: DataFrame) -> None:
-        """Add files to the current version; what is there is not rewritten."""
-        if (at := self._current(table)) is None:
-            self.write(table, df)
-            return
-        schema = struct_of(TABLES[table])
-        df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").format(self.format).save(at)
+    def cleanup(self) -> None:
+        """Remove folders that the current state does not name. No other writer may be at work, nor a reader of an earlier state."""
+        state = self.log.state()
+        for table in TABLES:
+            named = {p[k] for p in state.tables.get(table, []) for k in ("rows", "gone") if k in p}
+            for status in _files(self.spark, f"{self.path}/{table}"):
+                if status.getPath().getName() not in named:
+                    self._delete(status.getPath().toString())
 
     def backup(self, to: str | None = None) -> str:
-        """Copy all tables; by default to <path>_backup_<time>."""
+        """Copy all tables, as they are at one moment; by default to <path>_backup_<time>."""
         if to is None:
             to = self.spark.range(1).select(backup_name(self.path, F.current_timestamp())).first()[0]
-        other = GraphStore(self.spark, to, self.format)
-        for table in TABLES:
-            if self.exists(table):
-                other.write(table, self.read(table))
+        state = self.log.state()
+        GraphStore(self.spark, to, self.format).commit({table: Change(rows=self._of(state, table), full=True) for table in TABLES if table in state.tables})
         return to
 
     def restore(self, backup: str) -> None:
-        """Put a backup's tables in place of the current ones; the backup stays."""
+        """Put a backup's tables in place of the current ones, in one commit; the backup stays."""
         if not self._exists(backup):
             raise StorageError(f"Backup directory does not exist: {backup}")
         other = GraphStore(self.spark, backup, self.format)
-        for table in TABLES:
-            if other.exists(table):
-                self.write(table, other.read(table))
+        state = other.log.state()
+        self.commit({table: Change(rows=other._of(state, table), full=True) for table in TABLES if table in state.tables})
 
 
 def rows_from_json(text: str, load: Callable[[str], str] | None = None) -> list[dict[str, Any]]:
