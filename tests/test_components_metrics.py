@@ -116,3 +116,29 @@ def test_samples_are_repeatable_and_bounded(spark):
     assert (x.node_count, x.edge_count, x.clustering_coefficient, x.connected_components) == (36, 60, 0.0, 1) and x.diameter >= 10
     assert m.sample_size(2500) == 100 and m.sample_size(250_000) == 500 and m.sample_size(7) == 7
     assert m.path_metrics_sampled(graph(spark, [("A", "A")]), size=1).first()["confidence"] == 0.0
+
+
+def test_distances_of_many_sources_at_once(spark):
+    """Words of 64 sources against a row for each pair, on 150 nodes in several parts; the same for a sample."""
+    r = random.Random(2)
+    pairs = [(f"n{r.randrange(150)}", f"n{r.randrange(150)}") for _ in range(330)] + [(f"c{i}", f"c{i + 1}") for i in range(20)]
+    g = graph(spark, pairs).persist()
+    for sources in (None, m.sample_nodes(g, 70, 4)):
+        want = {}
+        for x in m.pair_distances(g, sources).collect():
+            want[x["depth"]] = want.get(x["depth"], 0) + 1
+        assert {x["depth"]: x["pairs"] for x in m.distance_counts(g, sources).collect()} == want
+    depths = [x["depth"] for x in m.pair_distances(g, m.sample_nodes(g, 70, 4)).collect()]
+    x = m.path_metrics_sampled(g, size=70, seed=4).first()
+    mean = sum(depths) / len(depths)
+    error = (sum((d - mean) ** 2 for d in depths) / (len(depths) - 1) / len(depths)) ** 0.5
+    assert (x["average_path_length"], x["confidence"], x["observed_diameter"]) == pytest.approx((mean, 1 - 2 * error, max(depths)))
+
+
+def test_clustering_of_a_sample(spark):
+    r = random.Random(6)
+    g = graph(spark, [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(220)] + [("x", "n1"), ("y", "y")]).persist()
+    whole = {tuple(x) for x in c.clustering(g).collect()}
+    nodes = m.sample_nodes(g, 15, 1).union(spark.createDataFrame([("x",), ("y",)], "node string"))
+    names = {x["node"] for x in nodes.collect()}
+    assert {tuple(x) for x in c.clustering_of(g, nodes).collect()} == {x for x in whole if x[0] in names}

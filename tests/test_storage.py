@@ -194,6 +194,34 @@ def test_keyed_json_file(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["nodes.json"]
 
 
+NESTED = 'name string, note string, inner struct<a:int,list:array<struct<x:string>>>'
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_keyed_json_in_splits(spark, tmp_path, indent):
+    """Braces, brackets, quotes and backslashes within texts; on one line and on many; splits smaller than a record."""
+    notes = ["}", "{", '"', "\\", '\\"}', "]}[{", "a, b: c", "\n\t}", "é😀}", "", None, "x" * 3000 + "}{" * 50]
+    rows = {f'k"}}{i}': {"name": f"n{i}", "note": notes[i % len(notes)], "inner": {"a": i, "list": [{"x": notes[(i + 1) % len(notes)]}, {"x": "}"}] if i % 3 else []}} for i in range(400)}
+    (tmp_path / "k.json").write_text(json.dumps(rows, indent=indent, ensure_ascii=False))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        back = read_keyed_json(spark, str(tmp_path / "k.json"), NESTED)
+        assert spark.read.option("lineSep", "}").text(str(tmp_path / "k.json")).rdd.getNumPartitions() > 20
+        got = {r["key"]: r.asDict(True) for r in back.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {k: {"key": k, **v} for k, v in rows.items()} and back.count() == 400
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_keyed_json(back.drop("key").repartition(3), F.col("name"), str(tmp_path / "folder"), one_file=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [json.loads(f.read_text()) for f in (tmp_path / "folder").glob("part-*")]
+    assert len(parts) > 1 and {k for p in parts for k in p} == {f"n{i}" for i in range(400)}
+    assert sorted(r["name"] for r in read_keyed_json(spark, str(tmp_path / "folder"), NESTED).collect()) == sorted(f"n{i}" for i in range(400))
+
+
 def test_scratch_tables_go(spark):
     from weftgraph.runtime import scratch, stored
 

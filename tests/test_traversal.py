@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from weftgraph.errors import NodeNotFoundError
@@ -69,3 +71,39 @@ def test_facade_and_errors(graph):
 def test_several_seeds(spark, graph):
     found = t.expand(graph.edges(), spark.createDataFrame([("D",), ("E",)], "node string"))
     assert sorted((r["node"], r["depth"]) for r in found.collect()) == [("C", 1), ("D", 0), ("E", 0)]
+
+
+def plain_preorder(pairs, start, limit=None):
+    after, out = {}, []
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    stack, seen = [(start, 0)], set()
+    while stack:
+        node, depth = stack.pop()
+        if node not in seen:
+            seen.add(node)
+            out.append((node, depth))
+            if limit is None or depth < limit:
+                stack += [(n, depth + 1) for n in sorted(after.get(node, ()), reverse=True)]
+    return out
+
+
+@pytest.mark.parametrize("shape", ["wide", "deep", "any"])
+def test_preorder_of_trees_is_found_in_parallel(spark, shape, monkeypatch):
+    """By the tour, so that no walk is made; siblings may fill several ranges, and depths may be limited."""
+    r = random.Random(3)
+    parent = {"wide": lambda i: 0, "deep": lambda i: max(0, i - r.randint(1, 30)), "any": lambda i: r.randrange(i)}[shape]
+    pairs = [(f"n{parent(i)}", f"n{i}") for i in range(1, 300)] + [("n5", "n5"), ("n7", "n0"), ("other", "n3x")]
+    g = KGraph.from_pairs(spark, pairs)
+    monkeypatch.setattr(type(g.edges()), "mapInPandas", None)
+    for start, limit in (("n0", None), ("n0", 2), ("n4", 3)):
+        assert walk(t.dfs(g, start, limit)) == plain_preorder(pairs, start, limit)
+    prune = lambda n: ~n.endswith("7")
+    assert walk(t.dfs(g, "n0", prune=prune)) == plain_preorder([p for p in pairs if p[1][-1] != "7"], "n0")
+
+
+def test_preorder_of_random_graphs(spark):
+    r = random.Random(8)
+    for n in (12, 40):
+        pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(2 * n)] + [("n0", "n1")]
+        assert walk(t.dfs(KGraph.from_pairs(spark, pairs), "n0")) == plain_preorder(pairs, "n0")

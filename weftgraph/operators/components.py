@@ -112,3 +112,18 @@ def clustering(graph: KGraph) -> DataFrame:
     k = F.coalesce("k", F.lit(0))
     share = F.when(k < 2, 0.0).otherwise(F.coalesce("links", F.lit(0)) / (k * (k - 1)))
     return graph.nodes().join(degree, "node", "left").join(links, "node", "left").select("node", k.cast("long").alias("neighbors"), share.alias("coefficient"))
+
+
+def clustering_of(graph: KGraph, nodes: DataFrame) -> DataFrame:
+    """As clustering(), of nodes (column node) only: the edges read beside theirs are those of their neighbours."""
+    edges = graph.edges().where("src <> dst").select("src", "dst")
+    nodes = nodes.select("node").distinct()
+    out = edges.join(nodes.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("near"))
+    into = edges.join(nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("near"))
+    near = checkpointed(out.union(into).distinct())
+    beyond = edges.join(near.withColumnRenamed("near", "src"), "src").select("node", F.col("dst").alias("near"))
+    links = beyond.join(near, ["node", "near"]).groupBy("node").agg(F.count("*").alias("links"))
+    k = near.groupBy("node").agg(F.count("*").alias("k"))
+    n = F.coalesce("k", F.lit(0))
+    share = F.when(n < 2, 0.0).otherwise(F.coalesce("links", F.lit(0)) / (n * (n - 1)))
+    return nodes.join(k, "node", "left").join(links, "node", "left").select("node", n.cast("long").alias("neighbors"), share.alias("coefficient"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
-from .components import clustering, weak_components
-from .traversal import expand
+from ..runtime import checkpointed, counted, dealt_by
+from .components import clustering, clustering_of, weak_components
+from .traversal import FOLD, expand
 
 #: Up to these node counts the exact forms run; above, samples of at least MIN_SAMPLE or the root of the count.
 EXACT_PATHS_BELOW, EXACT_CLUSTERING_BELOW, MIN_SAMPLE = 1000, 5000, 100
@@ -65,7 +66,7 @@ def sample_size(n: int) -> int:
 def clustering_sampled(graph: KGraph, size: int | None = None, seed: int = 0) -> DataFrame:
     """mean, confidence (1 - 2 standard errors; 1 below two nodes), sample_size over a seeded sample."""
     size = sample_size(graph.node_count()) if size is None else size
-    found = clustering(graph).join(sample_nodes(graph, size, seed), "node", "left_semi")
+    found = clustering_of(graph, sample_nodes(graph, size, seed))
     n, error = F.count("*"), F.stddev_samp("coefficient") / F.sqrt(F.count("*"))
     return found.agg(F.coalesce(F.avg("coefficient"), F.lit(0.0)).alias("mean"), F.when(n < 2, 1.0).otherwise(1 - 2 * error).alias("confidence"), n.alias("sample_size"))
 
@@ -76,22 +77,54 @@ def pair_distances(graph: KGraph, sources: DataFrame | None = None) -> DataFrame
     return expand(graph.edges(), seeds, keys=("source",)).where("depth > 0").select("source", "node", "depth")
 
 
+def distance_counts(graph: KGraph, sources: DataFrame | None = None) -> DataFrame:
+    """depth, pairs: how many ordered pairs of different nodes have each distance, from sources (all nodes if None).
+
+    The search goes from 64 sources at once: a row holds a node and a word whose bits are the sources that have just reached it, so
+    a step is a join and a bitwise or, and there is a row for each 64 pairs instead of one for each.
+    """
+    numbered = checkpointed((graph.nodes() if sources is None else sources).select("node", F.monotonically_increasing_id().alias("id")))
+    seeds = numbered.groupBy(F.expr("id div 64").alias("word"), "node").agg(F.bit_or(F.expr("shiftleft(1L, cast(id % 64 as int))")).alias("bits"))
+    front, now = counted(seeds.select("word", "node", "bits", F.lit(0).alias("depth")))
+    seen, fronts, depth = front.drop("depth"), front, 0
+    with dealt_by(graph.edges().where("src <> dst").select(F.col("src").alias("node"), F.col("dst").alias("next")), "node") as steps:
+        while now["n"]:
+            depth += 1
+            reach = front.join(steps, "node").groupBy("word", F.col("next").alias("node")).agg(F.bit_or("bits").alias("bits"))
+            old = seen.groupBy("word", "node").agg(F.bit_or("bits").alias("old"))
+            fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+            new = reach.join(old, ["word", "node"], "left").select("word", "node", fresh.alias("bits")).where("bits <> 0")
+            front, now = counted(new.withColumn("depth", F.lit(depth)))
+            seen, fronts = seen.union(front.drop("depth")), fronts.union(front)
+            if depth % FOLD == 0:
+                seen, fronts = checkpointed(seen.groupBy("word", "node").agg(F.bit_or("bits").alias("bits"))), checkpointed(fronts)
+    return fronts.where("depth > 0").groupBy("depth").agg(F.sum(F.bit_count("bits")).alias("pairs"))
+
+
+def _of_counts(counts: DataFrame) -> tuple[Column, Column, Column]:
+    """Of the columns depth and pairs: the number of pairs, and mean and sample deviation of their distance."""
+    n, total, squares = F.coalesce(F.sum("pairs"), F.lit(0)), F.sum(F.col("depth") * F.col("pairs")), F.sum(F.col("depth") * F.col("depth") * F.col("pairs"))
+    deviation = F.when(n > 1, F.sqrt(F.greatest((squares - total * total / n) / (n - 1), F.lit(0.0))))
+    return n, F.when(n > 0, total / n).otherwise(0.0), deviation
+
+
 def path_metrics(graph: KGraph) -> DataFrame:
     """One row, exact: diameter (null if any ordered pair cannot be reached), average_path_length over those that can, sample_size, confidence."""
     n = graph.node_count()
     if n <= 1:
         return graph.spark.createDataFrame([(0 if n else None, 0.0, n, 1.0)], "diameter int, average_path_length double, sample_size long, confidence double")
-    whole = F.count("*") == n * (n - 1)
-    return pair_distances(graph).agg(F.when(whole, F.max("depth")).alias("diameter"), F.coalesce(F.avg("depth"), F.lit(0.0)).alias("average_path_length"), F.lit(n).cast("long").alias("sample_size"), F.lit(1.0).alias("confidence"))
+    counts = distance_counts(graph)
+    pairs, mean, _ = _of_counts(counts)
+    return counts.agg(F.when(pairs == n * (n - 1), F.max("depth")).alias("diameter"), mean.alias("average_path_length"), F.lit(n).cast("long").alias("sample_size"), F.lit(1.0).alias("confidence"))
 
 
 def path_metrics_sampled(graph: KGraph, size: int | None = None, seed: int = 0) -> DataFrame:
     """As path_metrics, from landmarks: diameter is the estimate int(1.5 x the largest depth seen), observed_diameter that depth."""
     size = sample_size(graph.node_count()) if size is None else size
-    n, error = F.count("*"), F.stddev_samp("depth") / F.sqrt(F.count("*"))
-    found = pair_distances(graph, sample_nodes(graph, size, seed))
-    confidence = F.when(n == 0, 0.0).when(n == 1, 1.0).otherwise(1 - 2 * error)
-    return found.agg(F.floor(F.max("depth") * 1.5).cast("int").alias("diameter"), F.coalesce(F.avg("depth"), F.lit(0.0)).alias("average_path_length"), F.lit(size).cast("long").alias("sample_size"), confidence.alias("confidence"), F.max("depth").alias("observed_diameter"))
+    counts = distance_counts(graph, sample_nodes(graph, size, seed))
+    n, mean, deviation = _of_counts(counts)
+    confidence = F.when(n == 0, 0.0).when(n == 1, 1.0).otherwise(1 - 2 * deviation / F.sqrt(n))
+    return counts.agg(F.floor(F.max("depth") * 1.5).cast("int").alias("diameter"), mean.alias("average_path_length"), F.lit(size).cast("long").alias("sample_size"), confidence.alias("confidence"), F.max("depth").alias("observed_diameter"))
 
 
 def calculate(graph: KGraph, exact_paths_below: int = EXACT_PATHS_BELOW, exact_clustering_below: int = EXACT_CLUSTERING_BELOW, seed: int = 0) -> GraphMetrics:

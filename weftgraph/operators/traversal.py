@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NodeNotFoundError
 from ..graph import KGraph
-from ..runtime import checkpointed, counted, dealt_by, one_row
+from ..runtime import checkpointed, counted, dealt_by, one_row, stored
 
 BFS, ITERATIVE_DFS, RECURSIVE_DFS = "bfs", "iterative_dfs", "recursive_dfs"
 Predicate = Column | Callable[[Column], Column] | None
@@ -73,8 +73,8 @@ def bfs(graph: KGraph, start: str, max_depth: int | None = None, emit: Predicate
 def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicate = None) -> DataFrame:
     """visit_order, node, depth in preorder with neighbours in ascending order; nodes that fail prune are not entered.
 
-    The order depends on everything visited before, so the walk itself is one task. It gets only the edges among nodes that
-    can be reached at all, already filtered and found in parallel.
+    What can be reached is found in parallel. If its edges are a tree, so is the order, by tree_preorder(). Otherwise it depends on
+    everything visited before, and the walk is one task over the edges among those nodes, already filtered.
     """
     require(graph, start)
     schema = "visit_order long, node string, depth int"
@@ -82,9 +82,13 @@ def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicat
     one = one_row(graph.spark, node=start)
     if p is not None and one.where(p).isEmpty():
         return graph.spark.createDataFrame([], schema)
-    inside = checkpointed(expand(graph.edges(), one, max_depth, p).select("node"))
+    inside = checkpointed(expand(graph.edges(), one, max_depth, p).select("node", "depth"))
     edges = graph.edges().select("src", "dst").join(inside.select(F.col("node").alias("src")), "src", "left_semi").join(inside.select(F.col("node").alias("dst")), "dst", "left_semi")
 
+    edges = checkpointed(edges.where((F.col("src") != F.col("dst")) & (F.col("dst") != start)))  # the others lead to what is visited already
+    if edges.count() == inside.count() - 1:
+        return tree_preorder(edges, start).join(inside, "node").select("visit_order", "node", "depth")
+
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         after: dict[str, list[str]] = {}
         for f in frames:
@@ -105,6 +109,45 @@ def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicat
     return edges.coalesce(1).mapInPandas(walk, schema)
 
 
+def next_in_group(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with next: the next greater value of order in the same group, or null. Rows are dealt by ranges of both and looked at range
+    by range, so a group may fill any number of tasks."""
+    ranged = rows.repartitionByRange(group, order).sortWithinPartitions(group, order)
+    held = stored(ranged.select("*", F.spark_partition_id().alias("range")))
+    within = held.withColumn("within", F.lead(order).over(Window.partitionBy("range", group).orderBy(order)))
+    firsts = held.groupBy(group, "range").agg(F.min(order).alias("first"))  # a row for each range and group in it
+    beyond = firsts.select(group, "range", F.lead("first").over(Window.partitionBy(group).orderBy("range")).alias("beyond"))
+    return within.join(beyond, [group, "range"]).select(*rows.columns, F.coalesce("within", "beyond").alias("next"))
+
+
+def tree_preorder(edges: DataFrame, root: str) -> DataFrame:
+    """visit_order, node of a tree of edges (src, dst) below root, neighbours in ascending order.
+
+    An Euler tour as a linked list: each node is entered (one step) and left (none); after entering come the first child or the
+    leaving, after leaving the next sibling or the leaving of the parent. How many are entered from a place on is found by doubled
+    jumps, as many as the logarithm of the tour's length, over all nodes at once.
+    """
+    children = next_in_group(edges.select("src", "dst"), "src", "dst")
+    first = edges.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("child"))
+    top = one_row(edges.sparkSession, node=root, parent=None, sibling=None).select("node", F.col("parent").cast("string"), F.col("sibling").cast("string"))
+    nodes = children.select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.col("next").alias("sibling")).unionByName(top).join(first, "node", "left")
+    at = lambda what, node: F.struct(F.lit(what).alias("what"), node.alias("node"))
+    enter, leave = 1, 0
+    entered = F.when(F.col("child").isNotNull(), at(enter, F.col("child"))).otherwise(at(leave, F.col("node")))
+    left = F.when(F.col("sibling").isNotNull(), at(enter, F.col("sibling"))).when(F.col("parent").isNotNull(), at(leave, F.col("parent")))
+    both = F.array(F.struct(at(enter, F.col("node")).alias("place"), entered.alias("to"), F.lit(1).cast("long").alias("steps")), F.struct(at(leave, F.col("node")).alias("place"), left.alias("to"), F.lit(0).cast("long").alias("steps")))
+    tour = checkpointed(nodes.select(F.explode(both).alias("t")).select("t.*"))
+    places = tour.count()
+    for _ in range(places.bit_length()):
+        ahead = tour.select(F.col("place").alias("to"), F.col("to").alias("beyond"), F.col("steps").alias("more"))
+        jumped = tour.join(ahead, "to", "left").select("place", F.col("beyond").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
+        tour, now = counted(jumped, F.count("to").alias("open"))
+        if not now["open"]:
+            break
+    entered = tour.where(F.col("place.what") == enter)
+    return entered.select((F.lit(places // 2) - F.col("steps")).cast("long").alias("visit_order"), F.col("place.node").alias("node"))
+
+
 def traverse(graph: KGraph, start: str, strategy: str = BFS, max_depth: int | None = None, where: Predicate = None) -> DataFrame:
     """By strategy: bfs hides what fails the condition, both kinds of dfs (which give the same rows) do not enter it."""
     if strategy == BFS:

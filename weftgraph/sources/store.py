@@ -16,11 +16,12 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ConflictError, StorageError
 from ..functions.scalar import backup_name, edge_id
+from ..runtime import one_row
 from ..schema import BATCH_DDL, DEAD_LETTER_DDL, EDGE_DDL, EDGE_KEY, EVENT_DDL, EVENT_SCHEMA_DDL, LINK_DDL, NODE_DDL, NODE_KEY, struct_of
 from .commits import CommitLog, State
 
@@ -30,11 +31,42 @@ KEYS = {"nodes": NODE_KEY, "edges": EDGE_KEY}
 FORMATS = ("parquet", "json")
 
 
+def _count(text: Column, sign: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+
+
 def read_keyed_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """key and the fields of ddl from a file that is one JSON object of records by key; none for a blank file."""
-    text = spark.read.text(path, wholetext=True)
-    entries = F.from_json("value", f"map<string,struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in struct_of(ddl))}>>")
-    return text.select(F.explode(entries).alias("key", "record")).select("key", "record.*")
+    """key and the fields of ddl from a file (or a folder of files) that is one JSON object of records by key; none for a blank file.
+    A key given twice gives two rows.
+
+    The file is read in splits, cut at each closing brace wherever it stands. Whether a piece begins within a string, and how deep, is
+    a running sum over the pieces of its split and the totals of the splits before (a row for each split); where the depth is back
+    at one, a record ends. Only the pieces of one record come together.
+    """
+    raw = spark.read.option("lineSep", "}").text(path)
+    pieces = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    before = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def running(pieces: DataFrame, amount: str, to: str) -> DataFrame:
+        """pieces with the sum of amount over all pieces of the file before each."""
+        own = pieces.withColumn(to, F.coalesce(F.sum(amount).over(before), F.lit(0)))
+        totals = pieces.groupBy("file", "block").agg(F.sum(amount).alias("all")).withColumn("start", F.coalesce(F.sum("all").over(splits), F.lit(0))).drop("all")
+        return own.join(totals, ["file", "block"]).withColumn(to, F.col(to) + F.col("start")).drop("start")
+
+    plain = F.regexp_replace("value", r"\\.", "")  # escaped quotes are no quotes
+    pieces = pieces.withColumn("quotes", _count(plain, '"'))
+    pieces = running(pieces, "quotes", "opened")
+    text = F.concat(F.when(F.col("opened") % 2 == 1, '"').otherwise(""), plain)
+    outside = F.regexp_replace(text, r'"[^"]*("|$)', "")
+    closes = F.when((F.col("opened") + F.col("quotes")) % 2 == 0, 1).otherwise(0)
+    pieces = running(pieces.withColumn("closes", closes).withColumn("step", _count(outside, "{") + _count(outside, "[") - _count(outside, "]") - F.col("closes")), "step", "depth")
+    pieces = pieces.withColumn("ends", ((F.col("closes") == 1) & (F.col("depth") + F.col("step") == 1)).cast("int"))
+    pieces = running(pieces, "ends", "record")
+    whole = pieces.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("block", "row", "value"))).alias("parts"), F.max("ends").alias("ends")).where("ends = 1")
+    member = F.regexp_replace(F.array_join(F.col("parts.value"), "}"), r"^\s*[{,]\s*", "")
+    entry = F.from_json(F.concat(F.lit("{"), member, F.lit("}}")), f"map<string,struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in struct_of(ddl))}>>")
+    return whole.select(F.explode(entry).alias("key", "record")).select("key", "record.*")
 
 
 def keyed_json(df: DataFrame, key: Column, fields: list[str] | None = None, *more: str) -> DataFrame:
@@ -44,25 +76,31 @@ def keyed_json(df: DataFrame, key: Column, fields: list[str] | None = None, *mor
     return df.select(*more, F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(": "), F.to_json(F.struct(*(fields or ["*"])))).alias("value"))
 
 
-def write_keyed_json(df: DataFrame, key: Column, path: str) -> None:
-    """One file that is a JSON object of records by key, in the order of the key. It is one file by its format, so one task streams
-    it, record by record; it takes the place of an older one in one rename."""
+def write_keyed_json(df: DataFrame, key: Column, path: str, one_file: bool = True) -> None:
+    """A JSON object of records by key, in the order of the key.
+
+    As one file it is the work of one task, which streams it record by record, and takes the place of an older file in one rename. With
+    one_file=False it is a new folder of such objects, by ranges of the key, written side by side and committed together.
+    """
     spark = df.sparkSession
     of = df.select(key.cast("string").alias("__key"), "*")
-    lines = keyed_json(of, F.col("__key"), df.columns, "__key").select(F.lit(1).alias("part"), F.col("__key").alias("key"), "value")
-    ends = spark.createDataFrame([(0, None, "{"), (2, None, "}")], "part int, key string, value string")
+    lines = keyed_json(of, F.col("__key"), df.columns, "__key").select(F.col("__key").alias("key"), "value")
 
     def joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = True
+        mark = "{"
         for f in frames:
-            out = []
-            for part, value in zip(f["part"], f["value"], strict=True):
-                out.append(value if part != 1 or first else f", {value}")
-                first = first and part != 1
-            yield pd.DataFrame({"value": out})
-
+            values = [v for v in f["value"] if v is not None]
+            if values:
+                yield pd.DataFrame({"value": [f"{mark}{values[0]}", *(f", {v}" for v in values[1:])]})
+                mark = ", "
+        yield pd.DataFrame({"value": ["{}" if mark == "{" else "}"]})
+
+    if not one_file:
+        lines.orderBy("key").mapInPandas(joined, "value string").write.text(path)
+        return
     to = f"{path}.{uuid.uuid4().hex}"
-    lines.unionByName(ends).orderBy("part", "key").coalesce(1).mapInPandas(joined, "value string").write.text(to)
+    ends = one_row(spark, key=None, value=None).select(*[F.col(c).cast("string").alias(c) for c in ("key", "value")])  # there is a row for the task even if there is no record
+    lines.unionByName(ends).orderBy(F.asc_nulls_last("key")).coalesce(1).mapInPandas(joined, "value string").write.text(to)
     fs = _file_context(spark, to)
     part = next(s.getPath() for s in _files(spark, to) if s.getPath().getName().startswith("part-"))
     _replace(spark, fs, part, path)
