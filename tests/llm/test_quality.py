@@ -96,3 +96,18 @@ def test_odd_rows(spark, documents, odd):
     weak, weights = quality.train(documents([]))
     assert quality.score(documents([]), weak, weights).collect() == []
     assert quality.score(documents([(1, "some words")]), weak, weights).first()["keep"]
+
+
+def test_a_rare_class_is_learnt(spark, documents):
+    """One bad text in 5,000: the scorer is fitted, and rejects it and few others."""
+    import random
+
+    r = random.Random(1)
+    words = "the of river house green walked over under light stone morning people while water carried bread against quiet".split()
+    rows = [(i, " ".join(r.choice(words) for _ in range(60)).capitalize() + ".") for i in range(4999)] + [(9999, "$$$ ### @@@ ||| %%% " * 40)]
+    docs = documents(rows)
+    weak, weights = quality.train(docs)
+    assert (weights != 0).sum() > 50
+    found = {x["doc_id"]: x for x in quality.score(docs, weak, weights).collect()}
+    assert not found[9999]["keep"] and found[9999]["score"] < 0.2
+    assert sum(not x["keep"] for i, x in found.items() if i != 9999) <= 5

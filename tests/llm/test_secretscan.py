@@ -116,3 +116,29 @@ def test_long_and_short_secrets(spark, documents):
     found = {x["doc_id"]: x for x in s.scan(documents(rows), s.train()).collect()}
     assert [found[i]["n_candidates"] for i in range(1, 6)] == [1, 1, 1, 1, 0]
     assert found[1]["redacted"] == 'token = "[SECRET]" end' and found[2]["redacted"] == 'password = "[SECRET]" end' and found[4]["redacted"] == "pwd=[SECRET] end"
+
+
+def test_many_assignments_take_linear_time():
+    import time
+
+    for text in ("password=hunter1x\n" * 280_000, "token=" * 800_000, 'api_key = "' + "a1B2c3D4" * 6 + '"\n' * 5 + "x" * 4_000_000):
+        began = time.process_time()
+        found = s.candidates(text)
+        assert time.process_time() - began < 60 and found
+        assert all(a < b for a, b in found) and all(y <= x for (_, y), (x, _) in zip(found, found[1:], strict=False))
+    assert len(s.candidates("password=hunter1x\n" * 1000)) == 1000
+
+
+def test_candidates_as_by_comparing_all():
+    import random
+
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(r.choice(["password", "token", "=", ": ", '"', "a1B2" * r.randint(1, 6), "plainword", " ", "\n", ".", "x" * r.randint(1, 20)]) for _ in range(r.randint(1, 30)))
+        found = [(m.start(), m.start() + len(v)) for m in s.CANDIDATE.finditer(text) if len(v := m.group().rstrip(".")) >= 16 and s._mixed(v)]
+        for m in s._ASSIGNS.finditer(text):
+            if s._NAME.search(text[max(0, m.start() - s.NEAR) : m.start()]) and (value := s._VALUE.match(text, m.end())):
+                a, v = m.end(), value.group().rstrip(".")
+                if len(v) >= 6 and not any(x < a + len(v) and a < y for x, y in found):
+                    found.append((a, a + len(v)))
+        assert s.candidates(text) == sorted(found), text

@@ -9,7 +9,9 @@ which is then applied to every text.
 A measure is a share of what was counted, drawn towards a value at which its labeller is silent by as much as EVIDENCE words (or
 as many letters) would draw it. So a labeller speaks when it has seen enough, by the same rule for a text of any length.
 
-The scorer is fitted on a sample bounded by `rows_most`, chosen by a hash of doc_id and text; votes and EM cover all texts.
+The scorer is fitted on a sample of about `rows_most` texts, chosen by a hash of doc_id and text: half of them from those whose label is
+good and half from the others, or all there are, so a class of any rarity is learnt from. Votes and EM cover all texts. If all labels
+are of one class there is nothing to learn, and the scorer is constant at the prior.
 A text that is null or holds no word is given no votes; its score is 0 and it is not kept. With no texts that have words the
 scorer is constant at the prior; an empty table gives an empty one. Rows are judged one by one, so ties and repeated rows change
 nothing. Texts of any length count whole. Other columns, whatever their names, are left behind.
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import Rows, blocks, pick
+from ._runtime import Rows, blocks, pick, stored
 
 DIMENSIONS = 1 << 14
 ROWS_MOST = 4_000
@@ -167,35 +169,45 @@ def _fit(x: Rows, y: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> np
 
 
 def _votes(docs: DataFrame) -> DataFrame:
+    """row, pattern of each text that has words, written once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            m = [measures(t) if t else None for t in block.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([None if x is None else "".join(map(str, votes(x))) for x in m], pa.string())], names=["pattern"])
+            m = [measures(t) if t else None for t in block.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([None if x is None else "".join(map(str, votes(x))) for x in m], pa.string())], names=["row", "pattern"])
 
-    return docs.select("text").mapInArrow(run, "pattern string")
+    return stored(docs.select("row", "text").mapInArrow(run, "row long, pattern string").where("pattern is not null"))
 
 
 def train(docs: DataFrame, rows_most: int = ROWS_MOST, id_col: str = "doc_id", text_col: str = "text") -> tuple[WeakModel, np.ndarray]:
     """The weak-label model of all docs, and the scorer's weights (the last is the bias)."""
-    docs = pick(docs, id_col, text_col)
-    counted = _votes(docs).where("pattern is not null").groupBy("pattern").count().collect()  # at most 3 ** LABELLERS rows
-    weak = WeakModel(sorted(([int(c) for c in r["pattern"]], r["count"]) for r in counted))
-    total = sum(r["count"] for r in counted)
+    docs = pick(docs, id_col, text_col).select("text", F.xxhash64("doc_id", "text").alias("row"))
+    voted = _votes(docs)
+    counted = voted.groupBy("pattern").count().collect()  # at most 3 ** LABELLERS rows
+    patterns = sorted(([int(c) for c in r["pattern"]], r["count"]) for r in counted)
+    weak = WeakModel(patterns)
     bias = np.zeros(DIMENSIONS + 1, np.float32)
     bias[-1] = np.log(weak.prior / max(1 - weak.prior, 1e-9))
-    if not total:
+    if not patterns:
         return weak, bias
-    place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64)) + 0.5
+    label = weak.posterior(np.array([p for p, _ in patterns]))
+    of = {"".join(map(str, p)): float(y) for (p, _), y in zip(patterns, label, strict=True)}
+    totals = [sum(n for (_, n), y in zip(patterns, label, strict=True) if (y >= 0.5) == good) for good in (False, True)]
+    labels = docs.sparkSession.createDataFrame(list(of.items()), "pattern string, label double")  # a row for each pattern
+    place = (F.xxhash64(F.lit(1), "row") / F.lit(2.0**64)) + 0.5
+    share = F.when(F.col("label") >= 0.5, rows_most / 2 / max(totals[1], 1)).otherwise(rows_most / 2 / max(totals[0], 1))
+    chosen = voted.join(F.broadcast(labels), "pattern").where(place < share).select("row", "label").dropDuplicates(["row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            out = [(weak.posterior(np.array([votes(m)]))[0], *features(t, m)) for t in block.column(1).to_pylist() if t and (m := measures(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([float(o[0]) for o in out], pa.float64()), pa.array([o[1].astype(np.int32) for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float32()))], names=["label", "at", "value"])
+            out = [features(t, measures(t)) for t in block.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([block.column(1), pa.array([o[0].astype(np.int32) for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.float32()))], names=["label", "at", "value"])
 
-    chosen = docs.where("text is not null").where(place < min(1.0, rows_most / total))
-    table = chosen.mapInArrow(run, "label double, at array<int>, value array<float>").orderBy(F.xxhash64("at", "value")).limit(rows_most).toArrow()
+    chosen = stored(chosen)  # of known size: about rows_most rows
+    texts = docs.join(F.broadcast(chosen), "row").dropDuplicates(["row"]).select("text", "label")
+    table = texts.mapInArrow(run, "label double, at array<int>, value array<float>").orderBy(F.xxhash64("at", "value")).limit(2 * rows_most).toArrow()
     y = np.array(table["label"].to_pylist(), dtype=np.float64)
-    return weak, _fit(Rows.of(table, DIMENSIONS), y) if len(y) and 0.001 < y.mean() < 0.999 else bias
+    return weak, _fit(Rows.of(table, DIMENSIONS), y) if len(y) and y.min() < 0.5 <= y.max() else bias
 
 
 def score(docs: DataFrame, weak: WeakModel, weights: np.ndarray, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

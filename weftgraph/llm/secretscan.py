@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -53,17 +54,23 @@ _NAME = re.compile(r"(?:%s)[\"'`]?[ \t]*$" % "|".join(SECRET_WORDS), re.I)
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Begin and end of each candidate: mixed runs of 16 characters or more, and shorter or plain ones that a secret's word assigns."""
-    found = []
+    runs = []
     for m in CANDIDATE.finditer(text):
         s = m.group().rstrip(".")
         if len(s) >= 16 and _mixed(s):
-            found.append((m.start(), m.start() + len(s)))
+            runs.append((m.start(), m.start() + len(s)))
+    starts, assigned, end = [a for a, _ in runs], [], 0
     for m in _ASSIGNS.finditer(text):
-        if _NAME.search(text[max(0, m.start() - NEAR) : m.start()]) and (value := _VALUE.match(text, m.end())):
-            a, s = m.end(), value.group().rstrip(".")
-            if len(s) >= 6 and not any(x < a + len(s) and a < y for x, y in found):
-                found.append((a, a + len(s)))
-    return sorted(found)
+        a = m.end()
+        k = bisect_right(starts, a)
+        if a < end or k and a < runs[k - 1][1] or not _NAME.search(text[max(0, m.start() - NEAR) : m.start()]):
+            continue  # within a candidate, or not of a secret
+        if value := _VALUE.match(text, a):
+            s = value.group().rstrip(".")
+            if len(s) >= 6 and not (k < len(runs) and runs[k][0] < a + len(s)):
+                end = a + len(s)
+                assigned.append((a, end))
+    return sorted(runs + assigned)
 
 
 def candidate_features(before: str, candidate: str, after: str) -> list[float]:
