@@ -31,14 +31,14 @@ def test_rules(spark):
 
 def test_node_and_edge_invariants(spark):
     nodes = with_node_defaults(spark.createDataFrame([("a", "dataset"), (" ", "x")], "name string, entity_type string"))
-    assert [r["validation"]["errors"] for r in validate_nodes(nodes).collect()] == [[], ["name must be a non-empty string", "entity_type must be a known entity type"]]
+    assert [r["validation"]["errors"] for r in validate_nodes(nodes).collect()] == [[], ["name: blank", "entity_type: unknown"]]
     m = F.col("metadata")
     bad = nodes.limit(1).withColumns({"metadata": m.withField("version", F.lit(0)).withField("author", F.lit("")).withField("last_modified", F.lit(datetime(1999, 1, 1))).withField("metrics.impact", F.lit(1.5)), "metrics": F.create_map(F.lit("x"), F.lit(float("nan"))), "attributes": F.lit('{"k": null}')})
-    assert validate_nodes(bad).first()["validation"]["errors"] == ["all metric values must be numeric and finite", "last modified cannot be before created_at", "version must be a positive integer", "author must be a non-empty string", "impact must be between 0 and 1", "attributes must have keys and values"]
+    assert validate_nodes(bad).first()["validation"]["errors"] == ["metrics: holds a value that is no finite number", "last_modified: earlier than created_at", "version: below 1", "author: blank", "impact: outside 0 to 1", "attributes: a blank key or a null value"]
     edges = with_edge_defaults(spark.createDataFrame([("a", "b", "calls")], "from_entity string, to_entity string, relation_type string"))
     assert validate_edges(edges).first()["validation"]["is_valid"]
     bad = edges.withColumns({"metadata": m.withField("weight", F.lit(-1.0)).withField("confidence", F.lit(2.0)), "impact_score": F.lit(-0.1), "validation_status": F.lit("?"), "custom_metrics": F.expr("map('m', named_struct('value', 2D, 'min', 0D, 'max', 1D))")})
-    assert validate_edges(bad).first()["validation"]["errors"] == ["confidence must be between 0 and 1", "weight must be non-negative", "impact_score must be between 0 and 1", "validation_status must be one of: unverified, verified, invalid", "custom metrics must lie in their range"]
+    assert validate_edges(bad).first()["validation"]["errors"] == ["confidence: outside 0 to 1", "weight: missing or below 0", "impact_score: outside 0 to 1", "validation_status: none of unverified, verified, invalid", "custom_metrics: outside their own bounds"]
 
 
 def test_json_schemas(spark):

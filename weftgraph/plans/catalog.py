@@ -661,12 +661,12 @@ def custom_rule(spark, sf_dir):
     return rules.validate(v.order_nodes(spark, sf_dir)).select("name", "validation.is_valid")
 
 
-@query(f"WITH {ORDER_NODES_SQL} SELECT name, CASE WHEN version < 1 THEN 'version must be a positive integer' ELSE '' END AS errors FROM nodes")
+@query(f"WITH {ORDER_NODES_SQL} SELECT name, CASE WHEN version < 1 THEN 'version: below 1' ELSE '' END AS errors FROM nodes")
 def integrity_report(spark, sf_dir):
     return v.order_nodes(spark, sf_dir).select("name", F.array_join(node_errors(), "; ").alias("errors"))
 
 
-@query(f"WITH {HANDOFF_SQL} SELECT src, dst, concat_ws('; ', CASE WHEN relation_type = 'calls' THEN 'relation_type must be a known relation type' END, CASE WHEN weight > 3 THEN 'confidence must be between 0 and 1' END, CASE WHEN weight < 2 THEN 'weight must be non-negative' END) AS errors FROM e")
+@query(f"WITH {HANDOFF_SQL} SELECT src, dst, concat_ws('; ', CASE WHEN relation_type = 'calls' THEN 'relation_type: unknown' END, CASE WHEN weight > 3 THEN 'confidence: outside 0 to 1' END, CASE WHEN weight < 2 THEN 'weight: missing or below 0' END) AS errors FROM e")
 def edge_integrity(spark, sf_dir):
     from ..schema import with_edge_defaults
 

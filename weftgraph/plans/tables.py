@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from ..errors import EdgeNotFoundError, EngineError, GraphOperationError, NodeNo
 from ..graph import KGraph
 from ..operators import paths
 from ..repository import EdgeRepository, NodeRepository
-from ..runtime import checkpointed, shared_dir
+from ..runtime import checkpointed, remove, shared_dir
 from ..schema import EDGE_DDL, NODE_DDL, with_edge_defaults
 from ..search.filters import Filter, Sort
 from ..search.query import GraphQuery, SearchQuery, SemanticQuery
@@ -77,6 +79,44 @@ def store_edges_as_json(spark, sf_dir):
     return back.select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"), "relation_type", F.col("metadata.confidence").alias("confidence"), "validation_status")
 
 
+@query(f"""WITH {HANDOFF_SQL}, k AS (SELECT src, dst, relation_type, CAST(substr(src, 2) AS BIGINT) % 4 AS part FROM e)
+SELECT src, dst, relation_type, CASE WHEN part = 1 THEN 'verified' ELSE 'unverified' END AS validation_status, part = 1 AS touched FROM k WHERE part <> 2""")
+def edge_repository_changes(spark, sf_dir):
+    """Stored hand-offs: a quarter updated, a quarter deleted, and one got by its key after each; deleting it again is refused."""
+    repo = _edge_repository(spark, v.handoff(spark, sf_dir).edges())
+    part = F.substring("from_entity", 2, 20).cast("long") % 4
+    first = repo.rows.where(part == 1).orderBy(*repo.key).first()
+    gone = checkpointed(repo.rows.where(part == 2).select(*repo.key))
+    repo.update(repo.rows.where(part == 1).withColumn("validation_status", F.lit("verified")))
+    repo.delete(gone)
+    if first and repo.get(*[first[k] for k in repo.key])["validation_status"] != "verified":
+        raise EngineError("an update was lost")
+    if (one := gone.first()) and repo.exists(*one):
+        raise EngineError("a deleted edge is still there")
+    touched = F.col("metadata.last_modified") > F.col("metadata.created_at")
+    return repo.rows.select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"), "relation_type", "validation_status", touched.alias("touched"))
+
+
+@query(f"WITH {HANDOFF_SQL} SELECT src, dst, relation_type FROM e")
+def store_default_backup(spark, sf_dir):
+    """The hand-offs of a store that was backed up under the name made from its own and the time, lost and restored."""
+    repo = _edge_repository(spark, v.handoff(spark, sf_dir).edges())
+    to = repo.store.backup()
+    if not re.fullmatch(re.escape(repo.store.path) + r"_backup_[0-9_]+", to):
+        raise EngineError(f"a backup of another name: {to}")
+    repo.delete(repo.rows)
+    repo.store.restore(to)
+    return repo.rows.select(F.col("from_entity").alias("src"), F.col("to_entity").alias("dst"), "relation_type")
+
+
+@query(f"WITH {ORDER_NODES_SQL} SELECT name AS key, name, entity_type, created_at FROM nodes")
+def keyed_json_folder(spark, sf_dir):
+    """All nodes by name as a folder of JSON objects, written and read in parts."""
+    path = f"{_path(spark)}.json"
+    write_keyed_json(_nodes(spark, sf_dir), F.col("name"), path, one_file=False)
+    return read_keyed_json(spark, path, NODE_DDL).select("key", "name", "entity_type", F.col("metadata.created_at").alias("created_at"))
+
+
 @query(f"WITH {ORDER_NODES_SQL} SELECT name AS key, name, entity_type, created_at FROM nodes")
 def keyed_json_file(spark, sf_dir):
     """One JSON object of all nodes by name, written and read again."""
@@ -189,7 +229,7 @@ def repository_get_cached(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, there boolean, hits int")
 
 
-@query(f"WITH {ORDER_NODES_SQL} SELECT name, concat_ws('; ', CASE WHEN version = 0 THEN 'version must be a positive integer' END, CASE WHEN confidence <= 0.5 THEN 'validator 0 failed' END) AS errors FROM nodes")
+@query(f"WITH {ORDER_NODES_SQL} SELECT name, concat_ws('; ', CASE WHEN version = 0 THEN 'version: below 1' END, CASE WHEN confidence <= 0.5 THEN 'validator 0 failed' END) AS errors FROM nodes")
 def repository_validate(spark, sf_dir):
     """Built-in checks and a validator of one's own, over rows that were not created."""
     repo = NodeRepository(_store(spark), validators=[lambda df: df["metadata.metrics.confidence"] > 0.5])
@@ -334,19 +374,45 @@ def event_dead_letters(spark, sf_dir):
     return spark.createDataFrame(rows, "stage string, dead long, retries long")
 
 
-@query("SELECT event_id // 500 AS part, count(*) AS waiting FROM events GROUP BY 1")
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), h AS (SELECT (count(*) + 1) // 2 AS half FROM events), w AS (SELECT event_type, n, sum(n) OVER (ORDER BY event_type) AS upto, half FROM c, h)
+SELECT event_type, n AS events, CASE WHEN upto - n < half THEN 1 ELSE 2 END AS flush FROM w""")
 def event_queue(spark, sf_dir):
-    """Events queued in parts that fill a batch each, and how many each flush hands out."""
-    bus, got = _bus(spark, batch_size=1, batch_seconds=3600), []
-    for kind in ("click", "error", "purchase", "signup", "view"):
-        bus.subscribe(kind, lambda df: got.append(df.groupBy(F.get_json_object("metadata", "$.part").cast("long").alias("part")).agg(F.count("*").alias("waiting"))))
-    events = table(spark, sf_dir, "events")
-    part = F.to_json(F.struct((F.expr("event_id div 500")).alias("part")))
-    bus.enqueue(events.select("event_type", F.col("props").alias("data"), F.col("ts").alias("timestamp"), part.alias("metadata")))
-    out = got[0]
-    for more in got[1:]:
-        out = out.union(more)
-    return out.groupBy("part").agg(F.sum("waiting").alias("waiting"))
+    """Events queued type by type: they wait until half of all are there, then go out together; the rest goes out by a last flush."""
+    events, got = table(spark, sf_dir, "events"), []
+    bus = _bus(spark, batch_size=(events.count() + 1) // 2, batch_seconds=3600)
+    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").collect()]  # five types
+    for kind in kinds:
+        bus.subscribe(kind, lambda df: got.append((df, flush)))
+    flush = 1
+    for kind in kinds:
+        bus.enqueue(_published(spark, sf_dir).where(F.col("event_type") == kind))
+        if got:
+            flush = 2
+    bus.flush()
+    return reduce(DataFrame.unionByName, [df.groupBy("event_type").agg(F.count("*").alias("events")).withColumn("flush", F.lit(n)) for df, n in got])
+
+
+@query("SELECT event_type, count(*) AS events, count(*) AS ids FROM events GROUP BY event_type")
+def event_stream_repeated(spark, sf_dir):
+    """All events written as files, published by a stream, then by one that begins anew at the same batches, as after a lost
+    checkpoint: each is stored once."""
+    bus, at = _bus(spark), _path(spark)
+    _published(spark, sf_dir).withColumn("metadata", F.lit(None).cast("string")).write.parquet(at)
+    for _ in range(2):
+        bus.stream(at, f"{at}-seen", format="parquet").awaitTermination()
+        remove(spark, [f"{at}-seen"])
+    return bus.events().groupBy("event_type").agg(F.count("*").alias("events"), F.count_distinct("id").alias("ids"))
+
+
+@query("SELECT event_type, count(*) AS events FROM events GROUP BY event_type")
+def event_follow(spark, sf_dir):
+    """A subscription that replays what is stored, then gets what is published after: the counts of all it has seen."""
+    bus, at, got = _bus(spark), _path(spark), []
+    early = F.pmod(F.xxhash64("data", "timestamp"), F.lit(2)) == 0
+    for part in (early, ~early):
+        bus.publish(_published(spark, sf_dir).where(part), deliver=False)
+        bus.follow(None, lambda df: got.append(checkpointed(df.groupBy("event_type").agg(F.count("*").alias("events")))), f"{at}-seen", once=True).awaitTermination()
+    return reduce(DataFrame.unionByName, got).groupBy("event_type").agg(F.sum("events").alias("events"))
 
 
 @query("SELECT n_name AS node, 'node_created' AS event_type, TIMESTAMP '2024-01-01' AS timestamp FROM nation UNION ALL SELECT n_name, 'node_deleted', TIMESTAMP '2024-01-01' FROM nation")

@@ -135,22 +135,22 @@ def node_errors() -> Column:
     """Every broken invariant of a node row (schema NODE_DDL)."""
     m, k = "metadata.", "metadata.metrics."
     return messages(
-        (_blank(F.col("name")), "name must be a non-empty string"),
-        (~F.coalesce(F.col("entity_type").isin(ALL_ENTITY_TYPES), F.lit(False)), "entity_type must be a known entity type"),
-        (F.exists("observations", lambda x: x.isNull()), "all observations must be strings"),
-        (F.exists("validation_rules", lambda x: x.isNull()), "all validation rules must be strings"),
-        (F.exists("examples", lambda x: x.isNull()), "all examples must be strings"),
-        (_not_finite(F.col("metrics")), "all metric values must be numeric and finite"),
-        (F.col("metadata").isNull(), "metadata is required"),
-        (F.col(m + "created_at").isNull(), "created_at must be a datetime"),
-        (F.col(m + "last_modified").isNull(), "last_modified must be a datetime"),
-        (F.col(m + "last_modified") < F.col(m + "created_at"), "last modified cannot be before created_at"),
-        (F.col(m + "version").isNull() | (F.col(m + "version") < 1), "version must be a positive integer"),
-        *[(_blank(F.col(m + f)), f"{f} must be a non-empty string") for f in ("author", "source", "status")],
-        (F.exists(m + "tags", lambda x: x.isNull()), "all tags must be strings"),
-        *[(_not_unit(F.col(k + f)), f"{f} must be between 0 and 1") for f in ("complexity", "reliability", "coverage", "impact", "confidence")],
-        (_out_of_range(F.col(k + "custom_metrics")), "custom metrics must lie in their range"),
-        (_null_entry(F.col("attributes")), "attributes must have keys and values"),
+        (_blank(F.col("name")), "name: blank"),
+        (~F.coalesce(F.col("entity_type").isin(ALL_ENTITY_TYPES), F.lit(False)), "entity_type: unknown"),
+        (F.exists("observations", lambda x: x.isNull()), "observations: holds a null"),
+        (F.exists("validation_rules", lambda x: x.isNull()), "validation_rules: holds a null"),
+        (F.exists("examples", lambda x: x.isNull()), "examples: holds a null"),
+        (_not_finite(F.col("metrics")), "metrics: holds a value that is no finite number"),
+        (F.col("metadata").isNull(), "metadata: missing"),
+        (F.col(m + "created_at").isNull(), "created_at: missing"),
+        (F.col(m + "last_modified").isNull(), "last_modified: missing"),
+        (F.col(m + "last_modified") < F.col(m + "created_at"), "last_modified: earlier than created_at"),
+        (F.col(m + "version").isNull() | (F.col(m + "version") < 1), "version: below 1"),
+        *[(_blank(F.col(m + f)), f"{f}: blank") for f in ("author", "source", "status")],
+        (F.exists(m + "tags", lambda x: x.isNull()), "tags: holds a null"),
+        *[(_not_unit(F.col(k + f)), f"{f}: outside 0 to 1") for f in ("complexity", "reliability", "coverage", "impact", "confidence")],
+        (_out_of_range(F.col(k + "custom_metrics")), "custom_metrics: outside their own bounds"),
+        (_null_entry(F.col("attributes")), "attributes: a blank key or a null value"),
     )
 
 
@@ -158,20 +158,20 @@ def edge_errors() -> Column:
     """Every broken invariant of an edge row (schema EDGE_DDL)."""
     m = "metadata."
     return messages(
-        (_blank(F.col("from_entity")), "source node must be a non-empty string"),
-        (_blank(F.col("to_entity")), "target node must be a non-empty string"),
-        (~F.coalesce(F.col("relation_type").isin(ALL_RELATION_TYPES), F.lit(False)), "relation_type must be a known relation type"),
-        (F.col("metadata").isNull(), "metadata is required"),
-        (F.col(m + "created_at").isNull(), "created_at must be a datetime"),
-        (F.col(m + "last_modified").isNull(), "last_modified must be a datetime"),
-        (F.col(m + "last_modified") < F.col(m + "created_at"), "last modified cannot be before created_at"),
-        (_not_unit(F.col(m + "confidence")), "confidence must be between 0 and 1"),
-        (_blank(F.col(m + "source")), "source must be a non-empty string"),
-        (F.col(m + "weight").isNull() | (F.col(m + "weight") < 0), "weight must be non-negative"),
-        (_not_unit(F.col("impact_score")), "impact_score must be between 0 and 1"),
-        (~F.coalesce(F.col("validation_status").isin(VALIDATION_STATES), F.lit(False)), f"validation_status must be one of: {', '.join(VALIDATION_STATES)}"),
-        (_out_of_range(F.col("custom_metrics")), "custom metrics must lie in their range"),
-        (_null_entry(F.col("attributes")), "attributes must have keys and values"),
+        (_blank(F.col("from_entity")), "from_entity: blank"),
+        (_blank(F.col("to_entity")), "to_entity: blank"),
+        (~F.coalesce(F.col("relation_type").isin(ALL_RELATION_TYPES), F.lit(False)), "relation_type: unknown"),
+        (F.col("metadata").isNull(), "metadata: missing"),
+        (F.col(m + "created_at").isNull(), "created_at: missing"),
+        (F.col(m + "last_modified").isNull(), "last_modified: missing"),
+        (F.col(m + "last_modified") < F.col(m + "created_at"), "last_modified: earlier than created_at"),
+        (_not_unit(F.col(m + "confidence")), "confidence: outside 0 to 1"),
+        (_blank(F.col(m + "source")), "source: blank"),
+        (F.col(m + "weight").isNull() | (F.col(m + "weight") < 0), "weight: missing or below 0"),
+        (_not_unit(F.col("impact_score")), "impact_score: outside 0 to 1"),
+        (~F.coalesce(F.col("validation_status").isin(VALIDATION_STATES), F.lit(False)), f"validation_status: none of {', '.join(VALIDATION_STATES)}"),
+        (_out_of_range(F.col("custom_metrics")), "custom_metrics: outside their own bounds"),
+        (_null_entry(F.col("attributes")), "attributes: a blank key or a null value"),
     )
 
 
