@@ -1,8 +1,8 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at a line break or at [.!?] before white space. A span is a run of `size` consecutive sentences (2 by default), one
-from each sentence on; blank ones do not count. Every longer repeated run is made of such spans, so none is missed; one sentence alone
-is never a span. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. Its first occurrence, by doc_id, then
+A sentence ends at a line break or at [.!?] before white space. A span is a run of `size` consecutive sentences (3 by default), one
+from each sentence on; blank ones do not count. Every longer repeated run is made of such spans, so none is missed; a shorter one is
+never a span. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. Its first occurrence, by doc_id, then
 text hash, then place in the text, stays; the sentences of all others go, also where a document repeats itself.
 
 Rows of spans are dealt by ranges of the hash and sorted within. Hashes that would fill half a range are found in a sample of the rows,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._runtime import blocks, frequent, pick, stored
 
 #: Sentences of a span.
-SIZE = 2
+SIZE = 3
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _RUNS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
