@@ -270,3 +270,15 @@ def test_batches_and_windows(spark):
 def test_error_texts():
     assert str(errors.ValidationError("x")) == "Validation Error: x" and str(errors.GraphOperationError("x")) == "Graph Operation Error: x"
     assert issubclass(errors.NodeNotFoundError, errors.ResourceNotFoundError) and str(errors.EdgeNotFoundError("x")) == "x"
+
+
+def test_nested_schemas_and_unknown_keywords(spark):
+    schemas = JsonSchemas()
+    schemas.register("t", {"title": "x", "required": ["a"], "properties": {"a": {"type": "object", "required": ["b"], "properties": {"b": {"type": "integer", "minimum": 2}, "c": {"properties": {"d": {"maxLength": 2}}}}}}})
+    rows = ['{"a": {"b": 2, "c": {"d": "xy"}}}', '{"a": {"b": 1, "c": {"d": "xyz"}}}', '{"a": {}}', '{"a": 5}', "{}", "[]"]
+    df = spark.createDataFrame([("t", r) for r in rows], "kind string, data string")
+    got = [r["e"] for r in df.select(schemas.errors(F.col("kind"), F.col("data")).alias("e")).collect()]
+    assert got == [[], ["'a.b' is less than the minimum of 2", "'a.c.d' is too long"], ["'a.b' is a required property"], ["'a' is not of type object"], ["'a' is a required property"], ["'a' is a required property"]]
+    for bad in ({"items": {}}, {"properties": {"a": {"properties": {"b": {"anyOf": []}}}}}):
+        with pytest.raises(ValidationError, match="without a test"):
+            schemas.register("u", bad)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import ValidationError
 from .schema import ALL_ENTITY_TYPES, ALL_RELATION_TYPES, VALIDATION_STATES
 from .search.filters import TYPES, field_column, field_type
 
@@ -183,25 +184,44 @@ def validate_edges(edges: DataFrame) -> DataFrame:
     return with_result(edges, edge_errors())
 
 
+# Keywords of a JSON schema that are tested, and those that only describe.
+TESTED = ("type", "required", "properties", "enum", "minimum", "maximum", "pattern", "minLength", "maxLength")
+DESCRIBING = ("$schema", "$id", "$comment", "title", "description", "default", "examples")
+
+
 class JsonSchemas:
-    """JSON schemas by type, of the keywords type, required, properties, enum, minimum, maximum, pattern, minLength and
-    maxLength, compiled to Columns over a JSON text. A type without schema passes with a warning."""
+    """JSON schemas by type, of the keywords in TESTED at any depth of properties, compiled to Columns over a JSON text; a schema with
+    another keyword is refused. A type without schema passes with a warning."""
 
     def __init__(self) -> None:
         self.schemas: dict[str, dict[str, Any]] = {}
 
     def register(self, kind: str, schema: dict[str, Any] | str) -> None:
-        self.schemas[kind] = json.loads(schema) if isinstance(schema, str) else schema
+        schema = json.loads(schema) if isinstance(schema, str) else schema
+        self._known(schema)
+        self.schemas[kind] = schema
+
+    def _known(self, schema: dict[str, Any], at: str = "") -> None:
+        if other := sorted(set(schema) - {*TESTED, *DESCRIBING}):
+            raise ValidationError(f"Schema keywords without a test{f' at {at}' if at else ''}: {', '.join(other)}")
+        for p, inner in schema.get("properties", {}).items():
+            self._known(inner, f"{at}.{p}" if at else p)
 
     def _tests(self, data: Column, schema: dict[str, Any]) -> list[tuple[Column, str]]:
         v = F.try_parse_json(data)
+        return [(data.isNotNull() & v.isNull(), "not a JSON document"), *self._inside(v, schema, data.isNull() | F.is_variant_null(v))]
+
+    def _inside(self, v: Column, schema: dict[str, Any], absent: Column, at: str = "") -> list[tuple[Column, str]]:
+        """Tests of the object at a path; absent: whether there is none, which lacks what is required at the top only."""
         get = lambda p, kind: F.try_variant_get(v, f"$.{p}", kind)
-        tests = [(data.isNotNull() & v.isNull(), "not a JSON document")]
-        for p in schema.get("required", []):
-            tests.append((data.isNull() | F.is_variant_null(v) | get(p, "variant").isNull(), f"'{p}' is a required property"))
-        for p, s in schema.get("properties", {}).items():
+        kinds = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE|BIGINT|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
+        tests = []
+        for name in schema.get("required", []):
+            missing = get(f"{at}{name}", "variant").isNull()
+            tests.append((~absent & missing if at else absent | missing, f"'{at}{name}' is a required property"))
+        for name, s in schema.get("properties", {}).items():
+            p = f"{at}{name}"
             raw = get(p, "variant")
-            kinds = {"string": "STRING", "integer": "BIGINT", "number": "DOUBLE|BIGINT|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
             if "type" in s:
                 wanted = [s["type"]] if isinstance(s["type"], str) else s["type"]
                 tests.append((raw.isNotNull() & ~F.schema_of_variant(raw).rlike(f"^({'|'.join(kinds[k] for k in wanted)})$"), f"'{p}' is not of type {', '.join(wanted)}"))
@@ -217,6 +237,9 @@ class JsonSchemas:
                 tests.append((F.length(get(p, "string")) < s["minLength"], f"'{p}' is too short"))
             if "maxLength" in s:
                 tests.append((F.length(get(p, "string")) > s["maxLength"], f"'{p}' is too long"))
+            if "properties" in s or "required" in s:
+                is_object = F.coalesce(F.schema_of_variant(raw).startswith("OBJECT"), F.lit(False))
+                tests += self._inside(v, s, ~is_object, f"{p}.")
         return tests
 
     def errors(self, kind: Column, data: Column) -> Column:
