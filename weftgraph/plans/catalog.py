@@ -237,12 +237,12 @@ _WEAK = f"WITH RECURSIVE {SIMILAR_SQL}, u AS (SELECT src, dst FROM e UNION SELEC
 
 @query(_WEAK + " SELECT node, component FROM c")
 def weakly_connected_components(spark, sf_dir):
-    return components.weak_components(v.similar(spark, sf_dir))
+    return components.weak_components(v.similar_classes(spark, sf_dir))
 
 
 @query(_WEAK + " SELECT component, count(*) AS size FROM c GROUP BY component")
 def component_sizes(spark, sf_dir):
-    return components.component_sizes(components.weak_components(v.similar(spark, sf_dir)))
+    return components.component_sizes(components.weak_components(v.similar_classes(spark, sf_dir)))
 
 
 @query(f"WITH RECURSIVE {HANDOFF_SQL}, r(s, node) AS (SELECT node, node FROM n UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node) SELECT a.s AS node, min(a.node) AS component FROM r a JOIN r b ON a.s = b.node AND a.node = b.s GROUP BY a.s")
@@ -476,6 +476,36 @@ def cosine_pairs(spark, sf_dir):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", _round(cosine(F.col("x"), F.col("y"))).alias("similarity"))
 
 
+@query(_ANCHOR + " SELECT vec_id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.2")
+def vector_index_near(spark, sf_dir):
+    """The rows of the cells that can be near, out of an index of all vectors."""
+    _, vector = _vectors(spark, sf_dir)
+    return v.vector_index(spark, sf_dir, cells=16).near(vector, 0.2).select(F.col("key").alias("vec_id"), _round(F.col("similarity")).alias("similarity"))
+
+
+@query(_ANCHOR + " SELECT vec_id, round(sim, 6) AS similarity FROM s ORDER BY sim DESC, vec_id LIMIT 25")
+def vector_index_top(spark, sf_dir):
+    _, vector = _vectors(spark, sf_dir)
+    return v.vector_index(spark, sf_dir, cells=16).top(vector, 25).select(F.col("key").alias("vec_id"), _round(F.col("similarity")).alias("similarity"))
+
+
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COSINE}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COSINE} >= 0.35")
+def similar_pairs(spark, sf_dir):
+    """All pairs of different vectors with a cosine of 0.35 or more; cells that cannot hold a pair do not meet."""
+    return v.vector_index(spark, sf_dir, cells=16).pairs(0.35).select("a", "b", _round(F.col("similarity")).alias("similarity"))
+
+
+@query(_ANCHOR + " SELECT vec_id, round(sim, 6) AS similarity FROM s WHERE sim >= 0.1 AND label < 3 ORDER BY sim DESC, vec_id LIMIT 10")
+def semantic_indexed(spark, sf_dir):
+    """A semantic query that reads the index for what is near and the table for the other conditions."""
+    rows, vector = _vectors(spark, sf_dir)
+    found = SemanticQuery(similarity_threshold=0.1, page_size=10, key="vec_id", filters=[Filter("label", "lt", 3)]).search(rows, vector, index=v.vector_index(spark, sf_dir, cells=16))
+    return found.rows.select("vec_id", _round(F.col("similarity_score")).alias("similarity"))
+
+
 def _semantic(spark, sf_dir, **options) -> DataFrame:
     rows, vector = _vectors(spark, sf_dir)
     rows = rows.withColumn("entity_type", F.concat(F.lit("t"), "label"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..graph import KGraph
-from ..runtime import stored
+from ..runtime import stored, written
+from ..search.vectors import VectorIndex
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,41 +106,30 @@ t AS (SELECT 'C' || c_custkey AS node, 'stakeholder' AS entity_type FROM custome
 BLOCK = 512
 
 
+def vector_index(spark: SparkSession, sf_dir: str, cells: int | None = None) -> VectorIndex:
+    path = written(spark, lambda at: VectorIndex.build(table(spark, sf_dir, "embeddings"), at, "vec_id", cells=cells))
+    return VectorIndex(spark, path)
+
+
+def _links(pairs: DataFrame) -> KGraph:
+    name = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    return KGraph(pairs.select(name("a").alias("src"), name("b").alias("dst"), F.lit("correlates_with").alias("relation_type")))
+
+
 def similar(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
-    """Vectors with a cosine of at least `least`, the lower id first.
-
-    Vectors are dealt into blocks by their id's hash. Each two blocks (and each with itself) meet in one task, where a matrix
-    product leaves the pairs near the threshold; these are judged by their exact cosine.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    from ..functions.vector import cosine
-
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    n = max(1, -(-vectors.count() // BLOCK))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = vectors.select("vec_id", "embedding", block.alias("block")).select("*", other.alias("other"))
-    dealt = dealt.select("vec_id", "embedding", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-
-    def meet(found: pa.Table) -> pa.Table:
-        ids, lists = found["vec_id"].to_numpy(), found["embedding"].to_pylist()
-        p, here = found["p"][0].as_py(), found["block"].to_numpy()
-        left, right = np.flatnonzero(here == p), np.flatnonzero(here == found["q"][0].as_py())
-        x = np.array(lists, dtype=np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        i, j = np.nonzero(x[left] @ x[right].T >= least - 1e-9)
-        i, j = left[i], right[j]
-        once = ids[i] < ids[j] if len(left) and p == found["q"][0].as_py() else ids[i] != ids[j]
-        i, j = i[once], j[once]
-        swap = ids[i] > ids[j]
-        a, b = np.where(swap, j, i), np.where(swap, i, j)
-        kind = pa.list_(pa.float64())
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "x": pa.array([lists[k] for k in a], kind), "y": pa.array([lists[k] for k in b], kind)})
-
-    near = dealt.groupBy("p", "q").applyInArrow(meet, "a long, b long, x array<double>, y array<double>").where(cosine(F.col("x"), F.col("y")) >= least)
-    return KGraph(near.select(F.lpad(F.col("a").cast("string"), 8, "0").alias("src"), F.lpad(F.col("b").cast("string"), 8, "0").alias("dst"), F.lit("correlates_with").alias("relation_type")))
+    """Vectors with a cosine of at least `least`, the lower id first; copies are linked to all that their class is linked to."""
+    index = vector_index(spark, sf_dir)
+    of = lambda c, r: index.members().select(F.col("key").alias(c), F.col("representative").alias(r))
+    between = index.pairs(least, BLOCK).select(F.col("a").alias("p"), F.col("b").alias("q")).join(of("x", "p"), "p").join(of("y", "q"), "q")
+    within = of("x", "p").join(of("y", "p"), "p").where("x < y")
+    return _links(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(within.select("x", "y")))
+
+
+def similar_classes(spark: SparkSession, sf_dir: str, least: float = 0.4) -> KGraph:
+    """A graph with the components of similar(): classes of equal vectors are linked, and each copy to the first of its class."""
+    index = vector_index(spark, sf_dir)
+    copies = index.members().where("key <> representative").select(F.col("representative").alias("a"), F.col("key").alias("b"))
+    return _links(index.pairs(least, BLOCK).select("a", "b").union(copies))
 
 
 SIMILAR_SQL = """
