@@ -1,0 +1,69 @@
+"""The text index against a scan."""
+
+import random
+
+import pytest
+
+from weftgraph.errors import QueryError
+from weftgraph.functions.scalar import searchable_text
+from weftgraph.search.filters import Filter
+from weftgraph.search.grams import TextIndex, grams
+from weftgraph.search.query import SearchQuery
+
+SCHEMA = "name string, text string"
+
+
+def texts():
+    rng = random.Random(4)
+    rows = [(f"n{i:03d}", " ".join(rng.choice(["Alpha", "beta", "GAMMA", "delta", "eps"]) + str(rng.randrange(40)) for _ in range(rng.randrange(1, 6)))) for i in range(200)]
+    return [*rows, ("null", None), ("empty", ""), (None, "alpha without key"), ("n001", "a second beta39"), ("lines", "one\ntwo\n\U0001f600three"), ("long", "x" * 300_000 + "needle" + "y" * 300_000)]
+
+
+@pytest.fixture(scope="module")
+def held(spark, tmp_path_factory):
+    rows = texts()
+    df = spark.createDataFrame(rows, SCHEMA)
+    return rows, TextIndex.build(df, str(tmp_path_factory.mktemp("grams") / "t"), df["text"], block=10)
+
+
+@pytest.mark.parametrize("needle", ["alpha1", "BETA39", "delta", "a2 G", "39", "z", "", "needlE", "o\n\U0001f600t", "\U0001f600three", "e\ntw", "nowhere at all", "xxxx", "(?=", "%", "alpha without key"])
+@pytest.mark.parametrize("named", [2000, 1])
+def test_search_is_a_scan(held, needle, named):
+    rows, index = held
+    want = sorted((k or "", t) for k, t in rows if t is not None and needle.lower() in t.lower())
+    assert sorted((r["key"] or "", r["text"]) for r in index.search(needle, named).collect()) == want
+
+
+def test_few_blocks_are_read(held):
+    """A rare needle names few blocks, a frequent one all; the scans of postings and rows are told which."""
+    rows, index = held
+    every = index.rows().select("block").distinct().count()
+    assert index.blocks("needle").count() == 1 and index.blocks("nowhere at all").count() == 0 and index.blocks("ab") is None
+    assert index.blocks("alpha").count() == every
+    plan = index.search("needle")._jdf.queryExecution().executedPlan().toString()
+    assert "block" in plan.split("PushedFilters")[1]
+
+
+def test_grams(spark):
+    [got] = spark.sql("select 'AbAbab\nc' t").select(grams(__import__("pyspark.sql.functions", fromlist=["col"]).col("t"))).first()
+    assert set(got) == {"aba", "bab", "ab\n", "b\nc"} and len(got) == 4
+
+
+def test_small_and_empty(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    index = TextIndex.build(none, str(tmp_path / "none"), none["text"])
+    assert index.search("abc").count() == index.search("").count() == 0
+    with pytest.raises(QueryError):
+        TextIndex.build(none, str(tmp_path / "bad"), none["text"], block=0)
+
+
+def test_query_with_an_index(spark, small, tmp_path):
+    from weftgraph.plans import views
+
+    nodes = views.order_nodes(spark, small)
+    index = TextIndex.build(nodes, str(tmp_path / "orders"), searchable_text(), block=50)
+    q = SearchQuery(query_text="ORDER of 1", filters=[Filter("entity_type", "eq", "system")], page_size=500)
+    plain = [r["name"] for r in q.run(nodes).rows.collect()]
+    assert plain and [r["name"] for r in q.run(nodes, index=index).rows.collect()] == plain
+    by_field = SearchQuery(query_text="urgent", search_fields=["observations"], page_size=500)
+    assert [r["name"] for r in by_field.run(nodes, index=index).rows.collect()] == [r["name"] for r in by_field.run(nodes).rows.collect()]

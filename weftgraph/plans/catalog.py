@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from ..functions import scalar
 from ..functions.vector import cosine
 from ..operators import components, metrics, paths, subgraphs, traversal
 from ..repository import with_dependencies
+from ..runtime import written
 from ..schema import NODE_DDL, domain_of
 from ..search.filters import Filter, Sort, equal_fields
+from ..search.grams import TextIndex
 from ..search.query import GraphQuery, SearchQuery, SemanticEngine, SemanticQuery
 from ..sources.store import from_json_rows, node_json
 from ..streaming import events as ev
@@ -414,6 +417,30 @@ def search_all_text(spark, sf_dir):
     return _found(spark, sf_dir, query_text="URGENT status F")
 
 
+def _text_index(spark, sf_dir, nodes: DataFrame) -> TextIndex:
+    path = written(spark, lambda at: TextIndex.build(nodes, at, scalar.searchable_text()))
+    return TextIndex(spark, path)
+
+
+_ALL_TEXT = "lower(concat_ws(' ', name, documentation, obs1 || ' ' || obs2, tag))"
+
+
+@query(f"WITH {ORDER_NODES_SQL}, w AS (SELECT unnest(['of 1234 ', 'o77 ', 'URGENT status F', '11', 'no such order']) AS needle) SELECT needle, count(*) AS found, min(name) AS first FROM nodes, w WHERE contains({_ALL_TEXT}, lower(needle)) GROUP BY needle")
+def text_index_search(spark, sf_dir):
+    """Needles of rare and of frequent grams, and one without, by an index of all orders' text."""
+    index = _text_index(spark, sf_dir, v.order_nodes(spark, sf_dir))
+    each = [index.search(needle).select(F.lit(needle).alias("needle"), "key") for needle in ("of 1234 ", "o77 ", "URGENT status F", "11", "no such order")]
+    return reduce(DataFrame.union, each).groupBy("needle").agg(F.count("*").alias("found"), F.min("key").alias("first"))
+
+
+@query(f"WITH {ORDER_NODES_SQL} SELECT name FROM nodes WHERE contains({_ALL_TEXT}, 'order of 12') AND confidence >= 0.5 AND entity_type IN ('dataset', 'system')")
+def search_indexed_text(spark, sf_dir):
+    """A structured query whose text comes from the index, its other conditions from the table."""
+    nodes = v.order_nodes(spark, sf_dir)
+    found = GraphQuery(query_text="Order OF 12", min_confidence=0.5, entity_types=["dataset", "system"]).run(nodes, index=_text_index(spark, sf_dir, nodes))
+    return found.matches.select("name")
+
+
 @query(f"WITH {ORDER_NODES_SQL} SELECT name, entity_type FROM nodes WHERE entity_type IN ('dataset', 'system') AND confidence >= 0.5 ORDER BY total DESC, name LIMIT 30")
 def search_types_without_metadata(spark, sf_dir):
     nodes = v.order_nodes(spark, sf_dir).withColumn("total", F.col("metrics")["total"])
