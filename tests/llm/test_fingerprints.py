@@ -12,6 +12,10 @@ def phrases(text):
 
 
 def plain(rows, size=fp.SIZE):
+    return sorted(map(str, plain_rows(rows, size)))
+
+
+def plain_rows(rows, size=fp.SIZE):
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
     out = []
     for k, (i, text, *_) in enumerate(rows):
@@ -20,7 +24,7 @@ def plain(rows, size=fp.SIZE):
         edited = text[:cut] + after[: len(text) - cut]
         a, b, c = (fp.signature(phrases(t), size) for t in (text, edited, after))
         out.append((i, len(text), edited, fp._hex(a), fp._hex(b), round(fp.likeness(a, b, size), 9), round(fp.likeness(a, c, size), 9)))
-    return sorted(map(str, out))
+    return out
 
 
 def got(df):
@@ -61,3 +65,22 @@ def test_hashes_do_not_depend_on_order_or_place():
     p = {"a", "ab", "abc", "\U0001f600", "é"}
     assert sorted(fp.phrase_hashes(p).tolist()) == sorted(h for x in p for h in fp.phrase_hashes({x}).tolist())
     assert len(set(fp.phrase_hashes({f"p{i}" for i in range(5000)}).tolist())) == 5000
+
+
+def test_ids_of_any_ordered_type(spark):
+    """Text ids and dates make ranges too; ties and missing ids as with numbers."""
+    words = ["one two", "two three two", "", "three one one one", "abc " * 50, "Zz zz"]
+    rows = [(f"id-{i * 7 % 40:02d}-\u00e9", words[i % 6] + str(i)) for i in range(40)] + [(None, "no id"), ("id-05-\u00e9", "again")]
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    found = got(df)
+    assert found == sorted(map(str, plain_by(rows)))
+    days = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "n int, text string").selectExpr("date_add(date'2020-01-01', n) doc_id", "text")
+    assert sorted(r["near_next"] for r in fp.edit_probe(days).collect()) == sorted(r["near_next"] for r in fp.edit_probe(days.selectExpr("datediff(doc_id, date'2020-01-01') doc_id", "text")).collect())
+    assert fp.edit_probe(spark.createDataFrame([], "doc_id string, text string")).count() == 0
+
+
+def plain_by(rows):
+    """plain() for ids of another type: numbers in their order, then the ids themselves again."""
+    ids = sorted({i for i, _ in rows if i is not None})
+    numbered = plain_rows([(None if i is None else ids.index(i) + 1, t) for i, t in rows])
+    return [(None if r[0] is None else ids[r[0] - 1], *r[1:]) for r in numbered]

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ._runtime import blocks, pick
 
@@ -121,6 +122,19 @@ def _place(ids: Column, bounds: list[int], step: int = 64) -> Column:
     return F.when(ids.isNull(), len(bounds)).when(block == 0, 0).otherwise((block - 1) * step + within).cast("int")
 
 
+def _bounds(docs: DataFrame, parts: int) -> list:
+    """Ids that cut all ids into at most `parts` ranges: quantiles of numbers, of other types the least id of each range that Spark
+    deals ids by."""
+    cuts = [k / parts for k in range(1, parts)]
+    if not cuts:
+        return []
+    if isinstance(docs.schema["doc_id"].dataType, NumericType):
+        found = docs.agg(F.percentile_approx("doc_id", cuts, ACCURACY * parts).alias("b")).first()["b"]
+        return sorted(set(found or []))
+    dealt = docs.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id")
+    return sorted({r["least"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")).collect()})[1:]
+
+
 def edit_probe(docs: DataFrame, divisor: int = 4, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness.
 
@@ -130,13 +144,13 @@ def edit_probe(docs: DataFrame, divisor: int = 4, size: int = SIZE, id_col: str
 
     One shuffle deals the texts by ranges of doc_id; each range also gets the first document of the next one, so every task
     meets each document's successor while it streams. The parse of a text and of its edited text is shared up to the cut.
-    Ranges come from counts over all ids; what the driver holds is one id for each range.
+    Ranges come from counts over all ids, or from Spark's range partitioning where ids are no numbers; what the driver holds is one
+    id for each range. Ids are of any type that has an order.
     """
     spark = docs.sparkSession
     docs = pick(docs, id_col, text_col)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [k / parts for k in range(1, parts)]
-    bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", cuts, ACCURACY * parts).alias("b")).first()["b"] or [])) if cuts else []
+    bounds = _bounds(docs, parts)
     placed = docs.withColumn("part", _place(F.col("doc_id"), bounds))
     firsts = sorted(placed.groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # a row for each range
     follow = [(here, after) for (here, _), (_, after) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
