@@ -42,7 +42,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows, the one with the smallest (doc_id, text) stays, null ids last.
+    """Of each group of linked rows, the one with the smallest (doc_id, text) stays, null ids last; of rows equal in both, the one whose
+    other columns are the least as JSON.
 
     A row's mark is its id and the digest of its text. Groups name their least mark; only where several texts of a group have
     the least id, or all lack one, are the texts themselves compared.
@@ -58,8 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not tied.isEmpty():
         texts = docs.select(mark.alias("mark"), text.alias("text")).join(tied, "mark")
         stay = stay.union(texts.groupBy("group").agg(F.min_by("mark", "text").alias("mark")).select("mark"))
-    rows = docs.select(mark.alias("mark"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return rows.join(stay, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")
+    others = F.to_json(F.struct(F.lit(0).alias("_"), *[docs[c] for c in docs.columns if c not in ("doc_id", "text")]))
+    rows = docs.select(mark.alias("mark"), others.alias("others"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(stay, "mark", "left_semi").groupBy("mark").agg(F.min_by("row", "others").alias("row")).select("row.*")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

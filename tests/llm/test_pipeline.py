@@ -79,3 +79,13 @@ def test_near_duplicates_by_row(spark, documents, tmp_path):
     found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, documents(rows), str(tmp_path)).collect()]
     want = [(None, text(1)), (None, text(2)), (1, text(4)), (2, text(5)), (3, text(6)), (3, text(7)), (4, text(3)), (None, "B c"), (9, "D e")]
     assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_equal_ids_and_texts_keep_the_least_row(spark):
+    """Which of rows equal in (doc_id, text) stays is stated, however they are dealt; every column stays as it was."""
+    rows = [(i, f"a text of its own with number {i} and {i * 31}", lang, source) for i in range(12) for lang, source in (("en", "b"), ("en", "a"), ("de", "z"), (None, None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "map('k', doc_id) more")
+    for parts in (1, 3, 7):
+        kept = corpus_pipeline.near_duplicates(spark, df.repartition(parts), "").collect()
+        assert len({r["doc_id"] for r in kept}) == len(kept) and {(r["lang"], r["source"]) for r in kept} == {("de", "z")}
+        assert all(r["more"] == {"k": r["doc_id"]} for r in kept)
