@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from weftgraph.llm import spandedup
+from weftgraph.llm import queries, spandedup
 
 
 def plain_sentences(text):
@@ -140,3 +140,58 @@ def test_a_text_of_several_megabytes(spark, documents):
     assert len(long) > 5_000_000
     found = {x["doc_id"]: x for x in spandedup.dedup(documents([(2, long), (1, tail), (3, "Alone.")])).collect()}
     assert found[2]["n_sentences"] == 160_000 and found[2]["kept_text"] == long[: -len(tail)] and found[1]["removed"] == []
+
+
+def runs_of_any_length(rows, size, min_words, alone=None):
+    """doc_id -> numbers of the sentences in any run, however long, of so many sentences and words, or long sentence, that occurs earlier."""
+    held, out = set(), {}
+    for i, text in sorted(rows):
+        norm = [" ".join(p.lower().split()) for p in plain_sentences(text)]
+        full = [k for k, x in enumerate(norm) if x]
+        out[i] = set()
+        for a in range(len(full)):
+            new = set()
+            for b in range(a + 1, len(full) + 1):
+                key = " ".join(norm[k] for k in full[a:b])
+                n = len(key.split())
+                if b - a >= size and n >= min_words or b == a + 1 and alone is not None and n >= alone:
+                    new.add(key)
+                    if key in held:
+                        out[i] |= set(range(full[a], full[b - 1] + 1))
+            held |= new
+    return out
+
+
+@pytest.mark.parametrize("share", [0.001, 0.9])
+@pytest.mark.parametrize(("size", "min_words", "alone"), [(2, 13, 16), (2, 13, None), (1, 8, None), (3, 30, 12)])
+def test_spans_of_words_against_runs_of_any_length(spark, documents, share, size, min_words, alone):
+    r = random.Random(21)
+    pool = [" ".join(f"{chr(97 + k % 26)}{k}x{j}" for j in range(r.choice([1, 2, 3, 6, 12, 20]))) + r.choice([". ", "! ", "\n"]) for k in range(40)]
+    rows = [(i, "".join(r.choice(pool) for _ in range(25))) for i in range(40)]
+    rows += [(50 + i, rows[3][1]) for i in range(10)] + [(70, "\n \n".join([rows[5][1], rows[6][1]])), (71, "")]
+    found = {x["doc_id"]: {k for s in x["removed"] for k in range(s["start"], s["stop"])} for x in spandedup.dedup(documents(rows), size=size, min_words=min_words, alone=alone, share=share).collect()}
+    assert found == runs_of_any_length(rows, size, min_words, alone)
+
+
+def test_spans_of_words():
+    assert spandedup.spans([3, 0, 4, 1, 9], 2, 8) == [(0, 4), (2, 5), (3, 5)]
+    assert spandedup.spans([20, 1, 1, 20], 2, 13) == [(0, 2), (0, 3), (1, 4), (2, 4)]
+    assert spandedup.spans([5, 5], 2, 13) == spandedup.spans([30], 2, 13) == spandedup.spans([], 2, 13) == spandedup.spans([], 2, 13, 25) == []
+    assert spandedup.spans([0, 30], 2, 13, 25) == [(1, 2)] and spandedup.spans([24, 0, 25], 2, 13, 25) == [(0, 3), (2, 3)]
+
+
+@pytest.mark.parametrize("one", [True, False])
+def test_query_catches_long_passages_and_leaves_short_lines(spark, documents, tmp_path, one):
+    """A passage of over 50 words with one or two whole sentences goes, though it begins and ends amid others; a common line of nine words
+    in three sentences stays."""
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    whole = f"{words(26)}. " if one else f"{words(16)}. {words(24)}. "
+    passage = f"{words(14)}. {whole}{words(14)}"
+    line = "Held by all. So it is. Read it here.\n"
+    rows = [(i, f"{words(30)}. {words(9)} " + (passage if i % 2 else words(12)) + f" {words(9)}. {words(20)}.\n{line}{words(15)}.") for i in range(40)]
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    removed = {x["doc_id"]: x["n_removed"] for x in queries.op5_span_dedup(spark, str(tmp_path)).collect()}
+    assert removed == {i: 2 - one if i % 2 and i > 1 else 0 for i in range(40)}
+    found = {x["doc_id"]: x["kept_text"] for x in spandedup.dedup(documents(rows), **queries.SPANS).collect()}
+    assert all(found[i] == (text if i < 2 else text.replace(whole, "")) for i, text in rows)

@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at a line break or at [.!?] before white space. A span is a run of `size` consecutive sentences (3 by default), one
-from each sentence on; blank ones do not count. Every longer repeated run is made of such spans, so none is missed; a shorter one is
-never a span. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. Its first occurrence, by doc_id, then
+A sentence ends at a line break or at [.!?] before white space. A span is a run of at least `size` consecutive sentences (3 by default)
+that hold at least `min_words` words (any number by default): the shortest from each sentence on, and the shortest up to each; blank ones
+do not count. Every longer repeated run of as many sentences and words is covered by such spans, so none is missed; a shorter one is
+never a span, but for a sentence of at least `alone` words, if that is given. A span's words, lower-cased and joined by single blanks, are hashed to 128 bits. Its first occurrence, by doc_id, then
 text hash, then place in the text, stays; the sentences of all others go, also where a document repeats itself.
 
 Rows of spans are dealt by ranges of the hash and sorted within. Hashes that would fill half a range are found in a sample of the rows,
@@ -44,13 +45,23 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def spans(counts: list[int], size: int = SIZE) -> list[tuple[int, int]]:
-    """The runs of size sentences, as first and past-last number, by the words of each sentence; blank ones do not count."""
-    full = [i for i, n in enumerate(counts) if n]
-    return [(full[i], full[i + size - 1] + 1) for i in range(len(full) - size + 1)]
+def spans(counts: list[int], size: int = SIZE, min_words: int = 0, alone: int | None = None) -> list[tuple[int, int]]:
+    """The shortest runs of at least size sentences and min_words words from and up to each sentence, and the sentences of at least alone
+    words, as first and past-last number, by the words of each sentence; blank ones do not count."""
+    words = np.array(counts, dtype=np.int64)
+    full = np.flatnonzero(words)
+    n = len(full)
+    total = np.concatenate([[0], np.cumsum(words[full])])
+    at = np.arange(n)
+    stop = np.maximum(at + size, np.searchsorted(total, total[:-1] + min_words))
+    start = np.minimum(at + 1 - size, np.searchsorted(total, total[1:] - min_words, side="right") - 1)
+    forth, back = stop <= n, start >= 0
+    long = at[words[full] >= alone] if alone is not None else at[:0]
+    start, stop = np.divmod(np.unique(np.concatenate([(at * (n + 1) + stop)[forth], (start * (n + 1) + at + 1)[back], long * (n + 2) + 1])), n + 1)
+    return list(zip(full[start].tolist(), (full[stop - 1] + 1).tolist(), strict=True))
 
 
-def span_rows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def span_rows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0, alone: int | None = None) -> DataFrame:
     """doc_id, row (hash of the text), own (hash of both), start, stop (sentence numbers), h1, h2 of every span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +71,7 @@ def span_rows(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_co
             rows, found, hashes = [], [], []
             for i, text in enumerate(block.column(3).to_pylist()):
                 norm = [" ".join(text[a:b].lower().split()) for a, b in sentences(text)] if text else []
-                of = spans([s.count(" ") + 1 if s else 0 for s in norm], size)
+                of = spans([s.count(" ") + 1 if s else 0 for s in norm], size, min_words, alone)
                 rows += [i] * len(of)
                 found += of
                 hashes += [xxh3_128_digest(" ".join(filter(None, norm[a:b])).encode("utf-8", "surrogatepass")) for a, b in of]
@@ -128,11 +139,11 @@ def repeated_spans(rows: DataFrame, share: float | None = None) -> DataFrame:
     return found.unionByName(_frequent_spans(rows, hot, place)) if hot else found
 
 
-def dedup(docs: DataFrame, size: int = SIZE, share: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, size: int = SIZE, share: float | None = None, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0, alone: int | None = None) -> DataFrame:
     """doc_id, n_sentences, removed (merged runs of removed sentences), kept_text of every document."""
     docs = pick(docs, id_col, text_col)
-    gone = repeated_spans(stored(span_rows(docs, size)), share)
-    of = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # at most one for each sentence
+    gone = repeated_spans(stored(span_rows(docs, size, min_words=min_words, alone=alone)), share)
+    of = gone.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # at most three for each sentence
     of = stored(of.select(F.col("doc_id").alias("id"), F.col("row").alias("of"), "spans"))  # of known size: few such documents are sent to the texts, many meet them in a shuffle
     joined = docs.join(of, docs["doc_id"].eqNullSafe(of["id"]) & (F.xxhash64(docs["text"]) == of["of"]), "left").select("doc_id", "text", "spans")
 
