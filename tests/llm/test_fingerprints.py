@@ -84,3 +84,26 @@ def plain_by(rows):
     ids = sorted({i for i, _ in rows if i is not None})
     numbered = plain_rows([(None if i is None else ids.index(i) + 1, t) for i, t in rows])
     return [(None if r[0] is None else ids[r[0] - 1], *r[1:]) for r in numbered]
+
+
+def test_texts_are_read_once(spark, documents, tmp_path):
+    """Texts are the bulk: they are scanned once, and no Python worker takes part in finding successors."""
+    rows = [(i // 2, f"text {i} " * (i % 7)) for i in range(60)] + [(None, "no id")]
+    documents(rows).repartition(3).write.parquet(str(tmp_path / "d"))
+    probed = fp.edit_probe(spark.read.parquet(str(tmp_path / "d")))
+    assert got(spark.read.parquet(str(tmp_path / "d"))) == plain(rows)
+    plan = probed._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert sum("text:string" in line for line in scans) == 1
+    assert "Scan ExistingRDD" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_local_times_that_occur_twice_are_ids_too(spark):
+    """Where a time without zone names two instants, its range still finds its successor."""
+    df = spark.range(90).selectExpr("timestamp_ntz'2020-11-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id * 2 as int), 0) doc_id", "repeat(cast(id as string), 20) text")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert fp.edit_probe(df).count() == 90
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

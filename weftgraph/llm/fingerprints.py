@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -142,8 +142,9 @@ def edit_probe(docs: DataFrame, divisor: int = 4, size: int = SIZE, id_col: str
     in ascending doc_id; after the last comes the first. Returns doc_id, n_chars, edited, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
-    One shuffle deals the texts by ranges of doc_id; each range also gets the first document of the next one, so every task
-    meets each document's successor while it streams. The parse of a text and of its edited text is shared up to the cut.
+    The texts are read once, and one shuffle deals them by ranges of doc_id; each range also gets the first document of the next
+    one, so every task meets each document's successor while it streams. The parse of a text and of its edited text is shared
+    up to the cut.
     Ranges come from counts over all ids, or from Spark's range partitioning where ids are no numbers; what the driver holds is one
     id for each range. Ids are of any type that has an order.
     """
@@ -152,12 +153,14 @@ def edit_probe(docs: DataFrame, divisor: int = 4, size: int = SIZE, id_col: str
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bounds = _bounds(docs, parts)
     placed = docs.withColumn("part", _place(F.col("doc_id"), bounds))
-    firsts = sorted(placed.groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # a row for each range
-    follow = [(here, after) for (here, _), (_, after) in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    follow = spark.createDataFrame(follow, f"part int, first {kind}")
-    ahead = docs.join(F.broadcast(follow), docs["doc_id"].eqNullSafe(follow["first"])).select("doc_id", "text", "part", F.lit(True).alias("ahead"))
-    rows = placed.select("doc_id", "text", "part", F.lit(False).alias("ahead")).unionByName(ahead)
+    firsts = placed.groupBy("part").agg(F.min("doc_id").alias("first"))  # a row for each range
+    before = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
+    follow = firsts.select("first", before.alias("before"))
+    led = placed.join(F.broadcast(follow), placed["doc_id"].eqNullSafe(follow["first"]), "left")
+    here, ahead = F.struct("part", F.lit(False).alias("ahead")), F.struct(F.col("before").alias("part"), F.lit(True).alias("ahead"))
+    to = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, ahead))
+    rows = led.select("doc_id", "text", F.explode(to).alias("to")).select("doc_id", "text", "to.part", "to.ahead")
     rows = rows.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", "ahead", F.asc_nulls_last("doc_id"), F.asc_nulls_first("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
