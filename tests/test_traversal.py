@@ -107,3 +107,30 @@ def test_preorder_of_random_graphs(spark):
     for n in (12, 40):
         pairs = [(f"n{r.randrange(n)}", f"n{r.randrange(n)}") for _ in range(2 * n)] + [("n0", "n1")]
         assert walk(t.dfs(KGraph.from_pairs(spark, pairs), "n0")) == plain_preorder(pairs, "n0")
+
+
+@pytest.mark.parametrize("shape", ["halves", "wide", "deep"])
+def test_preorder_of_trees_without_a_round_for_each_level(spark, shape, monkeypatch):
+    """Leaves come off in layers and the rest jumps; nodes with very many children, other roots and cycles beside the tree, and ways
+    too long to keep, which go by the tour."""
+    r = random.Random(5)
+    parent = {"halves": lambda i: i // 2, "wide": lambda i: 0 if i % 3 else r.randrange(i), "deep": lambda i: max(0, i - r.randint(1, 20))}[shape]
+    pairs = [(f"n{parent(i)}", f"n{i}") for i in range(1, 150)] + [("other", "o1"), ("o1", "o2"), ("n9", "n9")]
+    pairs += [("c1", "c2"), ("c2", "c3"), ("c3", "c1")] if shape == "deep" else []
+    g = KGraph.from_pairs(spark, pairs).held()
+    monkeypatch.setattr(t, "CORE", 30)
+    monkeypatch.setattr(t, "LONGEST_WAY", 4 if shape == "deep" else 128)
+    monkeypatch.setattr(type(g.edges()), "mapInPandas", None)
+    rounds, expand = [], t.expand
+    monkeypatch.setattr(t, "expand", lambda *a, **k: rounds.append(1) or expand(*a, **k))
+    for start, limit in (("n0", None), ("n3", 3)):
+        assert walk(t.dfs(g, start, limit)) == plain_preorder(pairs, start, limit)
+    assert (not rounds) == (shape != "deep")
+
+
+def test_preorder_with_several_ranges_of_siblings(spark):
+    """Ranks of 240 and more take several bytes, and those of one node fill several ranges."""
+    pairs = [("n0", f"n{i:05d}") for i in range(1, 1500)] + [(f"n{i:05d}", f"m{i:05d}") for i in range(1, 1500, 7)]
+    found = t.shallow_preorder(KGraph.from_pairs(spark, pairs).edges(), "n0")
+    assert walk(found) == plain_preorder(pairs, "n0")
+    assert t.shallow_preorder(KGraph.from_pairs(spark, [("a", "b"), ("c", "b")]).edges(), "a") is None

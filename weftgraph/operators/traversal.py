@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import NodeNotFoundError
 from ..graph import KGraph
-from ..runtime import checkpointed, counted, dealt_by, one_row, stored
+from ..runtime import checkpointed, counted, dealt_by, one_row, scratch, stored
 
 BFS, ITERATIVE_DFS, RECURSIVE_DFS = "bfs", "iterative_dfs", "recursive_dfs"
 Predicate = Column | Callable[[Column], Column] | None
@@ -73,8 +76,9 @@ def bfs(graph: KGraph, start: str, max_depth: int | None = None, emit: Predicate
 def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicate = None) -> DataFrame:
     """visit_order, node, depth in preorder with neighbours in ascending order; nodes that fail prune are not entered.
 
-    What can be reached is found in parallel. If its edges are a tree, so is the order, by tree_preorder(). Otherwise it depends on
-    everything visited before, and the walk is one task over the edges among those nodes, already filtered.
+    If no node is entered by two edges, the order is that of shallow_preorder(). Otherwise, or in deep trees, what can be reached is
+    found in parallel. If its edges are a tree, so is the order, by tree_preorder(). Otherwise it depends on everything visited
+    before, and the walk is one task over the edges among those nodes, already filtered.
     """
     require(graph, start)
     schema = "visit_order long, node string, depth int"
@@ -82,6 +86,9 @@ def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicat
     one = one_row(graph.spark, node=start)
     if p is not None and one.where(p).isEmpty():
         return graph.spark.createDataFrame([], schema)
+    ways = graph.edges().select("src", F.col("dst").alias("node")).where((F.col("src") != F.col("node")) & (F.col("node") != start))
+    if (found := shallow_preorder((ways if p is None else ways.where(p)).select("src", F.col("node").alias("dst")), start)) is not None:
+        return found if max_depth is None else _renumbered(found.where(F.col("depth") <= max_depth))
     inside = checkpointed(expand(graph.edges(), one, max_depth, p).select("node", "depth"))
     edges = graph.edges().select("src", "dst").join(inside.select(F.col("node").alias("src")), "src", "left_semi").join(inside.select(F.col("node").alias("dst")), "dst", "left_semi")
 
@@ -109,6 +116,113 @@ def dfs(graph: KGraph, start: str, max_depth: int | None = None, prune: Predicat
     return edges.coalesce(1).mapInPandas(walk, schema)
 
 
+#: Rows below which the leaves of a tree are no longer taken off; bytes of the longest way for which ways are kept.
+CORE, LONGEST_WAY = 1_000_000, 128
+
+
+def _placed(rows: DataFrame, order: str) -> DataFrame:
+    """rows with place: their number in ascending order, from 0."""
+    held = stored(rows.repartitionByRange(order).sortWithinPartitions(order).drop(order).withColumn("at", F.monotonically_increasing_id()))
+    counts = held.groupBy(F.shiftright("at", 33).alias("range")).count().orderBy("range").collect()  # a row for each range
+    before = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
+    starts = held.sparkSession.createDataFrame([(r["range"], n) for r, n in zip(counts, before, strict=False)], "range long, before long")
+    numbered = held.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("range"))
+    return numbered.select(*[c for c in rows.columns if c != order], (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+
+
+def _renumbered(found: DataFrame) -> DataFrame:
+    return _placed(found, "visit_order").select(F.col("place").alias("visit_order"), "node", "depth")
+
+
+def _sibling_ranks(edges: DataFrame) -> DataFrame:
+    """node, parent, rank: the number of each edge (src, dst) among those of its src, by dst, from 0. Edges are dealt by ranges and
+    numbered range by range, so the edges of a node may fill any number of tasks."""
+    ranged = edges.select("src", "dst").repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").select("*", F.spark_partition_id().alias("range"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            src, at = batch["src"], np.arange(batch.num_rows)
+            new = np.concatenate([[src[0].as_py() != last], pc.not_equal(src[1:], src[:-1]).to_numpy(zero_copy_only=False)])
+            since = np.maximum.accumulate(np.where(new, at, -1))
+            rank = np.where(since < 0, at + n, at - since)
+            yield pa.RecordBatch.from_arrays([batch["dst"], src, batch["range"], pa.array(rank, pa.int64())], names=["node", "parent", "range", "rank"])
+            last, n = src[-1].as_py(), int(rank[-1]) + 1
+
+    held = stored(ranged.mapInArrow(number, "node string, parent string, range int, rank long"))
+    # Of a node whose edges fill several ranges, those of the ranges before count too.
+    ends = held.groupBy("range").agg(F.min("parent").alias("low"), F.max("parent").alias("high"))
+    outer = held.join(F.broadcast(ends), "range").where("parent = low or parent = high").groupBy("parent", "range").agg(F.count("*").alias("n"))
+    cut, seen = [], {}
+    for r in outer.orderBy("parent", "range").collect():  # two rows at most for each range
+        if n := seen.get(r["parent"], 0):
+            cut.append((r["range"], r["parent"], n))
+        seen[r["parent"]] = n + r["n"]
+    if cut:
+        more = F.broadcast(edges.sparkSession.createDataFrame(cut, "range int, parent string, more long"))
+        held = held.join(more, ["range", "parent"], "left").withColumn("rank", F.col("rank") + F.coalesce("more", F.lit(0)))
+    return held.select("node", "parent", "rank")
+
+
+def _code(rank: Column) -> Column:
+    """Bytes in the order of the numbers, none the beginning of another: one up to 239, else their count and they themselves."""
+    digits = F.hex(rank)
+    size = F.ceil(F.length(digits) / 2)
+    return F.unhex(F.when(rank < 240, F.lpad(digits, 2, "0")).otherwise(F.concat(F.hex(F.lit(0xEF) + size), F.lpad(digits, 2 * size, F.lit("0")))))
+
+
+def _jumped(rows: DataFrame, n: int, root: str) -> DataFrame | None:
+    """node, way, depth of the n rows (node, parent, way) below root by doubled jumps towards it, or None if a way is too long."""
+    ways = stored(rows.select("node", F.col("parent").alias("to"), "way", F.lit(1).alias("depth")))
+    for _ in range(n.bit_length() + 1):
+        now = ways.agg(F.count_if(F.col("to") != root).alias("open"), F.max(F.length("way")).alias("longest")).first()
+        if not now["open"]:
+            break
+        if now["longest"] > LONGEST_WAY:
+            return None
+        ahead = ways.select(F.col("node").alias("to"), F.col("to").alias("beyond"), F.col("way").alias("before"), F.col("depth").alias("more"))
+        # A row whose jump ends in no node is below another root.
+        jumped = ways.join(ahead, "to", "left").where((F.col("to") == root) | F.col("beyond").isNotNull())
+        ways = stored(jumped.select("node", F.coalesce("beyond", "to").alias("to"), F.when(F.col("before").isNull(), F.col("way")).otherwise(F.concat("before", "way")).alias("way"), (F.col("depth") + F.coalesce("more", F.lit(0))).cast("int").alias("depth")))
+    # What has not arrived by now goes round a cycle.
+    return ways.where(F.col("to") == root).select("node", "way", "depth")
+
+
+def shallow_preorder(edges: DataFrame, root: str) -> DataFrame | None:
+    """visit_order, node, depth of what edges (src, dst) reach from root, neighbours in ascending order; None if edges share a dst or
+    ways are too long.
+
+    The way to a node is the ranks of its ancestors and itself among their siblings, as bytes; their order is the preorder. Leaves
+    are taken off, layer by layer, while there are many; the ways of the rest are found by doubled jumps, and each layer adds its
+    ranks to those of its parents. So few rows jump, and no round is needed for each level.
+    """
+    spark = edges.sparkSession
+    with scratch(spark) as made:
+        ranked = _sibling_ranks(edges)
+        n = ranked.count()
+        if ranked.select("node").distinct().count() < n:
+            return None
+        layers, inner = [], ranked.select("node", "parent", _code(F.col("rank")).alias("way"))
+        while n > CORE:
+            layers.append(inner)
+            inner = stored(inner.join(inner.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
+            before, n = n, inner.count()
+            if n > 0.75 * before:
+                break
+        ways = _jumped(inner, n, root)
+        if ways is None:
+            return None
+        top = one_row(spark, node=root, way=b"", depth=0)
+        for layer in reversed(layers):
+            above = ways.union(top).select(F.col("node").alias("parent"), F.col("way").alias("before"), F.col("depth").alias("above"))
+            ways = stored(layer.join(above, "parent").select("node", F.concat("before", "way").alias("way"), (F.col("above") + 1).alias("depth")))
+        found = _placed(ways.union(top), "way").select(F.col("place").alias("visit_order"), "node", "depth")
+        made.pop()  # the placed rows stay
+    return found
+
+
 def next_in_group(rows: DataFrame, group: str, order: str) -> DataFrame:
     """rows with next: the next greater value of order in the same group, or null. Rows are dealt by ranges of both and looked at range
     by range, so a group may fill any number of tasks."""
