@@ -142,3 +142,27 @@ def test_clustering_of_a_sample(spark):
     nodes = m.sample_nodes(g, 15, 1).union(spark.createDataFrame([("x",), ("y",)], "node string"))
     names = {x["node"] for x in nodes.collect()}
     assert {tuple(x) for x in c.clustering_of(g, nodes).collect()} == {x for x in whole if x[0] in names}
+
+
+@pytest.mark.parametrize("limits", [{"BATCH_WORDS": 1, "WIDE": 3}, {"HELD_EDGES": 10, "BATCH_ROWS": 150}])
+def test_distances_by_batches_of_sources(spark, limits, monkeypatch):
+    """One word of sources at a time, in a worker's memory with nodes of many edges in pieces, or by joins that leave no files."""
+    from weftgraph import runtime
+
+    r = random.Random(4)
+    pairs = [(f"n{r.randrange(90)}", f"n{r.randrange(90)}") for _ in range(150)] + [(f"n{i}", "n0") for i in range(60)] + [(f"c{i}", f"c{i + 1}") for i in range(8)]
+    g, after, want = graph(spark, pairs).held(), {}, {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    for start in {x for pair in pairs for x in pair}:
+        seen, level, depth = {start}, {start}, 0
+        while level := {y for x in level for y in after.get(x, ())} - seen:
+            depth += 1
+            seen |= level
+            want[depth] = want.get(depth, 0) + len(level)
+    for name, value in limits.items():
+        monkeypatch.setattr(m, name, value)
+    made, write = [], runtime.written
+    monkeypatch.setattr(runtime, "written", lambda *a: made.append(write(*a)) or made[-1])
+    assert {x["depth"]: x["pairs"] for x in m.distance_counts(g).collect()} == want
+    assert made and not any(runtime._file(spark, path)[0].exists(runtime._file(spark, path)[1]) for path in made)

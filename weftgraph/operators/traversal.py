@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NodeNotFoundError
 from ..graph import KGraph
-from ..runtime import checkpointed, counted, dealt_by, one_row, scratch, stored
+from ..runtime import checkpointed, counted, dealt_by, numbered, one_row, scratch, stored
 
 BFS, ITERATIVE_DFS, RECURSIVE_DFS = "bfs", "iterative_dfs", "recursive_dfs"
 Predicate = Column | Callable[[Column], Column] | None
@@ -122,12 +122,7 @@ CORE, LONGEST_WAY = 1_000_000, 128
 
 def _placed(rows: DataFrame, order: str) -> DataFrame:
     """rows with place: their number in ascending order, from 0."""
-    held = stored(rows.repartitionByRange(order).sortWithinPartitions(order).drop(order).withColumn("at", F.monotonically_increasing_id()))
-    counts = held.groupBy(F.shiftright("at", 33).alias("range")).count().orderBy("range").collect()  # a row for each range
-    before = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
-    starts = held.sparkSession.createDataFrame([(r["range"], n) for r, n in zip(counts, before, strict=False)], "range long, before long")
-    numbered = held.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("range"))
-    return numbered.select(*[c for c in rows.columns if c != order], (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    return numbered(rows.repartitionByRange(order).sortWithinPartitions(order).drop(order))
 
 
 def _renumbered(found: DataFrame) -> DataFrame:
