@@ -60,3 +60,12 @@ def test_names_that_rows_share(spark, tmp_path):
     rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.1]), (3, [0.1, 1.0]), (4, [-1.0, -1.0])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert sorted(tuple(r) for r in views.similar_components(spark, str(tmp_path), 0.9).collect()) == [(f"{i:08d}", "00000001") for i in (1, 2, 3)]
+
+
+def test_weak_components_make_no_pairs(spark, tmp_path, monkeypatch):
+    from weftgraph.plans import catalog
+
+    monkeypatch.setattr(views, "similar", None)
+    x = vectors("any", 60)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {tuple(r) for r in catalog.queries()["weakly_connected_components"](spark, str(tmp_path)).collect()} == components_of(x, 0.4)
