@@ -69,3 +69,18 @@ def test_weak_components_make_no_pairs(spark, tmp_path, monkeypatch):
     x = vectors("any", 60)
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     assert {tuple(r) for r in catalog.queries()["weakly_connected_components"](spark, str(tmp_path)).collect()} == components_of(x, 0.4)
+
+
+def test_pairs_of_an_index_are_not_dealt_for_each_block(spark, tmp_path):
+    """Blocks meet where they are stored: in the plan no group of a shuffle holds two blocks, and cells that cannot hold a pair stay apart."""
+    from weftgraph.search.vectors import VectorIndex
+
+    x = vectors("clusters").astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x) if v.any()]
+    index = VectorIndex.build(spark.createDataFrame(rows, "name long, embedding array<double>"), str(tmp_path / "v"), cells=5)
+    found = index.pairs(0.99, 16)
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()
+    d = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    near = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(d @ d.T >= 0.99, 1)), strict=True) if 3 not in (a, b)}  # 3 is equal to 2
+    got = {(r["a"], r["b"]): r["similarity"] for r in found.collect()}
+    assert set(got) == near and all(abs(s - d[a] @ d[b]) < 1e-12 for (a, b), s in got.items())
